@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with value computed once: a plain reference inside a lambda is computed for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small; a session setting, not a limit on rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)

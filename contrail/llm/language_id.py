@@ -173,12 +173,12 @@ def fit(docs: DataFrame, vocab: list[str], id_col: str = "doc_id", text_col: str
         for b in batches:
             for lang, texts in b.groupby("lang")["t"]:
                 c = Counter(w for t in texts for w in _WORDS.findall(t.lower()))
-                c = Counter({}) if not c else c
                 parts: Counter = Counter()
                 for w, n in c.items():
                     for s in stretches(w):
                         parts[s] += n
-                yield pd.DataFrame({"lang": lang, "w": list(parts), "n": list(parts.values())}, columns=["lang", "w", "n"])
+                if parts:
+                    yield pd.DataFrame({"lang": lang, "w": list(parts), "n": list(parts.values())})
 
     words = stored(sample.select("lang", "t").mapInPandas(count, "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n")))
     languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())

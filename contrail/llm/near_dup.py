@@ -125,7 +125,8 @@ def signatures(docs: DataFrame, bands: int, band_rows: int, size: int) -> DataFr
                     ids.append(k)
                     sigs.append(sig.tobytes())
                     keys.append(key.view(np.int64))
-            yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "sig": sigs, "keys": keys})
+            if ids:
+                yield pd.DataFrame({"id": ids, "sig": sigs, "keys": keys})
 
     return docs.mapInPandas(run, "id long, sig binary, keys array<long>")
 
@@ -163,7 +164,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, size: int) ->
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """``id, root`` for every id in ``links`` (a, b): the smallest id it is connected to.
+    """``id, root`` for every id in ``links`` (a, b) that is connected to a smaller one: the smallest of them.
 
     Alternating stars: each node's neighbours are pointed to its smallest neighbour, until nothing changes. Edges never
     grow in number and each round is a table in the shared folder, so a lost executor costs one round at most.

@@ -17,10 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with value computed once."""
-    return F.transform(F.array(value), body)[0]
+from contrail.llm.common import let
 
 
 def anchors(text: Column, k: int = 24, s: int = 8) -> Column:
@@ -36,9 +33,9 @@ def anchors(text: Column, k: int = 24, s: int = 8) -> Column:
         inner = F.transform(F.sequence(F.lit(1), F.length(data) - (s - 1)), lambda i: F.xxhash64(F.substr(data, i, F.lit(s))))
         whole = F.array(F.struct(F.lit(0).alias("place"), F.xxhash64(data).alias("hash")))
         none = F.array().cast("array<struct<place:int,hash:bigint>>")
-        return F.when(F.length(data) >= k, _let(inner, lambda h: chosen(data, h))).when(F.length(data) > 0, whole).otherwise(none)
+        return F.when(F.length(data) >= k, let(inner, lambda h: chosen(data, h))).when(F.length(data) > 0, whole).otherwise(none)
 
-    return _let(F.encode(F.coalesce(text, F.lit("")), "utf-8"), of)
+    return let(F.encode(F.coalesce(text, F.lit("")), "utf-8"), of)
 
 
 def hash_set(found: Column) -> Column:

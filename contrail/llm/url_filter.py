@@ -5,8 +5,8 @@ or the end; both empty for null and for URLs without ``://``. A rule (host and p
 subdomains if the path starts with the rule's path; the longest rule that fits decides. Rules are a short list written
 into the expression.
 
-The model is trained from a small labelled URL table on hashed n-grams of ``host`` and of ``path`` (1 to 3 characters,
-host and path kept apart), with Spark's own logistic regression; features, training and scoring stay in the JVM.
+The model is trained from a small labelled URL table on hashed n-grams of ``host`` and of ``path`` (1 to 3 bytes of
+UTF-8, host and path kept apart), with Spark's own logistic regression; features, training and scoring stay in the JVM.
 
 Defined cases: null and malformed URLs have empty host and path, no rule fits, the model judges the empty strings;
 repeated rows are judged alike; very long URLs are used whole; other columns are ignored.
@@ -21,6 +21,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contrail.llm.common import let
+
 #: (verdict, host and path) of each rule.
 Rule = tuple[str, str]
 
@@ -63,9 +65,16 @@ def rule_columns(rules: list[Rule], host_col: Column, path_col: Column) -> tuple
 
 
 def _ngrams(text: Column, mark: str, low: int, high: int) -> Column:
-    """n-grams of a text, with a mark in front; none if it is shorter than n."""
-    parts = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i, n=n: F.concat(F.lit(mark), F.substr(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
-    return F.concat(*parts)
+    """n-grams of a text's UTF-8 bytes (their substrings take constant time), with a mark in front; none if it is shorter than n."""
+
+    def grams(data: Column, n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.length(data) - (n - 1)), lambda i: F.concat(F.lit(mark), F.substr(data, i, F.lit(n)).cast("string")))
+        return F.when(F.length(data) >= n, each).otherwise(F.array().cast("array<string>"))
+
+    def of(data: Column) -> Column:
+        return F.concat(*[grams(data, n) for n in range(low, high + 1)])
+
+    return let(F.encode(text, "utf-8"), of)
 
 
 def features(urls: DataFrame, url_col: str = "url", low: int = 1, high: int = 3) -> DataFrame:
