@@ -10,10 +10,10 @@ next arrival is later than the latest component. Two components agree with the p
 which is the Jaccard similarity when all weights are equal. ``1 - J_P`` is a collision probability, hence a metric.
 
 Steps, none of which emits all pairs of a group: (1) equal texts become one class at once. (2) Bands of the signatures are
-grouped; the members of a bucket are paired with its leader, the smallest id. (3) Pairs whose signatures agree enough to
-be similar are verified on the whole texts by exact J_P. (4) Linked texts get one class by repeated contraction; (5) the
-members of a bucket that are still in different classes are paired with a new leader, round by round, until in every
-bucket all classes have met. Two texts in one class need no further test, so the pairs are about as many as the texts.
+grouped; all members of a bucket are paired with its leaders, a few members of smallest id. (3) Pairs whose signatures
+agree enough to be similar are verified on the whole texts by exact J_P. (4) Linked texts get one class by repeated
+contraction. (5) Two texts in one class need no further test; members of a bucket that are still in different classes are
+compared by their signatures inside the join, which emits only the pairs that agree enough, and these are verified too.
 Signatures of ``bands * band_rows`` components miss a pair at the threshold with probability (1 - t^r)^b: 5e-5 here.
 
 Defined cases: a null text is a class of its own, empty texts are equal to each other; ties are broken by the smaller id;
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from contrail.llm.common import drop_stored, small_batches, stored
@@ -108,7 +108,7 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def signatures(docs: DataFrame, bands: int, band_rows: int, size: int) -> DataFrame:
-    """``id, sig, keys``: the signature's bytes and a 64-bit key for each band. ``docs`` has ``id, text``."""
+    """``id, sig, keys``: the signature and a 64-bit key for each band. ``docs`` has ``id, text``."""
     m = bands * band_rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,26 +123,17 @@ def signatures(docs: DataFrame, bands: int, band_rows: int, size: int) -> DataFr
                     for c in sig.reshape(bands, band_rows).T:
                         key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + c)
                     ids.append(k)
-                    sigs.append(sig.tobytes())
+                    sigs.append(sig.view(np.int32))
                     keys.append(key.view(np.int64))
             if ids:
                 yield pd.DataFrame({"id": ids, "sig": sigs, "keys": keys})
 
-    return docs.mapInPandas(run, "id long, sig binary, keys array<long>")
+    return docs.mapInPandas(run, "id long, sig array<int>, keys array<long>")
 
 
-def _agree(pairs: DataFrame, sigs: DataFrame, m: int, least: float) -> DataFrame:
-    """The pairs whose signatures agree in at least the share ``least`` of the components."""
-    a, b = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            if len(p):
-                x, y = (np.frombuffer(b"".join(p[c]), np.uint32).reshape(-1, m) for c in ("sa", "sb"))
-                p = p[(x == y).mean(axis=1) >= least]
-            yield p[["a", "b"]]
-
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
+def _agreement(a: str, b: str) -> Column:
+    """The share of equal components of two signatures."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda total, x: total + x) / F.size(a)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, size: int) -> DataFrame:
@@ -177,36 +168,24 @@ def connected(links: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        new = stored(small)
-        state = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        new = stored(small.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("sum")))
         drop_stored(edges)
-        edges = new
-        if tuple(state) == before:
+        edges, now = new, seen.get
+        if now == before:
             return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root"))
-        before = tuple(state)
-
-
-def _cross(now: DataFrame) -> tuple[DataFrame, int, int]:
-    """Buckets whose members are in several classes (with the largest class), their cross-class pairs, their members."""
-    by_class = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    cols = [F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max(F.struct("c", "root"))["root"].alias("main")]
-    open_keys = stored(by_class.groupBy("key").agg(*cols).withColumn("cross", (F.col("n") * F.col("n") - F.col("sq")) / 2).where("cross > 0"))
-    cross, n = open_keys.agg(F.sum("cross"), F.sum("n")).first()
-    return open_keys.select("key", "main"), int(cross or 0), int(n or 0)
+        before = now
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5, bands: int = 28, band_rows: int = 5, slack: float = 0.15, leader_rounds: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5, bands: int = 28, band_rows: int = 5, slack: float = 0.15, leaders: int = 8) -> DataFrame:
     """``id_col, class_id, n_links``: one row for each row of ``docs``.
 
     ``class_id`` is the smallest id of the texts connected by links of similarity ``threshold`` or more, ``n_links`` how
     many verified links to other texts this row's text has (those that the classes needed; equal texts count none).
     ``slack``: a pair is verified if its signatures agree in ``threshold - slack`` of the components, over four standard
-    deviations below. While the pairs of different classes within buckets are more than eight times the buckets' members,
-    up to ``leader_rounds`` rounds pair each bucket with one leader; then all pairs that are left are tested.
+    deviations below. ``leaders``: how many members of a bucket all its members are paired with at first.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    m = bands * band_rows
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     own = F.concat(F.lit("null "), F.coalesce(F.col("id").cast("string"), F.lit("")))
     heads = stored(rows.select("id", F.when(F.col("text").isNull(), own).otherwise(F.sha2("text", 256)).alias("h")))
@@ -222,30 +201,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     inside = buckets.select("id").distinct()
     texts = stored(usable.join(inside, "id").dropDuplicates(["id"]).join(sigs.select("id", "sig").dropDuplicates(["id"]), "id"))
     drop_stored(sigs)
-
-    lead = buckets.groupBy("key").agg(F.min("id").alias("a"))
-    pairs = buckets.join(lead, "key").where("a <> id").select("a", F.col("id").alias("b"))
-    tested, links, classes, last = None, None, None, False
-    for turn in range(1, leader_rounds + 3):
-        pairs = stored(pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.union(pairs)
-        found = stored(_verified(_agree(pairs, texts.select("id", "sig"), m, threshold - slack), texts.select("id", "text"), threshold, size))
-        links = found if links is None else links.union(found)
+    sig_a, sig_b = texts.select(F.col("id").alias("a"), F.col("sig").alias("sa")), texts.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
+    alike = _agreement("sa", "sb") >= threshold - slack
+
+    # leaders: the smallest id of each of a few parts of a bucket
+    part = F.pmod(F.xxhash64("id"), F.lit(leaders))
+    lead = stored(buckets.groupBy("key", part.alias("part")).agg(F.min("id").alias("leader")).select("key", "leader"))
+    pairs = buckets.join(lead, "key").where("leader <> id").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
+    links = stored(_verified(pairs.join(sig_a, "a").join(sig_b, "b").where(alike).select("a", "b"), texts.select("id", "text"), threshold, size))
+    classes = stored(connected(links))
+
+    # what is left: members that are no leaders and still in different classes, but for those within the largest class
+    now = buckets.join(lead, (buckets["key"] == lead["key"]) & (buckets["id"] == lead["leader"]), "left_anti").join(classes, "id", "left")
+    now = stored(now.select("key", "id", F.coalesce("root", "id").alias("root")))
+    by_class = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    open_keys = by_class.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("c", "root"))["root"].alias("main")).where("n > 1").select("key", "main")
+    rest = stored(now.join(open_keys, "key").join(texts.select("id", "sig"), "id"))
+    outside = rest.where("root <> main").select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("sig").alias("sa"))
+    others = rest.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("root").alias("rb"), F.col("sig").alias("sb"), "main")
+    once = (F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))  # a pair of two outsiders meets twice
+    more = outside.join(others, (F.col("key") == F.col("k")) & (F.col("ra") != F.col("rb")) & once & alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = stored(_verified(more, texts.select("id", "text"), threshold, size))
+    if not found.isEmpty():
+        links = links.union(found)
         classes = stored(connected(links))
-        if last:
-            break
-        now = stored(buckets.join(classes, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
-        open_keys, cross, n = _cross(now)
-        if not cross:
-            break
-        last = cross <= 8 * n or turn > leader_rounds
-        if last:  # all that is left: members outside a bucket's largest class with all members of other classes
-            outside = now.join(open_keys, "key").where("root <> main").select("key", F.col("id").alias("x"), F.col("root").alias("of"))
-        else:
-            chosen = now.join(open_keys, "key").groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "root")).alias("l"))
-            outside = chosen.select("key", F.col("l.id").alias("x"), F.col("l.root").alias("of"))
-        met = now.join(outside, (now["key"] == outside["key"]) & (now["root"] != outside["of"]))
-        pairs = met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
     degree = links.select(F.explode(F.array("a", "b")).alias("head")).groupBy("head").agg(F.count(F.lit(1)).alias("n_links"))
     out = member.join(classes.select(F.col("id").alias("head"), "root"), "head", "left").join(degree, "head", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("root", "head").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

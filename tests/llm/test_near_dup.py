@@ -83,10 +83,10 @@ def test_against_all_pairs(spark):
     assert got == classes(rows)
 
 
-def test_leader_rounds_and_rest_agree(spark):
+def test_one_leader_and_the_rest_agree(spark):
     rows = near_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(df, leader_rounds=0).collect()} == classes(rows)
+    assert {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(df, leaders=1).collect()} == classes(rows)
 
 
 def test_odd_inputs(spark):
