@@ -58,15 +58,15 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Syncmer fingerprints of every document and of its edited text, and their likeness."""
-    own = lambda t: syncmers.anchors(t)["hash"]
-    x = syncmers.with_next(table(spark, sf_dir, "documents"), own)
-    x = x.withColumn("edited", syncmers.edited(F.col("text"), F.col("next_text"))).withColumn("edited_fp", own(F.col("edited")))
-    fp, efp, nfp = (F.array_distinct(c) for c in ("fp", "edited_fp", "next_fp"))
+    x = syncmers.with_next(table(spark, sf_dir, "documents"), syncmers.fingerprint)
+    kept, new = syncmers.edited_parts(F.col("text"), F.col("next_text"))
+    x = x.withColumn("edited_fp", syncmers.joined(F.col("fp"), F.col("next_fp"), kept, new))
+    fp, efp, nfp = (F.array_distinct(c) for c in ("fp.hashes", "edited_fp", "next_fp.hashes"))
     return x.select(
         F.col("id").alias("doc_id"),
         F.length("text").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        syncmers.digest(F.col("fp")).alias("fingerprint"),
+        F.sha2(F.concat(kept, new), 256).alias("edited_sha256"),
+        syncmers.digest(F.col("fp.hashes")).alias("fingerprint"),
         syncmers.digest(F.col("edited_fp")).alias("edited_fingerprint"),
         syncmers.likeness(fp, efp).alias("near_edited"),
         syncmers.likeness(fp, nfp).alias("near_next"),

@@ -1,7 +1,7 @@
 """Document fingerprints: closed syncmers.
 
-A k-mer (k bytes of the UTF-8 text) is chosen if, of the s-mers inside it, one with the smallest hash is the first or the
-last. The choice depends on nothing but the k-mer itself, so the same passage gives the same anchors in any text, at any
+A k-mer (k bytes of the UTF-8 text) is chosen if, of the s-mers inside it, the one with the smallest hash (of equals, the
+first) is the first or the last. The choice depends on nothing but the k-mer itself, so the same passage gives the same anchors in any text, at any
 place; of every k - s consecutive k-mers at least one is chosen. A fingerprint is the list of anchors (place and hash of
 each chosen k-mer); likeness is the Jaccard similarity of the sets of anchor hashes.
 
@@ -20,27 +20,62 @@ from pyspark.sql import functions as F
 from contrail.llm.common import let
 
 
+def _shifted_min(values: Column, by: int) -> Column:
+    """The smaller of each value and the one ``by`` places on; near the end there is none, and the value stays."""
+    return let(values, lambda v: F.transform(v, lambda x, i: F.least(x, F.get(v, i + by))))
+
+
+def _window_min(values: Column, width: int) -> Column:
+    """The minimum of each window of ``width`` values, by windows of doubling width."""
+    span = 1
+    while 2 * span <= width:
+        values, span = _shifted_min(values, span), 2 * span
+    return values if span == width else _shifted_min(values, width - span)
+
+
 def anchors(text: Column, k: int = 24, s: int = 8) -> Column:
-    """Array of (place, hash) of the closed syncmers of a text; places are byte offsets from 0, in order."""
-    w = k - s + 1
+    """Array of (place, hash) of the closed syncmers of a text; places are byte offsets from 0, in order.
+
+    s-mers are ordered by 33 bits of their hash, equal ones by place: both stand in one number, so that the window
+    minima also tell where they are.
+    """
+    w, bits = k - s + 1, 31
 
-    def chosen(data: Column, hashes: Column) -> Column:
-        at = F.sequence(F.lit(1), F.length(data) - (k - 1))
-        edge = lambda i: F.least(F.get(hashes, i - 1), F.get(hashes, i + (w - 2))) <= F.array_min(F.slice(hashes, i, w))
-        return F.transform(F.filter(at, edge), lambda i: F.struct((i - 1).alias("place"), F.xxhash64(F.substr(data, i, F.lit(k))).alias("hash")))
+    def chosen(data: Column, least: Column) -> Column:
+        def edge(m: Column, i: Column) -> Column:
+            off = m.bitwiseAND(F.lit((1 << bits) - 1)) - i
+            return F.when(((off == 0) | (off == w - 1)) & (i <= F.length(data) - k), i)
+
+        return F.transform(F.array_compact(F.transform(least, edge)), lambda i: F.struct(i.alias("place"), F.xxhash64(F.substr(data, i + 1, F.lit(k))).alias("hash")))
 
     def of(data: Column) -> Column:
-        inner = F.transform(F.sequence(F.lit(1), F.length(data) - (s - 1)), lambda i: F.xxhash64(F.substr(data, i, F.lit(s))))
+        inner = F.transform(F.sequence(F.lit(1), F.length(data) - (s - 1)), lambda i: F.shiftleft(F.shiftright(F.xxhash64(F.substr(data, i, F.lit(s))), bits), bits) + (i - 1))
         whole = F.array(F.struct(F.lit(0).alias("place"), F.xxhash64(data).alias("hash")))
         none = F.array().cast("array<struct<place:int,hash:bigint>>")
-        return F.when(F.length(data) >= k, let(inner, lambda h: chosen(data, h))).when(F.length(data) > 0, whole).otherwise(none)
+        return F.when(F.length(data) >= k, chosen(data, _window_min(inner, w))).when(F.length(data) > 0, whole).otherwise(none)
+
+    return let(F.coalesce(text.cast("binary"), F.lit(b"")), of)
+
+
+def fingerprint(text: Column, k: int = 24, s: int = 8) -> Column:
+    """The anchors as two arrays, ``places`` and ``hashes``."""
+    return let(anchors(text, k, s), lambda a: F.struct(a["place"].alias("places"), a["hash"].alias("hashes")))
+
 
-    return let(F.encode(F.coalesce(text, F.lit("")), "utf-8"), of)
+def joined(own: Column, following: Column, left: Column, right: Column, k: int = 24, s: int = 8) -> Column:
+    """``hashes`` of the text ``left || right``, where own is the fingerprint of a text that begins with ``left`` and
+    following that of one that begins with ``right``. Anchors are free of context: those within either part are known,
+    and only the k-mers across the seam are examined."""
 
+    def of(sides: Column) -> Column:
+        a, b = sides["a"], sides["b"]
+        n, m = F.length(a), F.length(b)
+        inside = lambda fp, size: F.slice(fp["hashes"], 1, F.size(F.filter(fp["places"], lambda p: p <= size - k)))
+        seam = F.concat(F.substr(a, F.greatest(F.lit(1), n - (k - 2)), F.lit(k - 1)), F.substr(b, F.lit(1), F.lit(k - 1)))
+        across = F.when(F.length(seam) >= k, anchors(seam, k, s)["hash"]).otherwise(F.array().cast("array<bigint>"))
+        return F.when(n + m < k, anchors(F.concat(a, b), k, s)["hash"]).otherwise(F.concat(inside(own, n), across, inside(following, m)))
 
-def hash_set(found: Column) -> Column:
-    """The distinct hashes of anchors."""
-    return F.array_distinct(found["hash"])
+    return let(F.struct(F.encode(left, "utf-8").alias("a"), F.encode(right, "utf-8").alias("b")), of)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -83,7 +118,7 @@ def with_next(docs: DataFrame, own, id_col: str = "doc_id", text_col: str = "tex
     return x.select("id", "text", "fp", F.coalesce("lead.text", "after_range").alias("next_text"), F.when(F.col("lead").isNotNull(), F.col("lead.fp")).otherwise(own(F.col("after_range"))).alias("next_fp"))
 
 
-def edited(text: Column, following: Column) -> Column:
-    """A text whose last half is replaced by as many first characters of the following text."""
+def edited_parts(text: Column, following: Column) -> tuple[Column, Column]:
+    """The kept first half of a text, and the first characters of the following text that replace its last half."""
     half = F.floor(F.length(text) / 2).cast("int")
-    return F.concat(F.substr(text, F.lit(1), F.length(text) - half), F.substr(following, F.lit(1), half))
+    return F.substr(text, F.lit(1), F.length(text) - half), F.substr(following, F.lit(1), half)

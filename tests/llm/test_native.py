@@ -5,6 +5,7 @@ import re
 from itertools import pairwise
 
 import pytest
+from pyspark.sql import functions as F
 
 from contrail.llm import mixing, syncmers, url_filter
 from contrail.llm.queries import URL_RULES, op6_url_filter, op8_fingerprint, op10_mixing
@@ -59,7 +60,7 @@ def brute_places(data, hashes, k=24, s=8):
     out = []
     for i in range(len(data) - k + 1):
         inner = hashes[i : i + k - s + 1]
-        if min(inner) in (inner[0], inner[-1]):
+        if inner.index(min(inner)) in (0, len(inner) - 1):
             out.append(i)
     return out
 
@@ -74,11 +75,19 @@ def test_syncmers_against_brute_force(spark):
             assert [x["place"] for x in r["a"]] == ([0] if data else [])
             continue
         parts = [bytearray(data[j : j + 8]) for j in range(len(data) - 7)]
-        hashes = [x[0] for x in spark.createDataFrame([(p,) for p in parts], "b binary").selectExpr("xxhash64(b)").collect()]
+        hashes = [x[0] >> 31 for x in spark.createDataFrame([(p,) for p in parts], "b binary").selectExpr("xxhash64(b)").collect()]
         assert [x["place"] for x in r["a"]] == brute_places(data, hashes)
         assert all(b - a <= 24 - 8 for a, b in pairwise(x["place"] for x in r["a"]))  # no long gap
 
 
+def test_joined_equals_whole(spark):
+    texts = ["", "a", "short", "é" * 11, "é" * 40, "the quick brown fox jumps over the lazy dog " * 2, "x" * 23, "x" * 24]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    left, right = syncmers.edited_parts(F.col("a"), F.col("b"))
+    x = df.select(syncmers.joined(syncmers.fingerprint(F.col("a")), syncmers.fingerprint(F.col("b")), left, right).alias("got"), syncmers.anchors(F.concat(left, right))["hash"].alias("want"))
+    assert all(r["got"] == r["want"] for r in x.collect())
+
+
 def test_fingerprint_query(spark):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     order = sorted(docs, reverse=True)
@@ -97,12 +106,12 @@ def test_fingerprint_query(spark):
 def test_next_row_over_odd_ids(spark):
     rows = [(5, "a"), (5, "b"), (3, None), (None, "n"), (9, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as range", "3 as fp")
-    got = syncmers.with_next(df, lambda t: syncmers.anchors(t)["hash"]).collect()
+    got = syncmers.with_next(df, syncmers.fingerprint).collect()
     want = {("z", "b"), ("b", "a"), ("a", ""), ("", "n"), ("n", "z")}
     assert {(r["text"], r["next_text"]) for r in got} == want and len(got) == 5
-    one = syncmers.with_next(df.where("doc_id = 9"), lambda t: syncmers.anchors(t)["hash"]).collect()
+    one = syncmers.with_next(df.where("doc_id = 9"), syncmers.fingerprint).collect()
     assert [(r["text"], r["next_text"]) for r in one] == [("z", "z")]
-    assert syncmers.with_next(df.limit(0), lambda t: syncmers.anchors(t)["hash"]).count() == 0
+    assert syncmers.with_next(df.limit(0), syncmers.fingerprint).count() == 0
 
 
 def fill(sizes, weights, cap):
