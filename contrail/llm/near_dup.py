@@ -14,7 +14,7 @@ grouped; all members of a bucket are paired with its leaders, a few members of s
 agree enough to be similar are verified on the whole texts by exact J_P. (4) Linked texts get one class by repeated
 contraction. (5) Two texts in one class need no further test; members of a bucket that are still in different classes are
 compared by sketches (one bit each of many more components) inside the join, which emits only the pairs that agree
-enough, and these are verified too.
+enough, each in the first bucket that both are in; these are verified too.
 Signatures of ``bands * band_rows`` components miss a pair at the threshold with probability (1 - t^r)^b: 5e-5 here.
 
 Defined cases: a null text is a class of its own, empty texts are equal to each other; ties are broken by the smaller id;
@@ -251,11 +251,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_keys = by_class.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("c", "root"))["root"].alias("main")).where("n > 1").select("key", "main")
     rest = now.join(open_keys, "key")
     drawn = stored(sketches(texts.join(rest.select("id").distinct(), "id"), sketch_words, size))
-    rest = stored(rest.join(drawn, "id"))
-    outside = rest.where("root <> main").select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("bits").alias("ba"))
-    others = rest.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("root").alias("rb"), F.col("bits").alias("bb"), "main")
+    every = rest.groupBy("id").agg(F.collect_set("key").alias("keys"))  # at most one key for each band
+    rest = stored(rest.join(drawn.join(every, "id"), "id"))
+    outside = rest.where("root <> main").select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("bits").alias("ba"), F.col("keys").alias("ka"))
+    others = rest.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("root").alias("rb"), F.col("bits").alias("bb"), F.col("keys").alias("kb"), "main")
     once = (F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))  # a pair of two outsiders meets twice
-    more = outside.join(others, (F.col("key") == F.col("k")) & (F.col("ra") != F.col("rb")) & once & _maybe_similar("ba", "bb", sketch_words, threshold, deviations)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    once = once & (F.array_min(F.array_intersect("ka", "kb")) == F.col("key"))  # the first bucket both are in
+    more = outside.join(others, (F.col("key") == F.col("k")) & (F.col("ra") != F.col("rb")) & _maybe_similar("ba", "bb", sketch_words, threshold, deviations) & once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = stored(_verified(more, texts, threshold, size))
     if not found.isEmpty():
         links = links.union(found)
