@@ -14,45 +14,40 @@ without anchors have likeness 1, one without and one with have 0; repeated rows
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contrail.llm.common import let
 
 
-def _shifted_min(values: Column, by: int) -> Column:
-    """The smaller of each value and the one ``by`` places on; near the end there is none, and the value stays."""
-    return let(values, lambda v: F.transform(v, lambda x, i: F.least(x, F.get(v, i + by))))
-
-
-def _window_min(values: Column, width: int) -> Column:
-    """The minimum of each window of ``width`` values, by windows of doubling width."""
-    span = 1
-    while 2 * span <= width:
-        values, span = _shifted_min(values, span), 2 * span
-    return values if span == width else _shifted_min(values, width - span)
+def _smallest_from(x: Column, values: Column, others: list[Column]) -> Column:
+    """True if x is no larger than the values at all the places ``others``. The nearest are compared first, and the
+    nested AND stops at the first smaller one: some three comparisons for most places. Null beyond an end of the array."""
+    return reduce(lambda rest, at: (x <= F.get(values, at)) & rest, reversed(others), F.lit(True))
 
 
 def anchors(text: Column, k: int = 24, s: int = 8) -> Column:
     """Array of (place, hash) of the closed syncmers of a text; places are byte offsets from 0, in order.
 
-    s-mers are ordered by 33 bits of their hash, equal ones by place: both stand in one number, so that the window
-    minima also tell where they are.
+    s-mers are ordered by 33 bits of their hash, equal ones by place: both stand in one number, so that a
+    comparison settles ties and a minimum tells where it is.
     """
     w, bits = k - s + 1, 31
 
-    def chosen(data: Column, least: Column) -> Column:
-        def edge(m: Column, i: Column) -> Column:
-            off = m.bitwiseAND(F.lit((1 << bits) - 1)) - i
-            return F.when(((off == 0) | (off == w - 1)) & (i <= F.length(data) - k), i)
-
-        return F.transform(F.array_compact(F.transform(least, edge)), lambda i: F.struct(i.alias("place"), F.xxhash64(F.substr(data, i + 1, F.lit(k))).alias("hash")))
+    def chosen(data: Column, inner: Column) -> Column:
+        mask = F.lit((1 << bits) - 1)
+        first = F.filter(inner, lambda x, i: _smallest_from(x, inner, [i + j for j in range(1, w)]))
+        last = F.filter(inner, lambda x, i: _smallest_from(x, inner, [i - j for j in range(1, w)]))
+        places = F.concat(F.transform(first, lambda x: x.bitwiseAND(mask)), F.transform(last, lambda x: x.bitwiseAND(mask) - (w - 1)))
+        return F.transform(F.sort_array(places), lambda i: F.struct(i.cast("int").alias("place"), F.xxhash64(F.substr(data, (i + 1).cast("int"), F.lit(k))).alias("hash")))
 
     def of(data: Column) -> Column:
-        inner = F.transform(F.sequence(F.lit(1), F.length(data) - (s - 1)), lambda i: F.shiftleft(F.shiftright(F.xxhash64(F.substr(data, i, F.lit(s))), bits), bits) + (i - 1))
+        inner = F.transform(F.sequence(F.lit(1), F.length(data) - (s - 1)), lambda i: F.xxhash64(F.substr(data, i, F.lit(s))).bitwiseAND(F.lit(-1 << bits)).bitwiseOR(i - 1))
         whole = F.array(F.struct(F.lit(0).alias("place"), F.xxhash64(data).alias("hash")))
         none = F.array().cast("array<struct<place:int,hash:bigint>>")
-        return F.when(F.length(data) >= k, chosen(data, _window_min(inner, w))).when(F.length(data) > 0, whole).otherwise(none)
+        return F.when(F.length(data) >= k, let(inner, lambda h: chosen(data, h))).when(F.length(data) > 0, whole).otherwise(none)
 
     return let(F.coalesce(text.cast("binary"), F.lit(b"")), of)
 
