@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contrail.functions import control, geo, text
+from contrail.functions import control, decisions, geo, text
 from contrail.operators import tracks as tr
 
 QUERIES: dict = {}
@@ -437,3 +437,26 @@ def plan_refresh_gate(spark, d):
     x = _tracks(spark, d).groupBy("obj_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     x = x.select(F.col("obj_id").alias("user_id"), control.refresh_times(F.col("ts"), 86400.0).alias("a"))
     return x.select("user_id", F.size("a").cast("long").alias("n"), F.round(F.element_at("a", -1), 6).alias("last_t"))
+
+
+# ------------------------------------------------------------ decisions
+
+
+@query("""SELECT event_id, CASE WHEN r BETWEEN 1 AND 3 THEN 2 ELSE 1 END AS n, CAST(CASE WHEN r = 4 THEN 4 ELSE r + 12 END AS DOUBLE) AS total
+FROM (SELECT event_id, event_id % 5 AS r FROM events)""")
+def decision_json_steps(spark, d):
+    """Steps of a decision: one whose hold may be 0, one by an alias, one that overruns."""
+    said = F.concat(F.lit('```json\n{"steps": [{"hold_s": '), (F.col("event_id") % 5).cast("string"), F.lit('}, {"t": 12}, 7, {"hold_s": 4}]}\n```'))
+    x = _table(spark, d, "events").select("event_id", decisions.decision_steps(said).alias("s"))
+    return x.select("event_id", F.size("s").alias("n"), F.aggregate("s", F.lit(0.0), lambda a, s: a + s["hold"]).alias("total"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 1 THEN 'end' ELSE 'execute' END AS decision,
+CASE event_id % 4 WHEN 0 THEN 'p' || event_id WHEN 1 THEN NULL WHEN 2 THEN 'q' || event_id ELSE 'JSON解析失败，原始数据: r' || event_id END AS plan,
+CASE WHEN event_id % 4 = 1 THEN 'a' || event_id END AS result FROM events""")
+def planner_route(spark, d):
+    """Planner output: executed, ended, a plan without action, no JSON."""
+    e, kind = F.col("event_id").cast("string"), F.col("event_id") % 4
+    said = F.when(kind == 0, F.concat(F.lit('{"action": "execute", "plan": "p'), e, F.lit('"}'))).when(kind == 1, F.concat(F.lit('{"action": "end", "answer": "a'), e, F.lit('"}')))
+    said = said.when(kind == 2, F.concat(F.lit('```\n{"plan": "q'), e, F.lit('"}\n```'))).otherwise(F.concat(F.lit("r"), e))
+    return _table(spark, d, "events").select("event_id", decisions.planner_decision(said).alias("p")).select("event_id", "p.*")
