@@ -27,8 +27,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stupid-backoff score of every document under counts of all documents."""
-    return lm_score.score(table(spark, sf_dir, "documents"))
+    """Stupid-backoff score of every document under counts of the word bigrams of all documents."""
+    return lm_score.score_words(table(spark, sf_dir, "documents"))
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
