@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contrail.functions import control, decisions, geo, text
+from contrail.operators import gates
 from contrail.operators import tracks as tr
 
 QUERIES: dict = {}
@@ -298,8 +299,8 @@ def chat_fallback_prompt(spark, d):
 
 @query("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, role, text AS content FROM conversations")
 def chat_messages(spark, d):
-    x = _turns(spark, d).select("conv_id", F.posexplode("m").alias("p", "x"))
-    return x.select("conv_id", (F.col("p") + 1).cast("long").alias("pos"), "x.role", F.col("x.text").alias("content"))
+    pos = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text"))
+    return _table(spark, d, "conversations").select("conv_id", pos.cast("long").alias("pos"), "role", F.col("text").alias("content"))
 
 
 _MARKED = "CASE turn % 3 WHEN 0 THEN ' ' || text || ' <|im_end|> tail' WHEN 1 THEN 'a<|assistant|>b<|assistant|> ' || text || ' ' ELSE text END"
@@ -434,9 +435,8 @@ def plan_asof(spark, d):
     a AS (SELECT user_id, min(t) AS t FROM e GROUP BY user_id UNION ALL SELECT a.user_id, (SELECT min(e.t) FROM e WHERE e.user_id = a.user_id AND e.t - a.t >= 86400) FROM a WHERE a.t IS NOT NULL)
     SELECT user_id, count(t) AS n, round(max(t), 6) AS last_t FROM a GROUP BY user_id""")
 def plan_refresh_gate(spark, d):
-    x = _tracks(spark, d).groupBy("obj_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    x = x.select(F.col("obj_id").alias("user_id"), control.refresh_times(F.col("ts"), 86400.0).alias("a"))
-    return x.select("user_id", F.size("a").cast("long").alias("n"), F.round(F.element_at("a", -1), 6).alias("last_t"))
+    x = gates.refresh_gate(_tracks(spark, d), "obj_id", "t", 86400.0)
+    return x.select(F.col("obj_id").alias("user_id"), "n", F.round("last_t", 6).alias("last_t"))
 
 
 # ------------------------------------------------------------ decisions
