@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contrail.functions import control, decisions, geo, text
-from contrail.operators import gates
+from contrail.operators import contexts, gates
 from contrail.operators import tracks as tr
 
 QUERIES: dict = {}
@@ -104,6 +104,23 @@ def bvr_command_line(spark, d):
     return got.select("ctx", F.concat(F.lit("##"), F.array_join("x.c", " "), F.lit("##")).alias("line"))
 
 
+_CTX_PLAN = _PLAN.replace("event_id", "ctx")
+
+
+@query(f"""WITH u AS (SELECT event_id // 20 AS ctx, user_id % 2 AS blue, row_number() OVER (PARTITION BY event_id // 20, user_id % 2 ORDER BY event_id) AS n, event_id * 13 % 360 AS h, event_id * 37 % 9001 AS x, event_id * 53 % 7001 AS y, event_id * 31 % 10000 AS z FROM events),
+    c AS (SELECT ctx, CASE WHEN p LIKE '%retreat%' OR p LIKE '%撤退%' THEN 'retreat' WHEN p LIKE '%climb%' OR p LIKE '%爬升%' THEN 'climb' ELSE 'intercept' END AS intent FROM (SELECT ctx, lower(coalesce({_CTX_PLAN}, '')) AS p FROM (SELECT DISTINCT ctx FROM u))),
+    g AS (SELECT r.ctx, r.n, r.z, c.intent, (degrees(atan2(b.x - r.x, b.y - r.y)) + 360) % 360 - r.h AS g FROM u r JOIN c ON c.ctx = r.ctx LEFT JOIN u b ON b.ctx = r.ctx AND b.blue = 1 AND b.n = 1 WHERE r.blue = 0),
+    w AS (SELECT *, CASE WHEN g > 180 THEN g - 360 WHEN g < -180 THEN g + 360 ELSE g END AS w FROM g),
+    a AS (SELECT ctx, n, trim(CASE WHEN intent = 'retreat' THEN 'turn 60' WHEN intent = 'climb' OR w IS NULL OR abs(w) < 5 THEN '' ELSE 'turn ' || CASE WHEN w > 0 THEN '' ELSE '-' END || CASE WHEN abs(w) > 45 THEN '60' ELSE '30' END END || CASE WHEN intent = 'climb' OR z < 1000 THEN ' up 100' WHEN z > 8000 THEN ' up -100' ELSE '' END) AS a FROM w)
+    SELECT c.ctx, '##' || coalesce(string_agg('red' || n || ' ' || a, ' ' ORDER BY n) FILTER (WHERE a <> ''), '') || '##' AS line FROM c LEFT JOIN a ON a.ctx = c.ctx GROUP BY c.ctx""")
+def bvr_context_command_line(spark, d):
+    """All events as units, red and blue, of contexts of 20 ids each: red heads for the first blue, by the context's plan."""
+    e = F.col("event_id")
+    u = _table(spark, d, "events").select(F.floor(e / 20).alias("ctx"), e, F.when(F.col("user_id") % 2 == 0, "red").when(F.col("user_id") % 2 == 1, "blue").alias("side"), (e * 13 % 360).alias("heading"), (e * 37 % 9001).alias("x"), (e * 53 % 7001).alias("y"), (e * 31 % 10000).alias("z"))
+    u = u.withColumn("n", F.row_number().over(Window.partitionBy("ctx", "side").orderBy("event_id")))
+    return contexts.command_lines(u, u.select("ctx").distinct().select("ctx", F.expr(_CTX_PLAN).alias("plan")))
+
+
 # ------------------------------------------------------------ tracks and launches
 
 
