@@ -292,6 +292,12 @@ def row_limit_first_n(spark, d):
     return _table(spark, d, "documents").select("doc_id").orderBy("doc_id").limit(500)
 
 
+@query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 5000")
+def row_limit_first_5000(spark, d):
+    """The reference's limit."""
+    return _table(spark, d, "documents").select("doc_id").orderBy("doc_id").limit(5000)
+
+
 # ------------------------------------------------------------ chat
 
 
