@@ -72,7 +72,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("toxicity", toxic), ("near_duplicates", near_duplicates), ("mixing", mix), ("bpe", encode)]
 
-#: The stages learn models and hash words: SQL can't express them. tests/llm holds them against brute force.
+#: The stages learn models and hash words: SQL can't express them. tests/llm holds the operators
+#: against brute force, and of the stages near_duplicates alone, on null and shared ids.
 ORACLE_SQL = None
 
 
