@@ -1,15 +1,13 @@
-"""Language ID, toxicity and LM scoring against brute force and held-out labels."""
+"""Language ID and toxicity against brute force and held-out labels."""
 
 import itertools
 import math
 import zlib
-from collections import Counter
 
 import numpy as np
-import pytest
 
-from contrail.llm import language_id, lm_score, toxicity
-from contrail.llm.queries import op1_language_id, op3_lm_score, op9_toxicity
+from contrail.llm import language_id, toxicity
+from contrail.llm.queries import op1_language_id, op9_toxicity
 
 SF = "/root/testdata/sf0.01"
 ODD = [(1, None, None), (2, "", "en"), (3, "   ", "en"), (4, "1234 --", None), (5, "w" * 50_000, "en"), (6, "the cat", "en"), (6, "the cat", "en"), (None, "le chat", "fr")]
@@ -91,45 +89,3 @@ def test_toxicity_edge_cases(spark):
     one = toxicity.fit(train.where("toxic = 0"))
     assert {r["predicted"] for r in toxicity.score(docs, one).collect()} == {0}
     assert toxicity.score(docs.limit(0), model).count() == 0
-
-
-def brute_lm(texts, order=5, least=3, discount=0.4):
-    counts, context = Counter(), Counter()
-    for w, n in Counter(w for t in texts if t for w in t.lower().split()).items():
-        m = "\x02" + w + "\x03"
-        for e in range(2, len(m) + 1):
-            for k in range(1, order + 1):
-                if e - k >= 0:
-                    counts[m[e - k : e]] += n
-                    context[k, m[e - k : e - 1]] += n
-
-    def s(g):
-        f = counts[g]
-        if len(g) == 1 or f >= least:
-            return math.log(f / context[len(g), g[:-1]])
-        return math.log(discount) + s(g[1:])
-
-    def of(t):
-        total = 0.0
-        for w in (t or "").lower().split():
-            m = "\x02" + w + "\x03"
-            total += sum(s(m[max(0, e - order) : e]) for e in range(2, len(m) + 1))
-        return total
-
-    return [of(t) for t in texts]
-
-
-@pytest.mark.parametrize("limit", [1_000_000, 0])
-def test_lm_against_brute_force(spark, limit):
-    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
-    rows = [(r[0], r[1]) for r in rows] + [(1000, None), (1001, ""), (1002, "z" * 3000), (1003, " \t ")]
-    got = {r["doc_id"]: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as h", "2 as n", "3 as id"), broadcast_rows=limit).collect()}
-    want = brute_lm([t for _, t in rows])
-    assert len(got) == len(rows)
-    assert all(abs(got[i]["log_score"] - w) < 1e-4 for (i, _), w in zip(rows, want, strict=True))
-    assert got[1000]["mean_log_score"] is None and got[1001]["n_words"] == 0
-
-
-def test_lm_query_covers_all(spark):
-    assert op3_lm_score(spark, "/root/testdata/sf0.001").count() == 200
-    assert lm_score.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
