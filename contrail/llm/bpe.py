@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contrail.llm.common import kept, small_batches
+from contrail.llm.common import kept, slices
 
 _MEMO = 300_000
 
@@ -148,7 +148,6 @@ class Bpe:
 
 def _mapped(docs: DataFrame, id_col: str, text_col: str, vocab: list[bytes], pattern: str, columns: str, row) -> DataFrame:
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast((vocab, PerfectHash.build(vocab)))
     name = ("bpe", pattern, hashlib.sha256(b"\n".join(vocab)).hexdigest())
     kind = docs.schema[id_col].dataType.simpleString()
@@ -158,7 +157,7 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, vocab: list[bytes], pat
         bpe = kept(name, lambda: Bpe(words, pattern, table))
         text = [str(i) for i in range(len(words))]
         names = [c.split()[0] for c in columns.split(",")]
-        for b in batches:
+        for b in slices(batches):
             yield pd.DataFrame({id_col: b["k"]} | dict(zip(names, zip(*[row(bpe, text, t) for t in b["t"]], strict=True), strict=True)) if len(b) else {id_col: b["k"]} | {n: [] for n in names})
 
     return docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).mapInPandas(run, f"`{id_col}` {kind}, {columns}")

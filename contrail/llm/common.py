@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 #: A word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows in an Arrow batch: whole texts are long, so batches are kept short.
+#: Rows of whole texts that Python handles at a time.
 ARROW_ROWS = 2000
 
 
@@ -25,19 +26,40 @@ def let(value: Column, body) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small; a session setting, not a limit on rows."""
+    """Keep Arrow batches of whole texts small. The registered queries call this for their session; operators change no
+    setting, and give the same for batches of any size."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
+def with_small_batches(query):
+    """``query(spark, ...)`` under :func:`small_batches`."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *rest):
+        small_batches(spark)
+        return query(spark, *rest)
+
+    return run
+
+
+def slices(batches, rows: int = ARROW_ROWS):
+    """Batches (pandas or Arrow) in parts of at most ``rows`` rows, whatever the session's batch size is."""
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield b.iloc[i : i + rows].reset_index(drop=True) if hasattr(b, "iloc") else b.slice(i, rows)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder's name below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the session names none (tests on one machine) a folder in /tmp is set as the checkpoint folder.
+    A session on one machine that names none gets a folder in /tmp; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir("/tmp/checkpoints/contrail")
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get()
@@ -62,6 +84,28 @@ def drop_stored(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def join_hot(big: DataFrame, small: DataFrame, key: str, how: str = "inner", sizes: DataFrame | None = None, parts: int = 1000) -> DataFrame:
+    """``big`` joined (``inner``, ``left`` or ``left_semi``) to ``small`` on a column of both that a few values may fill.
+
+    A key with over 1/parts of the rows of ``big`` (so fewer than ``parts`` keys) is dealt out in as many parts as bring each
+    below that, and its rows of ``small``, which has few for a key, are repeated for each part; so are null keys of a left
+    join. Only those keys and their numbers of parts reach the driver. ``sizes``: ``key, n`` of ``big`` if known; otherwise
+    ``big`` is read twice and should be a stored table.
+    """
+    counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if sizes is None else sizes
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    least = max(1000, total // parts)
+    hot = counts.where((F.col("n") > least) & (F.col(key).isNotNull() | F.lit(how == "left"))).select(key, F.ceil(F.col("n") / least).cast("long").alias("__parts")).collect()
+    if not hot:
+        return big.join(small, key, how)
+    held = F.broadcast(big.sparkSession.createDataFrame([tuple(r) for r in hot], f"`__key` {big.schema[key].dataType.simpleString()}, `__parts` long"))
+    n = F.coalesce("__parts", F.lit(1))
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    left = big.join(held, same, "left").withColumn("__part", F.monotonically_increasing_id() % n).drop("__key", "__parts")
+    right = small.join(held, same, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop("__key", "__parts")
+    return left.join(right, [key, "__part"], how).drop("__part")
+
+
 def held_out(doc_id: str | Column) -> Column:
     """True for rows that training must not see: crc32 of the id as text is a multiple of 5 (a null id counts as '')."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contrail.llm.common import small_batches
+from contrail.llm.common import slices
 
 _WORK = 4 << 20  # bytes of payload handled at once
 
@@ -445,11 +445,10 @@ def _works(sizes: list[int]) -> Iterator[slice]:
 
 def store_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_bytes, media``: every whole text in UTF-8, padded, stored as a JPEG file."""
-    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             raw = [(t or "").encode("utf-8") for t in b["t"]]
             for s in _works([len(x) for x in raw]):
                 yield pd.DataFrame({id_col: b["k"].iloc[s], "n_bytes": [len(x) for x in raw[s]], "media": store([padded(x) for x in raw[s]])})
@@ -484,7 +483,7 @@ def features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media",
             return [x for f in files for x in images([f])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             files = list(b["m"])
             for s in _works([len(x) if x is not None else 0 for x in files]):
                 rows = [row(d, i) for d, i in zip(files[s], images(files[s]), strict=True)]

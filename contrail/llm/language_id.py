@@ -9,11 +9,11 @@ Training is expectation-maximisation: the forward-backward pass over a table of
 count in each language; Spark sums them, and only the vocabulary x languages matrix comes to the driver. The word counts
 are of a bounded sample of the labelled texts (``docs_per_language``, chosen by a hash of the id).
 
-Letters alone count: words are runs of letters, in lower case. A run of over 32 letters is scored in consecutive
-stretches of 32, so that very long runs need no more memory. A letter no piece covers costs a fixed small probability in
-every language.
+Letters alone count: words are runs of letters (Unicode category L), in lower case. However long a run is, it is summed
+whole: the forward pass keeps as many sums as the longest piece has letters, rescaled at every letter. Training takes its
+expected counts from stretches of 32 letters. A letter no piece covers costs a fixed small probability in every language.
 
-Defined cases: a null text and one without a letter give ``und`` with score 0; if nothing is labelled every text does;
+Defined cases: a null text and one without a letter (digits, numerals such as ``½`` or ``①``, marks) give ``und`` with score 0; if nothing is labelled every text does;
 ties go to the language first by code point; repeated rows are judged alike; other columns are ignored.
 """
 
@@ -29,23 +29,33 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contrail.llm.common import bounded_sample, drop_stored, small_batches, stored
+from contrail.llm.common import bounded_sample, drop_stored, slices, stored
 
 UND = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
 _STRETCH = 32
-_MEMO = 250_000
+_CHUNK = 4096
+_MEMO = 250_000  # words remembered
+_MEMO_LETTERS = 8_000_000
 _FLOOR = 1e-8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def letter_runs(text: str) -> list[str]:
+    """The words of a text in lower case. ``\\w`` also takes numerals, which end a word here."""
+    found = _WORDS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [r for w in found for r in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+
+
 def vocabulary(path: str) -> list[str]:
     """The distinct lower-case pieces of a SentencePiece model that are letters (with or without the word-start mark)."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
-    return sorted(p for p in pieces if _WORDS.fullmatch(p.replace("▁", "a", 1)) and len(p) <= _STRETCH)
+    return sorted(p for p in pieces if p.replace("▁", "a", 1).isalpha() and len(p) <= _STRETCH)
 
 
 def _codes(words: list[str], width: int) -> np.ndarray:
@@ -121,17 +131,46 @@ def stretches(word: str) -> list[str]:
     return [marked[i : i + _STRETCH] for i in range(0, len(marked), _STRETCH)]
 
 
-def log_likelihoods(parts: list[str], pieces: Pieces, p: np.ndarray) -> np.ndarray:
-    """A row for each part, a column for each language. ``p`` has a last row of zeros for "no piece"."""
-    out = np.zeros((len(parts), p.shape[1]))
-    order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
+def _long_log_likelihood(word: str, pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    """One marked word of any length, for each language. ``ahead[i]`` is what the pieces so far give the place i letters on;
+    it is divided by the sum of the place at hand, whose logarithm adds up."""
+    ahead, logs = np.zeros((max(1, pieces.longest) + 1, p.shape[1])), np.zeros(p.shape[1])
+    ahead[0] = 1.0
+    n_ring = len(ahead)
+    for start in range(0, len(word), _CHUNK):
+        stop = min(len(word), start + _CHUNK)
+        part = word[start : stop + max(0, pieces.longest - 1)]
+        found = pieces.at(_codes([part], len(part)))
+        hits: list[list[tuple[int, int]]] = [[] for _ in range(stop - start)]
+        for n, ids in found.items():
+            own = ids[0, : stop - start]
+            for s in np.flatnonzero(own != pieces.size) if n > 1 else range(len(own)):
+                hits[s].append((n, int(own[s])))
+        for s, pairs in enumerate(hits):
+            i = (start + s) % n_ring
+            now = ahead[i].copy()
+            logs += np.log(now)
+            ahead /= now
+            ahead[i] = 0.0
+            for n, piece in pairs:
+                ahead[(i + n) % n_ring] += np.maximum(p[piece], _FLOOR) if n == 1 else p[piece]
+    return logs + np.log(ahead[len(word) % n_ring])
+
+
+def log_likelihoods(words: list[str], pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    """A row for each marked word, a column for each language. ``p`` has a last row of zeros for "no piece"."""
+    out = np.zeros((len(words), p.shape[1]))
+    order = sorted((i for i, w in enumerate(words) if len(w) <= _STRETCH), key=lambda i: len(words[i]))
     for at in range(0, len(order), 4096):
         own = order[at : at + 4096]
-        words = [parts[i] for i in own]
-        width = len(words[-1])
-        alpha = _forward(pieces.at(_codes(words, width)), p, width)
-        length = np.array([len(w) for w in words])
+        some = [words[i] for i in own]
+        width = len(some[-1])
+        alpha = _forward(pieces.at(_codes(some, width)), p, width)
+        length = np.array([len(w) for w in some])
         out[own] = np.log(alpha[length, np.arange(len(own))])
+    for i, w in enumerate(words):
+        if len(w) > _STRETCH:
+            out[i] = _long_log_likelihood(w, pieces, p)
     return out
 
 
@@ -165,14 +204,13 @@ def _expected(words: list[str], counts: np.ndarray, pieces: Pieces, p: np.ndarra
 def fit(docs: DataFrame, vocab: list[str], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 1000, rounds: int = 3) -> LanguageModel:
     """Learn piece probabilities from about ``docs_per_language`` texts of each language (all if there are fewer)."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and t is not null")
     sample = bounded_sample(rows, "lang", "k", docs_per_language)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             for lang, texts in b.groupby("lang")["t"]:
-                c = Counter(w for t in texts for w in _WORDS.findall(t.lower()))
+                c = Counter(w for t in texts for w in letter_runs(t))
                 parts: Counter = Counter()
                 for w, n in c.items():
                     for s in stretches(w):
@@ -190,7 +228,7 @@ def fit(docs: DataFrame, vocab: list[str], id_col: str = "doc_id", text_col: str
         def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             v, langs, probs = shared.value
             pieces, sums = Pieces(v), {}
-            for b in batches:
+            for b in slices(batches):
                 for lang, g in b.groupby("lang"):
                     j = langs.index(lang)
                     sums[j] = sums.get(j, 0) + _expected(list(g["w"]), g["n"].to_numpy(float), pieces, probs[:, j : j + 1])
@@ -209,25 +247,22 @@ def fit(docs: DataFrame, vocab: list[str], id_col: str = "doc_id", text_col: str
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, lang_pred, score`` for each row of ``docs``."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast((model.languages, model.vocab, model.p))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         languages, vocab, p = shared.value
-        pieces, memo, table = Pieces(vocab), {}, np.zeros((0, max(1, len(languages))))
-        for b in batches:
-            texts = [_WORDS.findall(t.lower()) if t is not None else [] for t in b["t"]]
+        pieces, memo, letters, table = Pieces(vocab), {}, 0, np.zeros((0, max(1, len(languages))))
+        for b in slices(batches):
+            texts = [letter_runs(t) if t is not None else [] for t in b["t"]]
             new = list(dict.fromkeys(w for ws in texts for w in ws if w not in memo))
             if new:
-                if len(memo) + len(new) > _MEMO:
-                    memo, table = {}, table[:0]
+                if len(memo) + len(new) > _MEMO or letters > _MEMO_LETTERS:
+                    memo, letters, table = {}, 0, table[:0]
                     new = list(dict.fromkeys(w for ws in texts for w in ws))
-                parts = [(i, s) for i, w in enumerate(new) for s in stretches(w)]
-                ll = log_likelihoods([s for _, s in parts], pieces, p)
-                rows = np.zeros((len(new), p.shape[1]))
-                np.add.at(rows, np.array([i for i, _ in parts]), ll)
+                rows = log_likelihoods(["▁" + w for w in new], pieces, p)
                 memo.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
+                letters += sum(map(len, new))
                 table = np.vstack([table, rows])
             names, scores = [], []
             for ws in texts:

@@ -1,6 +1,6 @@
 """MinHash near-duplicates of weighted shingles: ProbMinHash signatures, banding, exact verification, classes.
 
-Shingles are runs of five words (lower case, split at ASCII white space), weighted by how often they occur; a text of one
+Shingles are runs of five words (lower case, split at Unicode white space), weighted by how often they occur; a text of one
 to four words is one shingle. ProbMinHash runs a Poisson process for each shingle, with its weight as rate: arrivals fall
 into random signature components, each component keeps its earliest arrival's element, and a shingle stops as soon as its
 next arrival is later than the latest component. Two components agree with the probability Jaccard similarity
@@ -9,17 +9,21 @@ next arrival is later than the latest component. Two components agree with the p
 
 which is the Jaccard similarity when all weights are equal. ``1 - J_P`` is a collision probability, hence a metric.
 
-Steps, none of which emits all pairs of a group: (1) equal texts become one class at once. (2) Bands of the signatures are
-grouped; all members of a bucket are paired with its leaders, a few members of smallest id. (3) Pairs whose signatures
-agree enough to be similar are verified on the whole texts by exact J_P. (4) Linked texts get one class by repeated
-contraction. (5) Two texts in one class need no further test; members of a bucket that are still in different classes are
-compared by sketches (one bit each of many more components) inside the join, which emits only the pairs that agree
-enough, each in the first bucket that both are in; these are verified too.
+Texts, not ids, are compared: a text's key is the first half of its SHA-256, so rows that share an id or have none are
+rows like all others. Steps, none of which emits all pairs of a group: (1) equal texts share a key and are one text from
+then on. (2) Bands of the signatures are grouped; all members of a bucket are paired with its leaders, a few members of
+smallest key. (3) Pairs whose signatures agree enough to be similar are verified on the whole texts by exact J_P. (4)
+Linked texts get one class by repeated contraction. (5) Two texts in one class need no further test; members of a bucket
+that are still in different classes are compared by sketches (one bit each of many more components) inside the join,
+which emits only the pairs that agree enough, each in the first bucket that both are in; these are verified too. The
+comparisons of a bucket are dealt out in blocks of its members, so no bucket is one task. They still grow with the square
+of a bucket's members that are in different classes, as it takes a comparison to know that two of them are no copies.
+Keys that many rows share (copies of one text, hubs of links, buckets) are joined by broadcast, see ``join_hot``.
 Signatures of ``bands * band_rows`` components miss a pair at the threshold with probability (1 - t^r)^b: 5e-5 here.
 
-Defined cases: a null text is a class of its own, empty texts are equal to each other; ties are broken by the smaller id;
-repeated rows fall into one class; ids must be whole numbers, null ids are returned without a class; other columns are
-ignored.
+Defined cases: a null text is like no other row, its class is its own id; empty texts are equal to each other; repeated
+rows fall into one class; ids must be whole numbers; a class is named by the smallest id in it (null if none of its rows
+has one) and by ``class_key``, which no two classes share even where ids do; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,10 +37,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from contrail.llm.common import drop_stored, small_batches, stored
+from contrail.llm.common import drop_stored, join_hot, slices, stored
 
 _MEMO = 250_000
 _HELD = 2_000_000  # shingles of texts a task remembers while it verifies pairs
+_BLOCK = 1024  # members of a bucket that one task compares with its others
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -111,12 +116,12 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def signatures(docs: DataFrame, bands: int, band_rows: int, size: int) -> DataFrame:
-    """``id, sig, keys``: the signature and a 64-bit key for each band. ``docs`` has ``id, text``."""
+    """``id, sig, keys``: the signature and a 64-bit key for each band. ``docs`` has ``id, text``, ids being text keys."""
     m = bands * band_rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles(size)
-        for b in batches:
+        for b in slices(batches):
             ids, sigs, keys = [], [], []
             for k, t in zip(b["id"], b["text"], strict=True):
                 hashes, weights = shingles.of(t)
@@ -131,7 +136,7 @@ def signatures(docs: DataFrame, bands: int, band_rows: int, size: int) -> DataFr
             if ids:
                 yield pd.DataFrame({"id": ids, "sig": sigs, "keys": keys})
 
-    return docs.mapInPandas(run, "id long, sig array<int>, keys array<long>")
+    return docs.mapInPandas(run, "id binary, sig array<int>, keys array<long>")
 
 
 def _agreement(a: str, b: str) -> Column:
@@ -144,11 +149,11 @@ def sketches(docs: DataFrame, words: int, size: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles(size)
-        for b in batches:
+        for b in slices(batches):
             bits = [np.packbits((prob_minhash(*shingles.of(t), 64 * words) & 1).astype(np.uint8)).view(np.int64) for t in b["text"]]
             yield pd.DataFrame({"id": b["id"], "bits": bits})
 
-    return docs.mapInPandas(run, "id long, bits array<long>")
+    return docs.mapInPandas(run, "id binary, bits array<long>")
 
 
 def _maybe_similar(a: str, b: str, words: int, threshold: float, deviations: float) -> Column:
@@ -161,12 +166,12 @@ def _maybe_similar(a: str, b: str, words: int, threshold: float, deviations: flo
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, size: int) -> DataFrame:
-    """``a, b, similarity`` of the pairs that are similar by their whole texts."""
+    """``a, b, similarity`` of the pairs, a stored table, that are similar by their whole texts; each pair once, a < b."""
     a, b = docs.select(F.col("id").alias("a"), F.col("text").alias("ta")), docs.select(F.col("id").alias("b"), F.col("text").alias("tb"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, held, kept = Shingles(size), {}, 0
-        for p in batches:
+        for p in slices(batches):
             s = []
             for both in zip(p["ta"], p["tb"], strict=True):
                 for t in both:
@@ -179,89 +184,123 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, size: int) ->
             p["similarity"] = s
             yield p.loc[p["similarity"] >= threshold, ["a", "b", "similarity"]]
 
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long, similarity double")
+    of_b = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    both = join_hot(join_hot(pairs, a, "a"), b, "b", sizes=of_b).select("a", "b", "ta", "tb")
+    same = both.mapInPandas(run, "a binary, b binary, similarity double")
+    return same.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("similarity").alias("similarity"))
+
+
+def _star(rows: DataFrame, low: DataFrame, hub: int) -> DataFrame:
+    """``u, v, m``: neighbours v of u with u's smallest neighbour. Nodes of over ``hub`` neighbours are joined by broadcast."""
+    few, many = low.where(F.col("n") <= hub).drop("n"), F.broadcast(low.where(F.col("n") > hub).drop("n"))
+    return rows.join(F.broadcast(many.select("u")), "u", "left_anti").join(few, "u").unionByName(rows.join(many, "u"))
 
 
 def connected(links: DataFrame) -> DataFrame:
     """``id, root`` for every id in ``links`` (a, b) that is connected to a smaller one: the smallest of them.
 
     Alternating stars: each node's neighbours are pointed to its smallest neighbour, until nothing changes. Edges never
-    grow in number and each round is a table in the shared folder, so a lost executor costs one round at most.
+    grow in number and each round is a table in the shared folder, so a lost executor costs one round at most. A node that
+    over a thousandth of the edges meet in (there are fewer than 2000) is no join key: what is known of it is broadcast.
     """
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
+    first = Observation()
+    start = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    edges = stored(start.observe(first, F.count(F.lit(1)).alias("n")))
+    before, n = None, first.get["n"]
     while True:
+        hub = max(1000, n // 1000)
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = _star(both, low, hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _star(large, low2, hub).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         seen = Observation()
         new = stored(small.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("sum")))
         drop_stored(edges)
         edges, now = new, seen.get
         if now == before:
             return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root"))
-        before = now
+        before, n = now, now["n"]
+
+
+def text_key(text: str | Column) -> Column:
+    """A text's name: the first 16 bytes of its SHA-256; null for null."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.substring(F.unhex(F.sha2(c.cast("string"), 256)), 1, 16)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5, bands: int = 28, band_rows: int = 5, slack: float = 0.15, leaders: int = 2, sketch_words: int = 32, deviations: float = 4.2) -> DataFrame:
-    """``id_col, class_id, n_links``: one row for each row of ``docs``.
+def text_classes(docs: DataFrame, text_col: str = "text", threshold: float = 0.8, size: int = 5, bands: int = 28, band_rows: int = 5, slack: float = 0.15, leaders: int = 2, sketch_words: int = 32, deviations: float = 4.2) -> DataFrame:
+    """``key, root, n_links`` for each text that is linked to a different one: its key, the smallest key of its class, and
+    the number of verified links (those that the classes needed). A stored table; texts linked to no other have no row.
 
-    ``class_id`` is the smallest id of the texts connected by links of similarity ``threshold`` or more, ``n_links`` how
-    many verified links to other texts this row's text has (those that the classes needed; equal texts count none).
     ``slack``: a pair with a leader is verified if its signatures agree in ``threshold - slack`` of the components, over
     four standard deviations below. ``leaders``: how many members of a bucket all its members are paired with at first.
     ``sketch_words, deviations``: size of the sketches that members in different classes are compared by, in words of 64
     bits, and the margin of that comparison (2048 bits and 4.2 deviations pass similarities from about 0.74 and miss a
     pair at the threshold with probability 1.3e-5).
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    own = F.concat(F.lit("null "), F.coalesce(F.col("id").cast("string"), F.lit("")))
-    heads = stored(rows.select("id", F.when(F.col("text").isNull(), own).otherwise(F.sha2("text", 256)).alias("h")))
-    first = heads.groupBy("h").agg(F.min("id").alias("head"))
-    member = stored(heads.join(first, "h").select("id", "head"))
-    drop_stored(heads)
-
-    usable = rows.where("id is not null and text is not null")
-    sigs = stored(signatures(usable, bands, band_rows, size))
-    alone = member.select(F.col("head").alias("id")).where("id is not null").distinct()
-    keys = sigs.select("id", "keys").dropDuplicates(["id"]).join(alone, "id", "left_semi").select("id", F.explode("keys").alias("key"))
+    rows = docs.select(text_key(text_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    first = [F.first(c).alias(c) for c in ("sig", "keys")]
+    signed = stored(signatures(rows, bands, band_rows, size).groupBy("id").agg(*first, F.count(F.lit(1)).alias("n")))
+    keys = signed.select("id", F.explode("keys").alias("key"))
     buckets = stored(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key"))
     inside = buckets.select("id").distinct()
-    texts = stored(usable.join(inside, "id").dropDuplicates(["id"]))
+    texts = stored(join_hot(rows, inside, "id", "left_semi", signed.select("id", "n")).groupBy("id").agg(F.first("text").alias("text")))
 
-    # leaders: the smallest id of each of a few parts of a bucket
+    # leaders: the smallest key of each of a few parts of a bucket
     part = F.pmod(F.xxhash64("id"), F.lit(leaders))
     lead = stored(buckets.groupBy("key", part.alias("part")).agg(F.min("id").alias("leader")).select("key", "leader"))
-    signed = sigs.select("id", "sig").dropDuplicates(["id"])
-    led = lead.join(signed.withColumnsRenamed({"id": "leader", "sig": "leader_sig"}), "leader")
-    alike = (F.col("leader") != F.col("id")) & (_agreement("leader_sig", "sig") >= threshold - slack)
-    pairs = buckets.join(signed, "id").withColumnRenamed("key", "k").join(led, (F.col("k") == F.col("key")) & alike)
-    pairs = pairs.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
-    links = stored(_verified(pairs, texts, threshold, size))
-    drop_stored(sigs)
+    led = stored(join_hot(buckets, lead, "key").where("leader <> id").select("leader", "id").distinct())
+    sig_of = lambda name: signed.select(F.col("id").alias(name), F.col("sig").alias(f"{name}_sig"))
+    alike = _agreement("leader_sig", "id_sig") >= threshold - slack
+    led = stored(join_hot(led, sig_of("leader"), "leader").join(sig_of("id"), "id").where(alike).select(F.col("leader").alias("a"), F.col("id").alias("b")))
+    links = stored(_verified(led, texts, threshold, size))
+    for done in (signed, led):
+        drop_stored(done)
     classes = stored(connected(links))
 
     # what is left: members that are no leaders and still in different classes, but for those within the largest class
     now = buckets.join(lead, (buckets["key"] == lead["key"]) & (buckets["id"] == lead["leader"]), "left_anti").join(classes, "id", "left")
     now = stored(now.select("key", "id", F.coalesce("root", "id").alias("root")))
     by_class = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    open_keys = by_class.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("c", "root"))["root"].alias("main")).where("n > 1").select("key", "main")
-    rest = now.join(open_keys, "key")
-    drawn = stored(sketches(texts.join(rest.select("id").distinct(), "id"), sketch_words, size))
+    open_keys = stored(by_class.groupBy("key").agg(F.sum("c").alias("members"), F.count(F.lit(1)).alias("n"), F.max(F.struct("c", "root"))["root"].alias("main")).where("n > 1").select("key", "main", F.ceil(F.col("members") / _BLOCK).alias("parts")))
+    rest = join_hot(now, open_keys, "key")
+    drawn = sketches(texts.join(rest.select("id").distinct(), "id", "left_semi"), sketch_words, size)
     every = rest.groupBy("id").agg(F.collect_set("key").alias("keys"))  # at most one key for each band
     rest = stored(rest.join(drawn.join(every, "id"), "id"))
-    outside = rest.where("root <> main").select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("bits").alias("ba"), F.col("keys").alias("ka"))
-    others = rest.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("root").alias("rb"), F.col("bits").alias("bb"), F.col("keys").alias("kb"), "main")
+    # the outsiders of a bucket in parts by a hash, each against all its members
+    outside = rest.where("root <> main").select("key", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.col("id").alias("a"), F.col("root").alias("ra"), F.col("bits").alias("ba"), F.col("keys").alias("ka"))
+    others = rest.select(F.col("key").alias("k"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"), F.col("id").alias("b"), F.col("root").alias("rb"), F.col("bits").alias("bb"), F.col("keys").alias("kb"), "main")
     once = (F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))  # a pair of two outsiders meets twice
     once = once & (F.array_min(F.array_intersect("ka", "kb")) == F.col("key"))  # the first bucket both are in
-    more = outside.join(others, (F.col("key") == F.col("k")) & (F.col("ra") != F.col("rb")) & _maybe_similar("ba", "bb", sketch_words, threshold, deviations) & once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    same = (F.col("key") == F.col("k")) & (F.col("part") == F.col("p"))
+    more = outside.join(others, same & (F.col("ra") != F.col("rb")) & _maybe_similar("ba", "bb", sketch_words, threshold, deviations) & once)
+    more = stored(more.select("a", "b"))
     found = stored(_verified(more, texts, threshold, size))
     if not found.isEmpty():
-        links = links.union(found)
-        classes = stored(connected(links))
-    degree = links.select(F.explode(F.array("a", "b")).alias("head")).groupBy("head").agg(F.count(F.lit(1)).alias("n_links"))
-    out = member.join(classes.select(F.col("id").alias("head"), "root"), "head", "left").join(degree, "head", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("root", "head").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        drop_stored(classes)
+        classes = stored(connected(links.union(found)))
+    degree = links.union(found).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    out = stored(degree.join(classes, "id", "left").select(F.col("id").alias("key"), F.coalesce("root", "id").alias("root"), "n_links"))
+    for done in (buckets, texts, lead, links, classes, now, open_keys, rest, more, found):
+        drop_stored(done)
+    return out
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``id_col, class_id, class_key, n_links``: one row for each row of ``docs``.
+
+    ``class_id`` is the smallest id among the rows whose texts are connected by links of similarity ``threshold`` or more
+    (or equal), ``class_key`` the class's own name in hexadecimal (null for a null text), ``n_links`` how many verified
+    links to different texts this row's text has. ``options``: see :func:`text_classes`.
+    """
+    rows = stored(docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key")))
+    linked = text_classes(docs, text_col, **options)
+    texts = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("least")).join(linked, "key", "left")
+    texts = stored(texts.select("key", "least", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    named = stored(join_hot(texts, texts.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("key", "root", "class_id", "n_links"))
+    for done in (linked, texts):
+        drop_stored(done)
+    out = join_hot(rows, named, "key", "left")
+    own = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id"))
+    return out.select(F.col("id").alias(id_col), own.alias("class_id"), F.hex("root").alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contrail.llm import bpe, jpeg, language_id, lm_score, mixing, near_dup, syncmers, toxicity, url_filter, warc
-from contrail.llm.common import held_out, table
+from contrail.llm.common import held_out, table, with_small_batches
 
 #: Host and path rules of the URL query.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -22,8 +22,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages through monolithic archives, the normaliser and back by the offset index."""
-    archives = warc.archive(table(spark, sf_dir, "pages"))
-    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    archives, index = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.read(archives, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near-duplicates of every document."""
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_warc, op3_lm_score, op4_near_dup, op5_bpe, op6_url_filter, op7_media, op8_fingerprint, op9_toxicity, op10_mixing)}
+QUERIES = {f.__name__: with_small_batches(f) for f in (op1_language_id, op2_warc, op3_lm_score, op4_near_dup, op5_bpe, op6_url_filter, op7_media, op8_fingerprint, op9_toxicity, op10_mixing)}
 
 ORACLES = {
     "op2_warc": """

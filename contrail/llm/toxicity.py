@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contrail.llm.common import bounded_sample, held_out, small_batches
+from contrail.llm.common import bounded_sample, held_out, slices
 
 _WORDS = re.compile(r"[^\W_]+")
 _MEMO = 200_000
@@ -108,10 +108,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = Features(buckets, low, high)
-        for b in batches:
+        for b in slices(batches):
             yield pd.DataFrame({"y": b["y"], "k": b["k"].astype("string"), "x": [f.of_text(t).tobytes() for t in b["t"]]})
 
-    small_batches(labelled.sparkSession)
     got = sorted(rows.mapInPandas(features, "y int, k string, x binary").collect(), key=lambda r: (r["k"] or "", bytes(r["x"])))
     return fit_arrays([np.frombuffer(r["x"], np.int32) for r in got], np.array([1 if r["y"] == 1 else 0 for r in got]), buckets)
 
@@ -119,14 +118,13 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
 def score(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str = "text", low: int = 3, high: int = 5) -> DataFrame:
     """``id_col, score, predicted`` for each row of ``docs``; score from 0 to 1, predicted 1 from 0.5."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast((model.weights, model.bias))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights, bias = shared.value
         f = Features(len(weights), low, high)
-        for b in batches:
+        for b in slices(batches):
             z = np.array([float(weights[f.of_text(t)].sum(dtype=np.float64)) for t in b["t"]], float) + bias
             s = _sigmoid(z)
             yield pd.DataFrame({id_col: b["k"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})

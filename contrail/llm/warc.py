@@ -2,11 +2,14 @@
 
 ``write_monolithic`` writes WARC/1.1 records, many to a single gzip stream (one member for the whole file). ``normalise``
 inflates such a stream once, in pieces, cuts it into records by their headers, writes each record as a member of its own
-and lists the members' offsets and lengths. ``read`` fetches records by those offsets alone.
+and lists the members' offsets and lengths. ``sidecar`` makes that list a table of its own, and ``read`` fetches the
+records that such a table names, by their offsets alone.
 
-Archives are rows of a table (name, content, and the sidecar index as arrays), written by Spark's own writer: that works
-on any store, and a lost task's archives are written again as a whole. Reading the index alone does not touch the contents.
-An archive ends once it holds ``archive_bytes`` of records, so a task holds one archive at a time.
+Archives are rows of a table (name, content), written by Spark's own writer: that works on any store, and a lost task's
+archives are written again as a whole. The index is another table, with a row for each record; looking up or filtering
+records touches no content. An archive ends once it holds ``archive_bytes`` of records, so it is larger than that by less
+than its last record, and is handled by itself. Batches between Spark and Python are bounded by bytes
+(``spark.sql.execution.arrow.maxBytesPerBatch``); no setting is changed and any batch size gives the same.
 
 Deduplication: of pages with equal payloads of at least ``least`` bytes, the one with the largest id is a response; others
 are revisit records (WARC-Refers-To, no payload; the stored HTTP header keeps the payload's length).
@@ -23,10 +26,11 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contrail.llm.common import drop_stored, stored
+from contrail.llm.common import drop_stored, join_hot, stored
 
 _DATE = "2024-01-01T00:00:00Z"
 _END = b"\r\n\r\n"
@@ -79,18 +83,23 @@ def with_types(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """``page_id, url, payload, digest, refers_to``: refers_to is null for responses."""
     payload = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "utf-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    small = rows.select("page_id", "digest", F.length("payload").alias("n")).where(F.col("n") >= least)
+    small = stored(rows.where(F.length("payload") >= least).select("page_id", "digest"))
     answers = small.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "first")
-    # only ids and digests meet on the digest, which may be hot; payloads move by page id
-    revisits = small.join(answers, "digest").where("first is not null and not (page_id <=> first)").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("first").alias("refers_to")).distinct()
+    # only ids and digests meet on the digest, in parts where it is hot; payloads move by page id
+    revisits = join_hot(small, stored(answers), "digest").where("first is not null and not (page_id <=> first)").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("first").alias("refers_to")).distinct()
     return rows.join(revisits, rows["page_id"].eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
 def write_monolithic(rows: DataFrame, archive_bytes: int = 16 << 20) -> DataFrame:
-    """``content``: gzip files of one member each, of the rows of :func:`with_types`."""
+    """``name, content``: gzip files of one member each, of the rows of :func:`with_types`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        engine, parts, size = None, [], 0
+        engine, parts, size, n = None, [], 0, 0
+        part = TaskContext.get().partitionId()
+
+        def file() -> pd.DataFrame:
+            return pd.DataFrame({"name": [f"part-{part:05d}-{n:05d}.warc.gz"], "content": [b"".join(parts) + engine.flush()]})
+
         for b in batches:
             for p, u, x, d, r in zip(b["page_id"], b["url"], b["payload"], b["digest"], b["refers_to"], strict=True):
                 engine = engine or zlib.compressobj(1, zlib.DEFLATED, 31)
@@ -98,35 +107,38 @@ def write_monolithic(rows: DataFrame, archive_bytes: int = 16 << 20) -> DataFram
                 parts.append(engine.compress(data))
                 size += len(data)
                 if size >= archive_bytes:
-                    yield pd.DataFrame({"content": [b"".join(parts) + engine.flush()]})
-                    engine, parts, size = None, [], 0
+                    yield file()
+                    engine, parts, size, n = None, [], 0, n + 1
         if engine:
-            yield pd.DataFrame({"content": [b"".join(parts) + engine.flush()]})
+            yield file()
 
-    return rows.mapInPandas(run, "content binary")
+    return rows.mapInPandas(run, "name string, content binary")
 
 
 def normalise(archives: DataFrame, level: int = 6) -> DataFrame:
-    """``content, offsets, lengths, record_ids``: every record a gzip member, and the sidecar index."""
+    """``name, content, records``: every record a gzip member; records lists each one's id, offset and length."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for content in b["content"]:
-                members, offsets, lengths, ids, at = [], [], [], [], 0
+            for name, content in zip(b["name"], b["content"], strict=True):
+                members, records, at = [], [], 0
                 for data in split_records(bytes(content)):
                     member = gzip.compress(data, level, mtime=0)
                     members.append(member)
-                    offsets.append(at)
-                    lengths.append(len(member))
-                    ids.append(headers(data)["warc-record-id"])
+                    records.append({"record_id": headers(data)["warc-record-id"], "offset": at, "length": len(member)})
                     at += len(member)
-                yield pd.DataFrame({"content": [b"".join(members)], "offsets": [offsets], "lengths": [lengths], "record_ids": [ids]})
+                yield pd.DataFrame({"name": [name], "content": [b"".join(members)], "records": [records]})
+
+    return archives.mapInPandas(run, "name string, content binary, records array<struct<record_id: string, offset: long, length: long>>")
+
 
-    return archives.mapInPandas(run, "content binary, offsets array<long>, lengths array<long>, record_ids array<string>")
+def sidecar(normalised: DataFrame) -> DataFrame:
+    """``name, record_id, offset, length``: the index of normalised archives, a row for each record."""
+    return normalised.select("name", F.explode("records").alias("r")).select("name", "r.*")
 
 
-def read(archives: DataFrame) -> DataFrame:
-    """``page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload`` of every record, by the index.
+def read(archives: DataFrame, index: DataFrame) -> DataFrame:
+    """``page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload`` of every record in the index.
 
     Length and digest are of the full payload; those of a response are computed from it, and a response whose digest
     differs from its header raises ValueError. ``payload`` is null for revisits.
@@ -139,9 +151,9 @@ def read(archives: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for content, offsets, lengths in zip(b["content"], b["offsets"], b["lengths"], strict=True):
+            for content, places in zip(b["content"], b["places"], strict=True):
                 out = []
-                for at, n in zip(offsets, lengths, strict=True):
+                for at, n in ((p["offset"], p["length"]) for p in places):
                     data = gzip.decompress(content[at : at + n])
                     head, block = headers(data), data.partition(_END)[2][:-4]
                     http, payload = headers(block), block.partition(_END)[2]
@@ -153,15 +165,13 @@ def read(archives: DataFrame) -> DataFrame:
                     out.append((number(head["warc-record-id"]), head.get("warc-target-uri"), head["warc-type"], number(head.get("warc-refers-to")), size, digest, payload if response else None))
                 yield pd.DataFrame(out, columns=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"], dtype=object)
 
-    return archives.mapInPandas(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    places = index.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places"))  # of one archive
+    return archives.join(places, "name").select("content", "places").mapInPandas(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
-def archive(pages: DataFrame, archive_bytes: int = 16 << 20, **names: str) -> DataFrame:
-    """Write pages as monolithic archives, normalise them, and return the table of normalised archives with their index."""
-    spark = pages.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 500)
+def archive(pages: DataFrame, archive_bytes: int = 16 << 20, **names: str) -> tuple[DataFrame, DataFrame]:
+    """Write pages as monolithic archives and normalise them: the table of archives (name, content) and its sidecar index."""
     whole = stored(write_monolithic(with_types(pages, **names), archive_bytes))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)  # a row is a whole archive
-    out = stored(normalise(whole))
+    both = stored(normalise(whole))
     drop_stored(whole)
-    return out
+    return both.select("name", "content"), stored(sidecar(both))

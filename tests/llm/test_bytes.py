@@ -163,20 +163,41 @@ def test_warc_records_and_index(spark):
     big = "<p>" + "x" * 2000
     pages = [(1, "http://a/", big), (2, "http://b/\r\nX: y", big), (3, None, None), (4, "http://c/", "small"), (5, "u", "small"), (None, "n", big), (7, "é", "é" * 600), (7, "é", "é" * 600)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "'q' as digest", "1 as n", "2 as p", "3 as payload")
-    archives = warc.archive(df, archive_bytes=3000)
-    rows = warc.read(archives).collect()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    archives, index = warc.archive(df, archive_bytes=3000)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    rows = warc.read(archives, index).collect()
     assert len(rows) == len(pages)
     by = {r["page_id"]: r for r in rows if r["page_id"] is not None}
     assert (by[1]["record_type"], by[1]["refers_to"], by[1]["payload_bytes"]) == ("revisit", 2, len(big))
     assert by[2]["record_type"] == "response" and by[3]["payload_bytes"] == 0 and by[4]["record_type"] == by[5]["record_type"] == "response"
     assert [r["record_type"] for r in rows if r["page_id"] == 7] == ["response"] * 2
     assert [r["record_type"] for r in rows if r["page_id"] is None] == ["revisit"]
+    places = index.collect()
+    assert len({(p["name"], p["offset"]) for p in places}) == len(pages)
     for a in archives.collect():
-        content = bytes(a["content"])
-        assert gzip.GzipFile(fileobj=io.BytesIO(content)).read().count(b"WARC/1.1\r\n") == len(a["offsets"])
-        for at, n in zip(a["offsets"], a["lengths"], strict=True):
-            assert gzip.decompress(content[at : at + n]).startswith(b"WARC/1.1\r\n")
-    assert warc.read(warc.archive(df.limit(0))).count() == 0
+        content, own = bytes(a["content"]), sorted((p["offset"], p["length"], p["record_id"]) for p in places if p["name"] == a["name"])
+        assert gzip.GzipFile(fileobj=io.BytesIO(content)).read().count(b"WARC/1.1\r\n") == len(own)
+        assert [at for at, _, _ in own] == [sum(n for _, n, _ in own[:i]) for i in range(len(own))] and sum(n for _, n, _ in own) == len(content)
+        for at, n, name in own:
+            data = gzip.decompress(content[at : at + n])
+            assert data.startswith(b"WARC/1.1\r\n") and warc.headers(data)["warc-record-id"] == name
+    one = warc.read(archives, index.where("record_id = '<urn:page:3>'")).collect()
+    assert [(r["page_id"], r["payload_bytes"], bytes(r["payload"])) for r in one] == [(3, 0, b"")]
+    archives, index = warc.archive(df.limit(0))
+    assert warc.read(archives, index).count() == 0
+
+
+def test_warc_batches_and_large_pages(spark):
+    """Pages over the archive size, and readers that run under other batch sizes than the writers."""
+    df = spark.createDataFrame([(i, f"http://a/{i}", "<p>" + str(i) * 50_000) for i in range(10)], "page_id long, url string, html string").coalesce(1)
+    archives, index = warc.archive(df, archive_bytes=1000)
+    assert archives.count() == 10
+    got, before = warc.read(archives, index), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for n in ("1", "3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        assert sorted((r["page_id"], r["payload_bytes"]) for r in got.collect()) == [(i, 50_003) for i in range(10)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def test_split_records_over_any_members():

@@ -4,8 +4,10 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from contrail.llm import near_dup
+from contrail.llm.common import join_hot, stored
 from contrail.llm.queries import op4_near_dup
 
 
@@ -89,6 +91,38 @@ def test_one_leader_and_the_rest_agree(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(df, leaders=1).collect()} == classes(rows)
 
 
+def test_shared_and_null_ids_lose_no_link(spark):
+    random.seed(11)
+    word = lambda: "".join(random.choice("abcdefghijklm") for _ in range(5))
+    a, b, c = (" ".join(word() for _ in range(150)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " w"), (3, b + " w"), (None, c), (None, c + " w"), (4, None), (4, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class_id", F.lit(1)).withColumn("n", F.lit(2))
+    got = near_dup.near_duplicates(df).collect()
+    assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in got), key=repr) == sorted([(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (None, None, 1), (None, None, 1), (4, 4, 0), (4, 4, 0), (None, None, 0)], key=repr)
+    keys = Counter(r["class_key"] for r in got)
+    assert keys.pop(None) == 3 and sorted(keys.values()) == [2, 2, 2]
+
+
+def test_links_of_hot_groups(spark):
+    """Every key that can be hot is: one text with many copies, a hub with many near copies, null ids."""
+    rows = near_rows() + [(1000 + i, "same text over and over again") for i in range(3000)] + [(None, None)] * 1500
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_dup.near_duplicates(df).collect()
+    assert len(got) == len(rows)
+    want = classes(near_rows()) | {1000 + i: 1000 for i in range(3000)}
+    assert {r["doc_id"]: r["class_id"] for r in got if r["doc_id"] is not None} == want
+    assert {(r["class_id"], r["n_links"]) for r in got if r["doc_id"] is None} == {(None, 0)}
+
+
+def test_join_hot(spark):
+    big = stored(spark.createDataFrame([(k, i) for i, k in enumerate([1] * 3000 + [2] * 5 + [None] * 2000 + [3])], "k long, i long").repartition(2))
+    small = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k long, s string")
+    for how, n in (("inner", 6005), ("left", 6000 + 5 + 2000 + 1), ("left_semi", 3005)):
+        got = join_hot(big, small, "k", how)
+        assert got.count() == n == big.join(small, "k", how).count()
+        assert got.columns == (["k", "i"] if how == "left_semi" else ["k", "i", "s"])
+
+
 def test_odd_inputs(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "a b c")], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["class_id"]) for r in near_dup.near_duplicates(df).collect())

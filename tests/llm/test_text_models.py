@@ -41,6 +41,34 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [math.log(segmentations(w, by)) for w in words])
 
 
+def test_long_runs_are_summed_whole():
+    """A rolling window over a run equals the plain forward pass in log space, however long the run is."""
+    vocab = sorted(["a", "b", "ab", "ba", "abba", "▁", "▁a", "bab"])
+    p = np.vstack([np.random.default_rng(1).uniform(1e-4, 0.3, (len(vocab), 2)), np.zeros((1, 2))])
+    word = "▁" + "".join(np.random.default_rng(2).choice(list("abbac"), 50_000))
+    logs = [np.zeros(2)]
+    for e in range(1, len(word) + 1):
+        terms = []
+        for n in range(1, min(5, e) + 1):
+            piece = word[e - n : e]
+            q = p[vocab.index(piece)] if piece in vocab else np.zeros(2)
+            q = np.maximum(q, language_id._FLOOR) if n == 1 else q
+            terms.append(logs[e - n] + np.log(np.maximum(q, 1e-300)))
+        logs.append(np.logaddexp.reduce(terms, axis=0))
+    pieces = language_id.Pieces(vocab)
+    assert np.allclose(language_id.log_likelihoods([word], pieces, p)[0], logs[-1], rtol=1e-9)
+    for n in (20, 31, 32, 33, 40, 4096, 4097, 8200):
+        assert np.allclose(language_id.log_likelihoods([word[:n]], pieces, p)[0], logs[n], rtol=1e-9)
+
+
+def test_letters_alone_are_words(spark):
+    assert language_id.letter_runs("A²b ½ ① x_y 3d é") == ["a", "b", "x", "y", "d", "é"]
+    rows = [(1, "½ ²"), (2, "①"), (3, "Ⅷ ٣"), (4, "the ½ cat")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = language_id.fit(spark.createDataFrame([(1, "the cat", "en"), (2, "le chat", "fr")], "doc_id long, text string, lang string"), list("acehlt") + ["▁the"])
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.predict(df, model).collect()} == {1: "und", 2: "und", 3: "und", 4: "en"}
+
+
 def test_expected_counts():
     vocab = ["a", "aa"]
     p = np.array([[0.5], [0.2], [0.0]])
