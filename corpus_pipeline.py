@@ -7,11 +7,11 @@ they keep; mixing returns a row as often as the mix takes it; the last stage ret
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contrail.llm import bpe, language_id, mixing, near_dup, toxicity
-from contrail.llm.common import held_out, stored, table
+from contrail.llm.common import drop_stored, held_out, stored, table, with_small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,33 +30,27 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(keyed, model, id_col="row").where("predicted = 0").select("row.*")
 
 
-def text_key(docs: DataFrame, text_col: str = "text") -> Column:
-    """A 64-bit key of a text that no two different texts of ``docs`` share: a hash whose seed is raised while two do."""
-    seed = 0
-    while True:
-        key = F.xxhash64(F.lit(seed), F.col(text_col))
-        texts = docs.where(F.col(text_col).isNotNull()).select(key.alias("key"), F.sha2(text_col, 256).alias("h")).groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
-        if texts.where("low <> high").isEmpty():
-            return key
-        seed += 1
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each class of texts: that of the smallest id (a null id after all others), then of a hash of the row.
 
     Texts, not ids, are compared: rows without id or with an id that others have too are rows like all others. A row
     without text is like no other; only its exact repeats under the same id fall away.
     """
-    rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.xxhash64("lang", "source", "n_chars").alias("r"))
-    said = docs.where("text is not null").withColumn("key", text_key(docs)).withColumn("rank", rank)
-    least = stored(said.groupBy("key").agg(F.min("rank").alias("rank")))
-    same = (F.col("said.key") == F.col("least.key")) & F.col("said.rank.doc_id").eqNullSafe(F.col("least.rank.doc_id")) & (F.col("said.rank.r") == F.col("least.rank.r"))
-    texts = stored(said.alias("said").join(least.alias("least"), same, "left_semi").dropDuplicates(["key"]))
-    classes = near_dup.near_duplicates(texts, id_col="key").join(least, "key")
-    keep = classes.groupBy("class_id").agg(F.min(F.struct("rank", "key")).alias("b")).select("b.key")
+    said = docs.where("text is not null").withColumn("key", near_dup.text_key("text"))
+    said = said.withColumn("rank", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.xxhash64("key", "lang", "source", "n_chars").alias("r")))
+    linked = near_dup.text_classes(docs)
+    # the best row of each text, then of each class; only these meet the texts, by a hash of the row that copies do not share
+    best = stored(said.groupBy("key").agg(F.min("rank").alias("rank")).join(linked.select("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+    keep = best.groupBy("root").agg(F.min(F.struct("rank", "key")).alias("b")).select("b.rank", "b.key")
+    keep = stored(keep.select(F.col("key").alias("k"), F.col("rank.doc_id").alias("i"), F.col("rank.r").alias("r")).withColumn("spread", F.xxhash64("k", "i", "r")))
+    for done in (linked, best):
+        drop_stored(done)
+    said = said.withColumn("spread", F.xxhash64("key", "doc_id", "rank.r"))
+    same = (said["spread"] == keep["spread"]) & (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("rank.r") == keep["r"])
+    kept = said.join(keep, same, "left_semi").dropDuplicates(["key"])
     silent = docs.where("text is null")
     silent = silent.where("doc_id is not null").dropDuplicates(COLUMNS).union(silent.where("doc_id is null"))
-    return texts.join(keep, "key", "left_semi").select(*COLUMNS).union(silent.select(*COLUMNS))
+    return kept.select(*COLUMNS).union(silent.select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +64,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(docs, bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
 
 
-STAGES = [("language_id", language), ("toxicity", toxic), ("near_duplicates", near_duplicates), ("mixing", mix), ("bpe", encode)]
+STAGES = [(name, with_small_batches(f)) for name, f in (("language_id", language), ("toxicity", toxic), ("near_duplicates", near_duplicates), ("mixing", mix), ("bpe", encode))]
 
 #: The stages learn models and hash words: SQL can't express them. tests/llm holds the operators
 #: against brute force, and of the stages near_duplicates alone, on null and shared ids.
