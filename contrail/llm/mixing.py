@@ -10,9 +10,14 @@ hash of the id, the documents whose middle falls within the remaining words, so
 its target. The order's running sum is split: a large source is cut by hash into parts of about ``rows_per_part`` rows
 that are summed apart, and the parts' totals are summed after that; no source meets in one task.
 
+Texts are read once for their sizes; all else works on a stored table of ids, sources and sizes. Where columns of the
+documents are asked for (``keep``), the documents taken once more are a prefix of their source's order, so each source's
+last one decides: a row for each source is joined to the documents, which are not shuffled.
+
 Defined cases: a null or empty text has size 0; a null source is a source, last in order; a source of size 0 has target
-0; ties of the hash are broken by the id; repeated rows are separate documents; null ids are allowed; an empty table gives
-no rows. Only built-in DataFrame functions are used.
+0; ties of the hash are broken by the id, then by a hash of the text; rows without id are ordered by that hash; repeated
+rows are separate documents, but with ``keep`` rows alike in source, id and text are taken alike; an empty table gives no
+rows. Only built-in DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contrail.llm.common import WORD
+from contrail.llm.common import WORD, drop_stored, stored
 
 
 def words(text: str | Column) -> Column:
@@ -56,8 +61,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     ``repetitions`` is how often the mix takes the document, ``taken`` its words in the mix.
     """
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), words(text_col).alias("size"), *[F.col(c).alias(f"__keep_{c}") for c in keep])
-    rows = rows.withColumn("order", order_of(F.col("__id"), seed))
+    tie = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    order = order_of(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), tie.cast("string"))), seed)
+    base = [F.col(id_col).alias("__id"), F.col(source_col).alias("source"), order.alias("order"), tie.alias("tie"), words(text_col).alias("size")]
+    rows = stored(docs.select(*base))
     sizes = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, max_epochs)
     sizes = sizes.select(F.col("source").alias("__source"), "source_size", "n", "target")
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -69,8 +76,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ahead = Window.partitionBy("__source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(F.col("__source").alias("__s"), F.col("part").alias("__p"), F.coalesce(F.sum("part_size").over(ahead), F.lit(0)).alias("before_part"))
     x = x.join(totals, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("part") == F.col("__p")))
-    inside = Window.partitionBy("__source", "part").orderBy("order", F.col("__id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__source", "part").orderBy("order", F.col("__id").asc_nulls_last(), "tie").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before_part") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    more = (start + F.col("size") / 2.0 <= F.col("rest")) & (F.col("whole") < max_epochs)
-    x = x.withColumn("repetitions", (F.col("whole") + more.cast("long")).cast("long"))
+    x = x.withColumn("more", (start + F.col("size") / 2.0 <= F.col("rest")) & (F.col("whole") < max_epochs))
+    place = F.struct("order", F.col("__id").isNull().alias("none"), "__id", "tie")
+    if keep:
+        last = x.where("more").groupBy("__source").agg(F.max(place).alias("last"))
+        each = sizes.join(last.withColumnRenamed("__source", "__s"), F.col("__source").eqNullSafe(F.col("__s")), "left")
+        each = stored(each.select("__source", "source_size", "target", F.floor(epochs).alias("whole"), "last"))
+        drop_stored(rows)
+        x = docs.select(*base, *[F.col(c).alias(f"__keep_{c}") for c in keep]).join(each, F.col("source").eqNullSafe(F.col("__source")))
+        x = x.withColumn("more", F.coalesce(place <= F.col("last"), F.lit(False)))
+    x = x.withColumn("repetitions", (F.col("whole") + F.col("more").cast("long")).cast("long"))
     return x.select(F.col("__id").alias(id_col), "size", "source", "source_size", "target", "repetitions", (F.col("repetitions") * F.col("size")).alias("taken"), *[F.col(f"__keep_{c}").alias(c) for c in keep if c not in (id_col, source_col)])

@@ -22,8 +22,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages through monolithic archives, the normaliser and back by the offset index."""
-    archives, index = warc.archive(table(spark, sf_dir, "pages"))
-    return warc.read(archives, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    archives, _ = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url."""
-    model = url_filter.fit(url_filter.labelled_table(spark))
+    model = url_filter.fit(url_filter.labelled_table(spark).where("not held_out"))
     return url_filter.judge(table(spark, sf_dir, "pages"), model, URL_RULES)
 
 
@@ -61,15 +61,18 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = syncmers.with_next(table(spark, sf_dir, "documents"), syncmers.fingerprint)
     kept, new = syncmers.edited_parts(F.col("text"), F.col("next_text"))
     x = x.withColumn("edited_fp", syncmers.joined(F.col("fp"), F.col("next_fp"), kept, new))
-    fp, efp, nfp = (F.array_distinct(c) for c in ("fp.hashes", "edited_fp", "next_fp.hashes"))
+    fp, efp, nfp = (F.array_distinct(F.col(c)["hashes"]) for c in ("fp", "edited_fp", "next_fp"))
+    x = x.withColumn("fingerprint", syncmers.encoded(F.col("fp"))).withColumn("edited_fingerprint", syncmers.encoded(F.col("edited_fp")))
     return x.select(
         F.col("id").alias("doc_id"),
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.concat(kept, new), 256).alias("edited_sha256"),
-        syncmers.digest(F.col("fp.hashes")).alias("fingerprint"),
-        syncmers.digest(F.col("edited_fp")).alias("edited_fingerprint"),
+        "fingerprint",
+        "edited_fingerprint",
         syncmers.likeness(fp, efp).alias("near_edited"),
         syncmers.likeness(fp, nfp).alias("near_next"),
+        syncmers.in_place(F.col("fp"), F.col("edited_fp")).alias("in_place_edited"),
+        F.sha2("fingerprint", 256).alias("fingerprint_sha256"),
     )
 
 

@@ -4,8 +4,9 @@ A text's features are the hashed character n-grams (3 to 5 characters, word ends
 counts once however often it occurs. ``r = log((p/|p|)/(q/|q|))`` of the smoothed document counts in both classes
 scales a feature; a logistic regression with L2 penalty learns on the scaled features.
 
-Training reads a bounded sample of the labelled rows (``max_rows_per_class``, a hash of the id decides) and runs on the
-driver; the model is one float for each hash bucket, broadcast at a fixed size of ``buckets * 4`` bytes. Scoring is one
+Training reads a bounded sample of the labelled rows (about ``max_rows_per_class``, a hash of the id decides) and runs on the
+driver. The sample's n-grams are bounded too: if they took more than ``max_bytes``, as with very long texts, a smaller share
+of the rows is taken, again by a hash of the id; no row has more than one number for each hash bucket. The model is one float for each hash bucket, broadcast at a fixed size of ``buckets * 4`` bytes. Scoring is one
 pass without a shuffle.
 
 Defined cases: null and empty texts, and texts without a word, get the score of a text with no features; repeated rows
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contrail.llm.common import bounded_sample, held_out, slices
+from contrail.llm.common import bounded_sample, drop_stored, held_out, slices, stored, uniform
 
 _WORDS = re.compile(r"[^\W_]+")
 _MEMO = 200_000
@@ -101,8 +102,9 @@ def fit_arrays(rows: list[np.ndarray], labels: np.ndarray, buckets: int, alpha:
     return Toxicity(weights, float(b))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows_per_class: int = 1500, buckets: int = 1 << 18, low: int = 3, high: int = 5) -> Toxicity:
-    """Learn from at most about ``max_rows_per_class`` rows of each class. Rows with a null label are left out."""
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows_per_class: int = 1500, buckets: int = 1 << 18, low: int = 3, high: int = 5, max_bytes: int = 64 << 20) -> Toxicity:
+    """Learn from at most about ``max_rows_per_class`` rows of each class and ``max_bytes`` of their n-grams, four bytes each.
+    Rows with a null label are left out."""
     rows = labelled.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("int").alias("y")).where("y is not null")
     rows = bounded_sample(rows, "y", "k", max_rows_per_class)
 
@@ -111,7 +113,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
         for b in slices(batches):
             yield pd.DataFrame({"y": b["y"], "k": b["k"].astype("string"), "x": [f.of_text(t).tobytes() for t in b["t"]]})
 
-    got = sorted(rows.mapInPandas(features, "y int, k string, x binary").collect(), key=lambda r: (r["k"] or "", bytes(r["x"])))
+    sample = stored(rows.mapInPandas(features, "y int, k string, x binary"))
+    size = sample.agg(F.sum(F.length("x"))).first()[0] or 0
+    if size > max_bytes:
+        sample = sample.where(uniform("k", "x", seed=1) < max_bytes / size)
+    got = sorted(sample.collect(), key=lambda r: (r["k"] or "", bytes(r["x"])))
+    drop_stored(sample)
     return fit_arrays([np.frombuffer(r["x"], np.int32) for r in got], np.array([1 if r["y"] == 1 else 0 for r in got]), buckets)
 
 

@@ -5,7 +5,7 @@ or the end; both empty for null and for URLs without ``://``. A rule (host and p
 subdomains if the path starts with the rule's path; the longest rule that fits decides. Rules are a short list written
 into the expression.
 
-The model is trained from a small labelled URL table on hashed n-grams of ``host`` and of ``path`` (1 to 3 bytes of
+The model is trained from a small labelled URL table (448 invented URLs, see ``labelled_table``) on hashed n-grams of ``host`` and of ``path`` (1 to 3 bytes of
 UTF-8, host and path kept apart), with Spark's own logistic regression; features, training and scoring stay in the JVM.
 
 Defined cases: null and malformed URLs have empty host and path, no rule fits, the model judges the empty strings;
@@ -26,20 +26,15 @@ from contrail.llm.common import let
 #: (verdict, host and path) of each rule.
 Rule = tuple[str, str]
 
-#: Labelled URLs for training: 1 is to be blocked. Invented hosts under reserved names.
-LABELLED = {
-    1: """http://casino-win.example/slots/bonus http://free-casino.example/jackpot http://bet-now.example/odds/live http://poker-cash.example/play
-        http://cheap-pills.example/viagra http://pharma-deals.example/order-pills http://xxx-cams.example/adult http://adult-tube.example/xxx/video
-        http://ads.tracker.example/click?id=1 http://ad-server.example/banner/728x90 http://track.click.example/pixel.gif http://clickbait.example/you-wont-believe
-        http://warez-crack.example/keygen http://torrent-free.example/download/crack http://spam-seo.example/buy-backlinks http://loan-fast.example/payday
-        http://crypto-double.example/free-bitcoin http://win-prize.example/claim-now http://phish-login.example/verify-account http://secure-update.example/login.php
-        http://replica-watches.example/sale http://diet-miracle.example/lose-weight-fast http://hot-singles.example/dating http://get-rich.example/make-money-online""",
-    0: """http://news.example/world/article http://blog.example/en/post http://docs.example/guide/intro http://wiki.example/wiki/history
-        http://university.example/research/paper http://library.example/catalog/books http://museum.example/exhibits http://school.example/courses/math
-        http://weather.example/forecast/today http://recipes.example/soup/tomato http://garden.example/plants/roses http://travel.example/fr/paris
-        http://science.example/physics/quantum http://health.example/topics/sleep http://city.example/council/minutes http://sports.example/football/results
-        http://music.example/albums/jazz http://code.example/docs/tutorial.html http://forum.example/t/question http://journal.example/de/artikel
-        http://m.example.net/es/noticias http://www.example.org/en/about.html http://shop.example/books/children http://parks.example/trails/map""",
+#: Words of the labelled URLs, invented hosts under reserved names: 1 is to be blocked, 0 is not.
+WORDS = {
+    1: "casino jackpot poker slots betting viagra pills pharmacy-deals xxx adult-cams escort warez keygen torrent-crack payday-loan free-bitcoin crypto-double lottery-win replica-watches diet-miracle hot-singles get-rich clickbait ad-banner tracker-pixel phishing verify-account buy-backlinks",
+    0: "news library museum university science weather recipes garden travel health council football music albums tutorial forum journal books children maps history physics gallery theatre railway archive newsletter gardening",
+}
+#: Forms of a labelled URL; ``{w}`` is its word, ``{n}`` its number in the table.
+FORMS = {
+    1: ("http://{w}.example/", "http://www.{w}-{n}.example/play", "https://{w}-now.example/claim?id={n}", "http://site{n}.example/{w}/bonus", "http://best-{w}.example/free/{n}", "https://go.example/{w}/click.php", "http://{w}{n}.example/win/index.html", "http://cheap.example/offers/{w}-{n}"),
+    0: ("http://{w}.example/", "http://www.{w}-{n}.example/about", "https://{w}.example/en/article-{n}.html", "http://site{n}.example/{w}/2024", "http://city-{w}.example/de/{n}", "https://pages.example/{w}/index.html", "http://{w}{n}.example/fr/guide", "http://open.example/docs/{w}-{n}"),
 }
 
 
@@ -84,7 +79,9 @@ def features(urls: DataFrame, url_col: str = "url", low: int = 1, high: int = 3)
 
 
 def labelled_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(float(y), u) for y, urls in LABELLED.items() for u in urls.split()], "label double, url string")
+    """``label, url, held_out``: each word in each form; a fifth of the words, in all forms, is held out of training."""
+    rows = [(float(y), form.format(w=w, n=17 * i + j), i % 5 == 4) for y, said in WORDS.items() for i, w in enumerate(said.split()) for j, form in enumerate(FORMS[y])]
+    return spark.createDataFrame(rows, "label double, url string, held_out boolean")
 
 
 def fit(labelled: DataFrame, url_col: str = "url", buckets: int = 1 << 12) -> PipelineModel:

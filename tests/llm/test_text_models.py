@@ -117,3 +117,35 @@ def test_toxicity_edge_cases(spark):
     one = toxicity.fit(train.where("toxic = 0"))
     assert {r["predicted"] for r in toxicity.score(docs, one).collect()} == {0}
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_ratios_and_scores_by_hand(spark):
+    """Features, log-count ratios, one step of the regression and a score against their definitions."""
+    f = toxicity.Features(1 << 18, 3, 5)
+    grams = lambda t: {zlib.crc32(g.encode()) & ((1 << 18) - 1) for w in set(t.split()) for m in ["^" + w + "$"] for k in (3, 4, 5) for g in [m[i : i + k] for i in range(len(m) - k + 1)]}
+    texts, y = ["you idiot you", "bad idiot", "the cat", "the cat sat", ""], np.array([1, 1, 0, 0, 0])
+    assert [set(f.of_text(t).tolist()) for t in texts] == [grams(t) for t in texts]
+    assert all(len(f.of_text(t)) == len(grams(t)) for t in texts)
+    model = toxicity.fit_arrays([f.of_text(t) for t in texts], y, 1 << 18, steps=1)
+    pos, neg = sum(y), len(y) - sum(y)
+    for g in set().union(*map(grams, texts)):
+        p, q = (sum(g in grams(t) for t, c in zip(texts, y, strict=True) if c == k) for k in (1, 0))
+        ratio = math.log(((p + 1) / (pos + 2)) / ((q + 1) / (neg + 2)))
+        gradient = ratio * sum((0.5 / pos * -0.5 if c else 0.5 / neg * 0.5) for t, c in zip(texts, y, strict=True) if g in grams(t))
+        assert abs(model.weights[g] - (0.02 * -np.sign(gradient) * ratio if abs(gradient) > 1e-6 else 0)) < 1e-4
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        assert abs(got[i] - 1 / (1 + math.exp(-(sum(float(model.weights[g]) for g in grams(t)) + model.bias)))) < 1e-6
+
+
+def test_labelled_rows(spark):
+    """Rows held out, without label or with conflicting labels, and repeated ids."""
+    ids = [i for i in range(40)]
+    docs = spark.createDataFrame([(i, f"t{i}", "x") for i in ids] + [(1, "again", "x"), (None, "n", "x")], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] + [(2, 1), (3, None), (None, 1)], "doc_id long, toxic int")
+    got = sorted((r["doc_id"], r["text"], r["toxic"]) for r in toxicity.labelled_rows(docs, labels).collect())
+    free = [i for i in ids if zlib.crc32(str(i).encode()) % 5]
+    want = [(i, f"t{i}", 1 if i == 2 else i % 2) for i in free] + ([(1, "again", 1)] if 1 in free else [])
+    assert got == sorted(want)
+    small = toxicity.fit(spark.createDataFrame([(i, "word%d other%d" % (i, i), i % 2) for i in range(200)], "doc_id long, text string, toxic int"), max_bytes=4000)
+    assert 0 < np.count_nonzero(small.weights) < 2500
