@@ -86,6 +86,11 @@ def decision_steps(text: Column, default_hold: float = HOLD, max_steps: int = MA
     return _let(F.coalesce(_object(fence_strip(text, strict=True)), F.parse_json(F.lit("{}"))), of)
 
 
+def first_action(text: Column) -> Column:
+    """The whole action of a decision's first step."""
+    return action_vector(F.get(decision_steps(text), F.lit(0))["action"])
+
+
 def _said(v: Column, key: str) -> Column:
     """A value as text: strings as they are, others as JSON, null for a JSON null."""
     return F.try_variant_get(v, f"$.{key}", "string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contrail.functions import geo, text
+from contrail.functions import decisions, geo, text
 
 
 def command_lines(units: DataFrame, plans: DataFrame) -> DataFrame:
@@ -22,3 +22,14 @@ def command_lines(units: DataFrame, plans: DataFrame) -> DataFrame:
     said = F.trim(F.concat_ws(" ", turn, geo.altitude_command(F.col("z"), F.col("intent") == "climb")))
     told = red.select("ctx", "n", said.alias("a")).where("a <> ''").groupBy("ctx").agg(F.array_sort(F.collect_list(F.struct("n", F.concat(F.lit("red"), F.col("n").cast("string"), F.lit(" "), F.col("a")).alias("c")))).alias("x"))
     return plans.select("ctx").join(told, "ctx", "left").select("ctx", F.concat(F.lit("##"), F.coalesce(F.array_join("x.c", " "), F.lit("")), F.lit("##")).alias("line"))
+
+
+def execute(rows: DataFrame, ctx: str = "ctx", context: str = "context", plan: str = "plan") -> DataFrame:
+    """``ctx, line`` for each row: the commands of a plan for the units that a context's text lists.
+
+    A null context has no units, a null plan is an intercept; a context named twice is one context only if all rows of the
+    name are equal, so names should be unique.
+    """
+    given = rows.select(F.col(ctx).alias("ctx"), F.col(context).alias("context"), F.col(plan).alias("plan"))
+    units = given.select("ctx", F.explode(decisions.context_units(F.col("context"))).alias("u")).select("ctx", "u.*")
+    return command_lines(units.withColumn("n", F.regexp_extract("unit", "[0-9]+$", 0).cast("int")), given.select("ctx", "plan"))

@@ -1,7 +1,11 @@
-"""Recorder tracks: dimension, launches, range joins, snapshots, carried-forward states.
+"""Recorder tracks: dimension, launches, range joins, snapshots, exports, carried-forward states.
 
-Range joins are equi-joins on time buckets with the exact condition as residual: a probe row visits its own bucket and
-both neighbours, a build row is in one bucket, so each pair meets once and nothing is planned as a nested loop.
+Tracks are rows ``seq, obj_id, type, t, lon, lat, alt, side, launch`` (``sources.recorder.read_xml`` gives them) and any
+attributes of the object. An object is an aircraft from its first row of type ``Aircraft`` on; that row's attributes hold
+for the whole recording. Only aircraft launch, and only their rows of that type are positions.
+
+Range joins are equi-joins on time buckets with the exact condition as residual: rows of one side visit their own bucket
+and both neighbours, rows of the other are in one bucket, so each pair meets once and nothing is planned as a nested loop.
 """
 
 from __future__ import annotations
@@ -9,25 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contrail.functions.geo import bearing_deg, distance_km
-
-#: Seconds of 2024-01-01 UTC since the epoch: origin of the track times.
-ORIGIN = 1704067200
+from contrail.functions.geo import FOOT_M, NM_PER_KM, bearing_deg, distance_km
+from contrail.functions.text import fixed
 
+#: The type of rows that register an object and that are its positions; sides that a summary counts.
+AIRCRAFT = "Aircraft"
+ALLIES, ENEMIES = "Allies", "Enemies"
 
-def tracks(events: DataFrame) -> DataFrame:
-    """``seq, obj_id, t, lon, lat, alt, side, launch`` of the events table."""
-    e = F.col("event_id")
-    return events.select(
-        e.alias("seq"),
-        F.col("user_id").alias("obj_id"),
-        (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - ORIGIN).alias("t"),
-        (30 + e * 7919 % 10000 / 1000.0).alias("lon"),
-        (40 + e * 104729 % 10000 / 2000.0).alias("lat"),
-        (1000 + F.col("value") * 10).alias("alt"),
-        (F.col("user_id") % 2).alias("side"),
-        (F.col("event_type") == "error").alias("launch"),
-    )
+_PLACE = ("seq", "obj_id", "t", "lon", "lat", "alt")
 
 
 def first_seen(rows: DataFrame, key: str = "obj_id", order: str = "seq", attributes: tuple[str, ...] = ("side",)) -> DataFrame:
@@ -36,38 +29,60 @@ def first_seen(rows: DataFrame, key: str = "obj_id", order: str = "seq", attribu
     return best.select(key, f"first_{order}", "a.*")
 
 
-def launches(rows: DataFrame) -> DataFrame:
-    """Launch rows whose object is known by then, numbered from 1 in document order.
+def aircraft(rows: DataFrame, attributes: tuple[str, ...] = ("side",)) -> DataFrame:
+    """``obj_id, first_seq`` and the attributes of each aircraft. A null id is an aircraft like any other."""
+    return first_seen(rows.where(F.col("type") == AIRCRAFT), attributes=attributes)
+
+
+def known(rows: DataFrame, attributes: tuple[str, ...] = ("side",)) -> DataFrame:
+    """The rows of aircraft, with ``first_seq`` and the attributes of the aircraft in place of their own."""
+    dim = aircraft(rows, attributes).withColumnRenamed("obj_id", "__obj")
+    return rows.drop(*attributes).join(dim, F.col("obj_id").eqNullSafe(F.col("__obj"))).drop("__obj")
+
+
+def _launched() -> Column:
+    return F.col("launch") & (F.col("first_seq") <= F.col("seq"))
+
+
+def _positions(every: DataFrame, prefix: str, attributes: tuple[str, ...]) -> DataFrame:
+    """Positions of aircraft. None is before its aircraft's first; the test keeps the dimension alike on both sides of a
+    join, so that it is made once."""
+    rows = every.where((F.col("type") == AIRCRAFT) & (F.col("seq") >= F.col("first_seq")))
+    return rows.select(*[F.col(c).alias(prefix + c) for c in (*_PLACE, *attributes)])
 
-    The number is a sum over ranges of ``seq``, so no task needs all launches.
-    """
-    known = first_seen(rows).select("obj_id", F.col("first_seq"), F.col("side").alias("own_side"))
-    return rows.where("launch").join(known, "obj_id").where("first_seq <= seq").drop("side").withColumnRenamed("own_side", "side")
+
+def launches(rows: DataFrame, attributes: tuple[str, ...] = ("side",)) -> DataFrame:
+    """Launch rows of objects that are aircraft by then, with the aircraft's attributes."""
+    return known(rows, attributes).where(_launched())
 
 
 def numbered(rows: DataFrame, order: str = "seq", block: int = 4096) -> DataFrame:
-    """Adds ``idx``, 1-based in the order of a whole number column: counts of blocks, then ranks within a block."""
+    """Adds ``idx``, 1-based in the order of a whole number column: counts of blocks and of blocks of blocks, then ranks
+    within a block, so that no task holds more than a share of the blocks."""
     x = rows.withColumn("__block", F.floor(F.col(order) / block))
-    before = x.groupBy("__block").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    x = x.join(before.drop("__n"), "__block")
+    counts = x.groupBy("__block").agg(F.count(F.lit(1)).alias("__n")).withColumn("__super", F.floor(F.col("__block") / block))
+    ahead = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    supers = counts.groupBy("__super").agg(F.sum("__n").alias("__n")).select("__super", ahead(Window.orderBy("__super")).alias("__earlier"))
+    before = counts.withColumn("__before", ahead(Window.partitionBy("__super").orderBy("__block"))).drop("__n").join(supers, "__super")
+    x = x.join(before.select("__block", (F.col("__before") + F.col("__earlier")).alias("__before")), "__block")
     return x.withColumn("idx", F.col("__before") + F.row_number().over(Window.partitionBy("__block").orderBy(order))).drop("__block", "__before")
 
 
-def range_join(probe: DataFrame, build: DataFrame, probe_t: str, build_t: str, width: float, residual: Column | None = None) -> DataFrame:
-    """Inner join on ``abs(probe_t - build_t) <= width`` and the residual. Column names of both sides must differ."""
-    b = F.floor(F.col(probe_t) / width)
-    left = probe.withColumn("__bucket", F.explode(F.array(b - 1, b, b + 1)))
-    right = build.withColumn("__b", F.floor(F.col(build_t) / width))
-    on = (F.col("__bucket") == F.col("__b")) & (F.abs(F.col(build_t) - F.col(probe_t)) <= width)
-    return left.join(right, on if residual is None else on & residual).drop("__bucket", "__b")
-
+def range_join(probe: DataFrame, build: DataFrame, probe_t: str, build_t: str, width: float, residual: Column | None = None, how: str = "inner", spread: str = "probe") -> DataFrame:
+    """Join on ``abs(probe_t - build_t) <= width`` and the residual. Column names of both sides must differ.
 
-def _named(rows: DataFrame, prefix: str) -> DataFrame:
-    return rows.select(*[F.col(c).alias(prefix + c) for c in ("seq", "obj_id", "t", "lon", "lat", "alt", "side")])
+    ``spread``: the side whose rows visit three buckets. With ``build`` a probe row of a left join that has no partner
+    comes once, with ``probe`` as often as it finds none in a bucket."""
+    at = lambda t: F.floor(F.col(t) / width)
+    three = lambda t: F.explode(F.array(at(t) - 1, at(t), at(t) + 1))
+    left = probe.withColumn("__bucket", three(probe_t) if spread == "probe" else at(probe_t))
+    right = build.withColumn("__b", three(build_t) if spread == "build" else at(build_t))
+    on = (F.col("__bucket") == F.col("__b")) & (F.abs(F.col(build_t) - F.col(probe_t)) <= width)
+    return left.join(right, on if residual is None else on & residual, how).drop("__bucket", "__b")
 
 
 def _opposing() -> Column:
-    return (F.col("obj_id") != F.col("e_obj_id")) & ~F.col("side").eqNullSafe(F.col("e_side"))
+    return ~F.col("obj_id").eqNullSafe(F.col("e_obj_id")) & ~F.col("side").eqNullSafe(F.col("e_side"))
 
 
 def _with_geometry(pairs: DataFrame) -> DataFrame:
@@ -75,29 +90,128 @@ def _with_geometry(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("dist", distance_km(*a, *b)).withColumn("brg", bearing_deg(a[0], a[1], b[0], b[1]))
 
 
-def nearest_enemy(rows: DataFrame, width: float = 5.0) -> DataFrame:
-    """Each launch with the nearest opposing position within ``width`` seconds (first in time, then document, of equals);
-    distance 0 and null id, time and bearing without one."""
-    l = launches(rows)
-    sides = first_seen(rows).select("obj_id", "side")
-    build = _named(rows.drop("side").join(sides, "obj_id"), "e_")
-    pairs = _with_geometry(range_join(l, build, "t", "e_t", width, _opposing())).where(~F.isnan("dist"))
-    best = pairs.groupBy("seq").agg(F.min(F.struct("dist", "e_t", "e_seq", "e_obj_id", "brg")).alias("b"))
-    x = l.join(best, "seq", "left")
-    return x.select("seq", "obj_id", "t", "lon", "lat", "alt", "side", F.coalesce("b.dist", F.lit(0.0)).alias("dist"), F.col("b.e_obj_id").alias("enemy_id"), F.col("b.e_t").alias("enemy_t"), F.col("b.brg").alias("brg"))
-
-
-def snapshots(rows: DataFrame, own_width: float = 5.0, enemy_width: float = 2.0) -> DataFrame:
-    """A row for each launch, own position around it (the last of equal times) and opposing object near that time (its
-    nearest position, the first of equals); objects are null where there is none."""
-    l = launches(rows).select(F.col("seq").alias("launch_seq"), F.col("t").alias("launch_t"), F.col("obj_id").alias("launch_obj"))
-    sides = first_seen(rows).select("obj_id", "side")
-    every = rows.drop("side", "launch").join(sides, "obj_id")
-    own = range_join(l, every, "launch_t", "t", own_width, F.col("launch_obj") == F.col("obj_id"))
+def _is_pair() -> Column:
+    return F.col("e_seq").isNotNull() & ~F.isnan("dist")
+
+
+def nearest_enemy(rows: DataFrame, width: float = 5.0, attributes: tuple[str, ...] = ("side",), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each launch with the nearest opposing position within ``width`` seconds (first in time, then document, of equals).
+
+    Adds ``dist`` (km, 0 without one), ``brg``, and the enemy's ``enemy_id, enemy_t, enemy_lon, enemy_lat, enemy_alt`` and
+    ``enemy_`` attributes, null without one. ``keep``: further columns of the launch rows.
+    """
+    every = known(rows, attributes)
+    l = every.where(_launched()).select(*_PLACE, *attributes, *keep)
+    pairs = _with_geometry(range_join(l, _positions(every, "e_", attributes), "t", "e_t", width, _opposing(), "left"))
+    enemy = ("e_obj_id", "e_lon", "e_lat", "e_alt", *[f"e_{a}" for a in attributes], "brg")
+    best = F.min(F.when(_is_pair(), F.struct("dist", "e_t", "e_seq", *enemy))).alias("b")
+    x = pairs.groupBy("seq").agg(F.first(F.struct(*[c for c in l.columns if c != "seq"])).alias("l"), best)
+    named = [F.col(f"b.e_{c}").alias(f"enemy_{c.removeprefix('obj_')}") for c in ("obj_id", "t", "lon", "lat", "alt", *attributes)]
+    return x.select("seq", "l.*", F.coalesce("b.dist", F.lit(0.0)).alias("dist"), F.col("b.brg").alias("brg"), *named)
+
+
+def snapshots(rows: DataFrame, own_width: float = 5.0, enemy_width: float = 2.0, attributes: tuple[str, ...] = ("side",)) -> DataFrame:
+    """A row for each launch, own position around it (the last of equal times) and opposing object near that time.
+
+    ``launch_seq, launch_t, obj_id, t, lon, lat, alt``, and of the enemy's nearest position (the first of equals)
+    ``enemy_id, dist, brg, enemy_lon, enemy_lat, enemy_alt``, its ``enemy_`` attributes, and ``met_t, met_seq``, when it is
+    first near; null where there is none.
+    """
+    every = known(rows, attributes)
+    l = every.where(_launched()).select(F.col("seq").alias("launch_seq"), F.col("t").alias("launch_t"), F.col("obj_id").alias("launch_obj"))
+    own = range_join(l, _positions(every, "", attributes), "launch_t", "t", own_width, F.col("launch_obj").eqNullSafe(F.col("obj_id")))
     own = own.groupBy("launch_seq", "launch_t", "obj_id", "t").agg(F.max_by(F.struct("lon", "lat", "alt", "side"), "seq").alias("p")).select("launch_seq", "launch_t", "obj_id", "t", "p.*")
-    pairs = _with_geometry(range_join(own, _named(every, "e_"), "t", "e_t", enemy_width, _opposing()))
-    best = pairs.groupBy("launch_seq", "t", "e_obj_id").agg(F.min(F.struct("dist", "e_t", "e_seq", "brg")).alias("b"))
-    return own.join(best, ["launch_seq", "t"], "left").select("launch_seq", "launch_t", "obj_id", "t", "lon", "lat", "alt", F.col("e_obj_id").alias("enemy_id"), F.col("b.dist").alias("dist"), F.col("b.brg").alias("brg"))
+    pairs = _with_geometry(range_join(own, _positions(every, "e_", attributes), "t", "e_t", enemy_width, _opposing(), "left", "build"))
+    others = ("lon", "lat", "alt", *attributes)
+    best = F.min(F.when(_is_pair(), F.struct("dist", "e_t", "e_seq", *[f"e_{c}" for c in others], "brg"))).alias("b")
+    met = F.min(F.when(_is_pair(), F.struct("e_t", "e_seq"))).alias("m")
+    held = F.first(F.struct("launch_t", "obj_id", "lon", "lat", "alt")).alias("o")
+    near = pairs.groupBy("launch_seq", "t", "e_obj_id", F.col("e_seq").isNotNull().alias("is_pair")).agg(held, best, met)
+    named = [F.col(f"b.e_{c}").alias(f"enemy_{c}") for c in others]
+    return near.select("launch_seq", "o.launch_t", "o.obj_id", "t", "o.lon", "o.lat", "o.alt", F.col("e_obj_id").alias("enemy_id"), "b.dist", "b.brg", *named, F.col("m.e_t").alias("met_t"), F.col("m.e_seq").alias("met_seq"))
+
+
+def nearest_of_snapshots(snaps: DataFrame, attributes: tuple[str, ...] = ("side",)) -> DataFrame:
+    """One row for each launch and time: its own position, ``enemies``, and the nearest enemy (of equals the first met)."""
+    own = ("launch_seq", "launch_t", "obj_id", "t", "lon", "lat", "alt")
+    enemy = ("enemy_id", "brg", "enemy_lon", "enemy_lat", "enemy_alt", *[f"enemy_{a}" for a in attributes])
+    there = F.col("dist").isNotNull()
+    best = F.min(F.when(there, F.struct("dist", "met_t", "met_seq", *enemy))).alias("b")
+    return snaps.groupBy(*own).agg(F.count_if(there).alias("enemies"), best).select(*own, "enemies", "b.dist", *[f"b.{c}" for c in enemy])
+
+
+_NAMES = ("pilot", "name", "side", "group")
+
+#: The columns of the launch table and of the time series, in order.
+LAUNCH_HEADER = ("发射序号", "发射时间(s)", "发射者", "机型", "阵营", "编队", "武器", "发射者经度", "发射者纬度", "发射者高度(m)", "发射者高度(ft)", "最近敌机", "敌机机型", "敌机阵营", "距离(km)", "距离(NM)", "敌机经度", "敌机纬度", "敌机高度(m)", "敌机高度(ft)", "高度差(m)", "高度差(ft)", "方位角(deg)")
+SERIES_HEADER = ("发射序号", "发射者", "武器", "最近目标", "相对时间(s)", "绝对时间(s)", "发射者经度", "发射者纬度", "发射者高度(m)", "发射者高度(ft)", "敌机数量", "最近敌机", "最近敌机距离(km)", "最近敌机距离(NM)", "最近敌机方位(deg)", "最近敌机经度", "最近敌机纬度", "最近敌机高度(m)", "最近敌机高度(ft)", "高度差(m)", "高度差(ft)")
+
+
+def _where(lon: str, lat: str, alt: str) -> list[Column]:
+    """Place as text: degrees to six digits, metres to one, feet."""
+    return [fixed(F.col(lon), 6), fixed(F.col(lat), 6), fixed(F.col(alt), 1), fixed(F.col(alt) / FOOT_M, 0)]
+
+
+def launch_table(rows: DataFrame, width: float = 5.0) -> DataFrame:
+    """The launch table: a row of text for each launch, numbered in document order, with its nearest enemy or blanks."""
+    x = numbered(nearest_enemy(rows, width, _NAMES, ("weapon_name",)))
+    gap = F.col("enemy_alt") - F.col("alt")
+    own = [F.col("idx"), fixed(F.col("t"), 2), *[F.col(c) for c in (*_NAMES, "weapon_name")], *_where("lon", "lat", "alt")]
+    enemy = [*[F.col(f"enemy_{c}") for c in _NAMES[:3]], fixed(F.col("dist"), 2), fixed(F.col("dist") * NM_PER_KM, 2), *_where("enemy_lon", "enemy_lat", "enemy_alt"), fixed(gap, 1), fixed(gap / FOOT_M, 0), fixed(F.col("brg"), 1)]
+    there = F.col("enemy_t").isNotNull()
+    return x.select(*[c.alias(n) for c, n in zip(own, LAUNCH_HEADER, strict=False)], *[F.when(there, c).otherwise("").alias(n) for c, n in zip(enemy, LAUNCH_HEADER[len(own) :], strict=True)])
+
+
+def series_table(rows: DataFrame, own_width: float = 5.0, enemy_width: float = 2.0, nearest_width: float = 5.0) -> DataFrame:
+    """The time series around each launch: a row of text for each own position, with the nearest enemy at that time."""
+    target = numbered(nearest_enemy(rows, nearest_width, _NAMES, ("weapon_name",))).select("idx", F.col("seq").alias("launch_seq"), "pilot", "weapon_name", F.when(F.col("enemy_t").isNull(), "Unknown").otherwise(F.col("enemy_pilot")).alias("target"))
+    x = nearest_of_snapshots(snapshots(rows, own_width, enemy_width, _NAMES), _NAMES).join(target, "launch_seq")
+    gap = F.col("enemy_alt") - F.col("alt")
+    own = [F.col("idx"), F.col("pilot"), F.col("weapon_name"), F.col("target"), fixed(F.col("t") - F.col("launch_t"), 2), fixed(F.col("t"), 2), *_where("lon", "lat", "alt"), F.col("enemies")]
+    enemy = [F.col("enemy_pilot"), fixed(F.col("dist"), 2), fixed(F.col("dist") * NM_PER_KM, 2), fixed(F.col("brg"), 1), *_where("enemy_lon", "enemy_lat", "enemy_alt"), fixed(gap, 1), fixed(gap / FOOT_M, 0)]
+    return x.select(*[c.alias(n) for c, n in zip(own, SERIES_HEADER, strict=False)], *[F.when(F.col("dist").isNotNull(), c).otherwise("").alias(n) for c, n in zip(enemy, SERIES_HEADER[len(own) :], strict=True)])
+
+
+def launch_totals(rows: DataFrame) -> DataFrame:
+    """``launches, allies, enemies``: how many launches there are, and of those sides."""
+    of = lambda side: F.count_if(F.col("side") == side)
+    return launches(rows).agg(F.count(F.lit(1)).alias("launches"), of(ALLIES).alias("allies"), of(ENEMIES).alias("enemies"))
+
+
+def launch_summary(rows: DataFrame, width: float = 5.0) -> DataFrame:
+    """``idx, seq, summary``: the text of each launch, with its nearest enemy or a notice that there is none."""
+    x = numbered(nearest_enemy(rows, width, _NAMES, ("weapon_name",)))
+    gap = F.col("enemy_alt") - F.col("alt")
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    signed = lambda c: F.concat(F.when(c >= 0, "+").otherwise(""), fixed(c, 0))
+    metres = lambda c, form: F.concat(form(c), F.lit("m ("), form(c / FOOT_M), F.lit("ft)"))
+    plain = lambda c: fixed(c, 0)
+    own = [
+        F.concat(F.lit("【发射 #"), F.col("idx").cast("string"), F.lit("】")),
+        F.concat(F.lit("  时间: "), fixed(F.col("t"), 2), F.lit("s")),
+        F.concat(F.lit("  发射者: "), said("pilot"), F.lit(" ("), said("name"), F.lit(")")),
+        F.concat(F.lit("  阵营: "), said("side")),
+        F.concat(F.lit("  编队: "), said("group")),
+        F.concat(F.lit("  武器: "), said("weapon_name")),
+        F.concat(F.lit("  位置: ("), fixed(F.col("lon"), 4), F.lit("°, "), fixed(F.col("lat"), 4), F.lit("°)")),
+        F.concat(F.lit("  高度: "), metres(F.col("alt"), plain)),
+        F.lit(""),
+    ]
+    enemy = [
+        F.concat(F.lit("  最近敌机: "), said("enemy_pilot"), F.lit(" ("), said("enemy_name"), F.lit(")")),
+        F.concat(F.lit("  距离: "), fixed(F.col("dist"), 2), F.lit(" km ("), fixed(F.col("dist") * NM_PER_KM, 2), F.lit(" NM)")),
+        F.concat(F.lit("  敌机高度: "), metres(F.col("enemy_alt"), plain)),
+        F.concat(F.lit("  高度差: "), metres(gap, signed)),
+        F.concat(F.lit("  方位角: "), fixed(F.col("brg"), 1), F.lit("°")),
+    ]
+    none = F.lit("  ⚠️ 未找到敌机（雷达范围外或数据不足）")
+    lines = F.concat_ws("\n", *own, F.when(F.col("enemy_t").isNotNull(), F.concat_ws("\n", *enemy)).otherwise(none))
+    return x.select("idx", "seq", lines.alias("summary"))
+
+
+def write_table(table: DataFrame, path: str, *order: str) -> None:
+    """A table of text as CSV files with a header, range-partitioned by ``order`` and sorted in it."""
+    table.repartitionByRange(*order).sortWithinPartitions(*order).write.option("header", True).option("emptyValue", "").csv(path)
 
 
 def carried_forward(rows: DataFrame, key: str, order: str, value: str, out: str) -> DataFrame:

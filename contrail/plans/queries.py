@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contrail.functions import control, decisions, geo, text
-from contrail.operators import contexts, gates
+from contrail.functions import control, decisions, geo, platforms, text
+from contrail.operators import actions, contexts, gates
 from contrail.operators import tracks as tr
 
+#: Seconds of 2024-01-01 UTC since the epoch: origin of the track times.
+ORIGIN = 1704067200
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -40,8 +43,46 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def tracks_of_events(events: DataFrame) -> DataFrame:
+    """The events table as recorder tracks, all of them aircraft."""
+    e = F.col("event_id")
+    return events.select(
+        e.alias("seq"),
+        F.col("user_id").alias("obj_id"),
+        F.lit(tr.AIRCRAFT).alias("type"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - ORIGIN).alias("t"),
+        (30 + e * 7919 % 10000 / 1000.0).alias("lon"),
+        (40 + e * 104729 % 10000 / 2000.0).alias("lat"),
+        (1000 + F.col("value") * 10).alias("alt"),
+        (F.col("user_id") % 2).alias("side"),
+        (F.col("event_type") == "error").alias("launch"),
+    )
+
+
 def _tracks(spark: SparkSession, d: str) -> DataFrame:
-    return tr.tracks(_table(spark, d, "events"))
+    return tracks_of_events(_table(spark, d, "events"))
+
+
+#: A fifth of the rows are no aircraft's, and attributes change from row to row: an aircraft has those of its first row.
+_TYPED = (
+    "CASE WHEN seq % 5 = 0 THEN 'Weapon' ELSE 'Aircraft' END AS type",
+    "CASE seq % 3 WHEN 0 THEN 'Allies' WHEN 1 THEN 'Enemies' END AS side",
+    "CASE WHEN seq % 11 > 0 THEN 'P' || seq END AS pilot",
+    "'F' || seq % 7 AS name",
+    "'G' || seq % 13 AS `group`",
+    "'W' || seq % 4 AS weapon_name",
+)
+TYPED = (
+    TRACKS
+    + f""", ty AS (SELECT * EXCLUDE (side), {", ".join(_TYPED).replace("`", '"')} FROM tr),
+    dim AS (SELECT obj_id, min(seq) AS first_seq, arg_min_null(side, seq) AS side, arg_min_null(pilot, seq) AS pilot, arg_min_null(name, seq) AS name, arg_min_null("group", seq) AS "group" FROM ty WHERE type = 'Aircraft' GROUP BY obj_id),
+    l AS (SELECT row_number() OVER (ORDER BY seq) AS idx, seq, obj_id, t, lon, lat, alt, weapon_name, dim.side, dim.pilot, dim.name, dim."group" FROM ty JOIN dim USING (obj_id) WHERE launch AND first_seq <= seq),
+    e AS (SELECT seq, obj_id, t, lon, lat, alt, dim.side, dim.pilot, dim.name FROM ty JOIN dim USING (obj_id) WHERE type = 'Aircraft') """
+)
+
+
+def _typed_tracks(spark: SparkSession, d: str) -> DataFrame:
+    return _tracks(spark, d).drop("type", "side").selectExpr("*", *_TYPED)
 
 
 # ------------------------------------------------------------ geometry
@@ -121,6 +162,18 @@ def bvr_context_command_line(spark, d):
     return contexts.command_lines(u, u.select("ctx").distinct().select("ctx", F.expr(_CTX_PLAN).alias("plan")))
 
 
+@query(ORACLES["bvr_context_command_line"])
+def bvr_context_execute(spark, d):
+    """The same from the contexts' text, in which units stand below the marker of their side."""
+    e = F.col("event_id")
+    state = F.format_string("{'state': {'heading': %d, 'position': (%d, %d, %d), 'speed': 250}}", e * 13 % 360, e * 37 % 9001, e * 53 % 7001, e * 31 % 10000)
+    u = _table(spark, d, "events").select(F.floor(e / 20).alias("ctx"), F.struct((F.col("user_id") % 2).alias("side"), "event_id", state.alias("s")).alias("u"))
+    u = u.groupBy("ctx").agg(F.array_sort(F.collect_list("u")).alias("u"))  # 20 at most
+    of = lambda side: F.transform(F.filter("u", lambda x: x["side"] == side), lambda x: x["s"])
+    said = F.concat_ws("\n", F.array(F.lit(decisions.RED)), of(0), F.array(F.lit(decisions.BLUE)), of(1))
+    return contexts.execute(u.select("ctx", said.alias("context"), F.expr(_CTX_PLAN).alias("plan")))
+
+
 # ------------------------------------------------------------ tracks and launches
 
 
@@ -204,6 +257,90 @@ def launch_timeseries(spark, d):
     return x.select("launch_seq", text.fixed(F.col("t") - F.col("launch_t"), 1).alias("rel_t"), "obj_id", text.fixed(F.col("alt") / geo.FOOT_M, 2).alias("alt_ft"), F.coalesce(F.col("b.enemy_id").cast("string"), F.lit("Unknown")).alias("target"))
 
 
+# rows of other types, attributes of the aircraft's first row; the widths match some pairs in the given events
+
+_NEAR = f"""{TYPED}, p AS (SELECT l.seq, {", ".join(f"e.{c} AS e_{c}" for c in ("seq", "obj_id", "t", "lon", "lat", "alt", "side", "pilot", "name"))}, {_sql(_DIST, "l", "e")} AS dist, {_sql(_BRG, "l", "e")} AS brg
+        FROM l JOIN e ON abs(e.t - l.t) <= 900 AND l.obj_id <> e.obj_id AND l.side IS DISTINCT FROM e.side),
+    b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY seq ORDER BY dist, e_t, e_seq) = 1),
+    n AS (SELECT l.*, b.* EXCLUDE (seq), b.e_alt - l.alt AS gap FROM l LEFT JOIN b ON b.seq = l.seq) """
+
+
+@query(TYPED + "SELECT obj_id, first_seq, side, pilot, name FROM dim")
+def typed_aircraft_dim(spark, d):
+    """Objects that only have rows of another type are no aircraft; null attributes of the first row stay null."""
+    return tr.aircraft(_typed_tracks(spark, d), ("side", "pilot", "name"))
+
+
+@query(TYPED + "SELECT idx, seq, obj_id, side FROM l")
+def typed_launches(spark, d):
+    """Launches, of any row type, by objects that are aircraft by then."""
+    return tr.numbered(tr.launches(_typed_tracks(spark, d))).select("idx", "seq", "obj_id", "side")
+
+
+@query(_NEAR + "SELECT seq, obj_id, e_obj_id AS enemy_id, e_side AS enemy_side, round(coalesce(dist, 0), 6) AS dist, round(brg, 6) AS brg FROM n")
+def typed_nearest_enemy(spark, d):
+    return tr.nearest_enemy(_typed_tracks(spark, d), 900.0).select("seq", "obj_id", "enemy_id", "enemy_side", F.round("dist", 6).alias("dist"), F.round("brg", 6).alias("brg"))
+
+
+@query(TYPED + "SELECT count(*) AS launches, count(*) FILTER (WHERE side = 'Allies') AS allies, count(*) FILTER (WHERE side = 'Enemies') AS enemies FROM l")
+def launch_summary_totals(spark, d):
+    return tr.launch_totals(_typed_tracks(spark, d))
+
+
+def _text(c: str, digits: int) -> str:
+    return f"printf('%.{digits}f', {c})"
+
+
+def _place_sql(p: str) -> list[str]:
+    return [_text(f"{p}lon", 6), _text(f"{p}lat", 6), _text(f"{p}alt", 1), _text(f"{p}alt / 0.3048", 0)]
+
+
+def _named_sql(own: list[str], enemy: list[str], header: tuple[str, ...], there: str) -> str:
+    cells = [*own, *[f"CASE WHEN {there} THEN {c} ELSE '' END" for c in enemy]]
+    return ", ".join(f'{c} AS "{n}"' for c, n in zip(cells, header, strict=True))
+
+
+_OWN_CELLS = ["idx", _text("t", 2), "pilot", "name", "side", '"group"', "weapon_name", *_place_sql("")]
+_ENEMY_CELLS = ["e_pilot", "e_name", "e_side", _text("dist", 2), _text("dist * 0.539957", 2), *_place_sql("e_"), _text("gap", 1), _text("gap / 0.3048", 0), _text("brg", 1)]
+
+
+@query(_NEAR + f"SELECT {_named_sql(_OWN_CELLS, _ENEMY_CELLS, tr.LAUNCH_HEADER, 'e_t IS NOT NULL')} FROM n")
+def launch_csv_rows(spark, d):
+    """The rows of the launch table as text, blanks where there is no enemy."""
+    return tr.launch_table(_typed_tracks(spark, d), 900.0)
+
+
+def _summary_sql() -> str:
+    signed = lambda c: f"CASE WHEN {c} >= 0 THEN '+' ELSE '' END || {_text(c, 0)}"
+    said = lambda c: f"coalesce(CAST({c} AS VARCHAR), 'None')"
+    own = ["'【发射 #' || idx || '】'", f"'  时间: ' || {_text('t', 2)} || 's'", f"'  发射者: ' || {said('pilot')} || ' (' || {said('name')} || ')'", f"'  阵营: ' || {said('side')}", f"""'  编队: ' || {said('"group"')}""", f"'  武器: ' || {said('weapon_name')}", f"'  位置: (' || {_text('lon', 4)} || '°, ' || {_text('lat', 4)} || '°)'", f"'  高度: ' || {_text('alt', 0)} || 'm (' || {_text('alt / 0.3048', 0)} || 'ft)'", "''"]
+    enemy = [f"'  最近敌机: ' || {said('e_pilot')} || ' (' || {said('e_name')} || ')'", f"'  距离: ' || {_text('dist', 2)} || ' km (' || {_text('dist * 0.539957', 2)} || ' NM)'", f"'  敌机高度: ' || {_text('e_alt', 0)} || 'm (' || {_text('e_alt / 0.3048', 0)} || 'ft)'", f"'  高度差: ' || {signed('gap')} || 'm (' || {signed('gap / 0.3048')} || 'ft)'", f"'  方位角: ' || {_text('brg', 1)} || '°'"]
+    join = " || chr(10) || ".join
+    return f"SELECT idx, seq, {join(own)} || chr(10) || CASE WHEN e_t IS NOT NULL THEN {join(enemy)} ELSE '  ⚠️ 未找到敌机（雷达范围外或数据不足）' END AS summary FROM n"
+
+
+@query(_NEAR + _summary_sql())
+def launch_summary_text(spark, d):
+    """The text of each launch: its own block, then that of the nearest enemy or a notice."""
+    return tr.launch_summary(_typed_tracks(spark, d), 900.0)
+
+
+_SERIES = f"""{_NEAR}, o AS (SELECT l.idx, l.seq AS ls, l.t AS lt, l.pilot, l.weapon_name, CASE WHEN n.e_t IS NULL THEN 'Unknown' ELSE n.e_pilot END AS target, e.obj_id, e.side, e.seq, e.t, e.lon, e.lat, e.alt
+        FROM l JOIN n ON n.seq = l.seq JOIN e ON e.obj_id = l.obj_id AND abs(e.t - l.t) <= 5000 QUALIFY row_number() OVER (PARTITION BY l.seq, e.t ORDER BY e.seq DESC) = 1),
+    q AS (SELECT o.ls, o.t AS o_t, e.obj_id AS e_obj_id, e.pilot AS e_pilot, e.lon AS e_lon, e.lat AS e_lat, e.alt AS e_alt, e.t AS e_t, e.seq AS e_seq, {_sql(_DIST, "o", "e")} AS dist, {_sql(_BRG, "o", "e")} AS brg
+        FROM o JOIN e ON abs(e.t - o.t) <= 900 AND o.obj_id <> e.obj_id AND o.side IS DISTINCT FROM e.side),
+    m AS (SELECT *, count(DISTINCT e_obj_id) OVER (PARTITION BY ls, o_t) AS enemies FROM q QUALIFY row_number() OVER (PARTITION BY ls, o_t ORDER BY dist, e_t, e_seq) = 1),
+    z AS (SELECT o.*, m.e_pilot, m.e_lon, m.e_lat, m.e_alt, m.dist, m.brg, coalesce(m.enemies, 0) AS enemies, m.e_alt - o.alt AS gap FROM o LEFT JOIN m ON m.ls = o.ls AND m.o_t = o.t) """
+_SERIES_OWN = ["idx", "pilot", "weapon_name", "target", _text("t - lt", 2), _text("t", 2), *_place_sql(""), "enemies"]
+_SERIES_ENEMY = ["e_pilot", _text("dist", 2), _text("dist * 0.539957", 2), _text("brg", 1), *_place_sql("e_"), _text("gap", 1), _text("gap / 0.3048", 0)]
+
+
+@query(_SERIES + f"SELECT {_named_sql(_SERIES_OWN, _SERIES_ENEMY, tr.SERIES_HEADER, 'dist IS NOT NULL')} FROM z")
+def launch_series_csv_rows(spark, d):
+    """The rows of the time series around each launch as text."""
+    return tr.series_table(_typed_tracks(spark, d), 5000.0, 900.0, 900.0)
+
+
 @query(TRACKS + "SELECT obj_id, seq, row_number() OVER (PARTITION BY obj_id ORDER BY t, seq) AS pos FROM tr")
 def track_stable_sort(spark, d):
     return _tracks(spark, d).select("obj_id", "seq", F.row_number().over(Window.partitionBy("obj_id").orderBy("t", "seq")).alias("pos"))
@@ -258,30 +395,41 @@ _CLEAN = f"""WITH c0 AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_rep
     k AS (SELECT *, length(text) > 0 AS has, length(y) >= 100 AS long, row_number() OVER (PARTITION BY length(text) > 0 AND length(y) >= 100, sha256(y) ORDER BY doc_id) AS rn FROM c) """
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Dealt out over all cores if it is so small that its files' row groups may not be; larger tables stay as they are read."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * (128 << 20) else df
+
+
 def _cleaned(spark, d):
-    return _table(spark, d, "documents").select("doc_id", "text").withColumn("y", text.clean_text(F.col("text")))
+    """``doc_id, h, n, has``: hash and length of each cleaned text, which is made once; they come out of a generator, so
+    that a filter on them does not compute it below once more."""
+    docs = _spread(_table(spark, d, "documents").select("doc_id", "text"))
+    made = F.transform(F.array(text.clean_text(F.col("text"))), lambda y: F.struct(F.sha2(y, 256).alias("h"), F.char_length(y).cast("long").alias("n"), (F.char_length("text") > 0).alias("has")))
+    return docs.select("doc_id", F.inline(made))
 
 
 @query(_CLEAN + "SELECT doc_id, sha256(y) AS cleaned_sha256, length(y) AS n FROM c")
 def doc_clean_text(spark, d):
-    return _cleaned(spark, d).select("doc_id", F.sha2("y", 256).alias("cleaned_sha256"), F.char_length("y").cast("long").alias("n"))
+    return _cleaned(spark, d).select("doc_id", F.col("h").alias("cleaned_sha256"), "n")
 
 
 @query(_CLEAN + "SELECT doc_id, length(y) AS n FROM c WHERE length(y) >= 100")
 def doc_length_filter(spark, d):
-    return _cleaned(spark, d).select("doc_id", F.char_length("y").cast("long").alias("n")).where("n >= 100")
+    return _cleaned(spark, d).where("n >= 100").select("doc_id", "n")
 
 
 @query(_CLEAN + "SELECT doc_id, sha256(y) AS h FROM k WHERE has AND long AND rn = 1")
 def doc_sha256_dedup(spark, d):
     """The first document of each cleaned text; only ids and hashes are shuffled, with partial minima per task."""
-    x = _cleaned(spark, d).where("char_length(text) > 0 and char_length(y) >= 100").select("doc_id", F.sha2("y", 256).alias("h"))
-    return x.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
+    return _cleaned(spark, d).where("has and n >= 100").groupBy("h").agg(F.min("doc_id").alias("doc_id"))
 
 
 @query(_CLEAN + "SELECT count(*) AS total, count(*) FILTER (WHERE has AND long AND rn = 1) AS saved, count(*) FILTER (WHERE has AND long AND rn > 1) AS duplicates, count(*) FILTER (WHERE has AND NOT long) AS short FROM k")
 def doc_prep_counters(spark, d):
-    x = _cleaned(spark, d).select((F.char_length("text") > 0).alias("has"), (F.char_length("y") >= 100).alias("long"), F.sha2("y", 256).alias("h"))
+    x = _cleaned(spark, d).select("has", (F.col("n") >= 100).alias("long"), "h")
     kinds = x.groupBy("has", "long", F.when(F.col("has") & F.col("long"), F.col("h")).alias("h")).agg(F.count(F.lit(1)).alias("n"))
     kept = F.col("has") & F.col("long")
     return kinds.agg(F.sum("n").alias("total"), F.count_if(kept).alias("saved"), F.coalesce(F.sum(F.when(kept, F.col("n") - 1)), F.lit(0)).alias("duplicates"), F.coalesce(F.sum(F.when(F.col("has") & ~F.col("long"), F.col("n"))), F.lit(0)).alias("short"))
@@ -310,9 +458,11 @@ def _said(role: str):
     return F.transform(F.filter("m", lambda x: x["role"] == role), lambda x: x["text"])
 
 
-@query(f"""SELECT conv_id, coalesce(arg_min(text, turn) FILTER (WHERE role = 'system'), '{text.SYSTEM}') || chr(10) || chr(10) || coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE role = 'user'), '') AS prompt FROM conversations GROUP BY conv_id""")
+@query(f"""SELECT conv_id, '<|system|>' || chr(10) || coalesce(arg_min(text, turn) FILTER (WHERE role = 'system'), '{text.SYSTEM}') || chr(10) || '<|user|>' || chr(10)
+    || coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE role = 'user'), '') || chr(10) || '<|assistant|>' || chr(10) AS prompt FROM conversations GROUP BY conv_id""")
 def chat_prompt_render(spark, d):
-    return _turns(spark, d).select("conv_id", F.concat(F.coalesce(F.get(_said("system"), F.lit(0)), F.lit(text.SYSTEM)), F.lit("\n\n"), F.array_join(_said("user"), "\n\n")).alias("prompt"))
+    """The role template over the first system message, or the default, and all user messages."""
+    return _turns(spark, d).select("conv_id", text.role_prompt(F.get(_said("system"), F.lit(0)), _said("user")).alias("prompt"))
 
 
 @query("SELECT conv_id, string_agg(role || ': ' || text || chr(10), '' ORDER BY turn) || 'assistant:' AS prompt FROM conversations GROUP BY conv_id")
@@ -326,6 +476,13 @@ def chat_messages(spark, d):
     return _table(spark, d, "conversations").select("conv_id", pos.cast("long").alias("pos"), "role", F.col("text").alias("content"))
 
 
+@query("""SELECT conv_id, turn, m.pos, m.role, m.content FROM (SELECT conv_id, turn, unnest([{'pos': 0, 'role': 'user', 'content': '把问题转成 SQL：' || chr(10) || text || chr(10) || 'SCHEMA:' || chr(10) || role}, {'pos': 1, 'role': 'assistant', 'content': 'SELECT ' || turn}]) AS m FROM conversations)""")
+def sft_messages(spark, d):
+    """Text-to-SQL rows, all their columns replaced by a list of two messages; here a row for each message."""
+    x = _table(spark, d, "conversations").select("conv_id", "turn", text.sql_messages(F.col("text"), F.col("role"), F.concat(F.lit("SELECT "), F.col("turn").cast("string"))).alias("messages"))
+    return x.select("conv_id", "turn", F.posexplode("messages").alias("pos", "m")).select("conv_id", "turn", "pos", "m.role", "m.content")
+
+
 _MARKED = "CASE turn % 3 WHEN 0 THEN ' ' || text || ' <|im_end|> tail' WHEN 1 THEN 'a<|assistant|>b<|assistant|> ' || text || ' ' ELSE text END"
 
 
@@ -368,6 +525,18 @@ def platform_filter_named(spark, d):
     return platform_decode(spark, d).where("platform < 4").select("vec_id", "platform", "alt")
 
 
+_FIELDS_SQL = " || ".join(f"', ''{n}'': ' || CAST(CAST(v[i * 8 + {k}] AS DOUBLE) AS VARCHAR)" for k, n in enumerate(platforms.FIELDS[1:], 2))
+
+
+@query(f"""WITH f AS (SELECT vec_id, printf('T=%.2f', vec_id / 8.0) AS head, CASE WHEN vec_id % 10 = 0 THEN embedding[1:vec_id % 31] ELSE embedding END AS v FROM embeddings),
+    p AS (SELECT vec_id, i, ['red_1', 'red_2', 'blue_1', 'blue_2'][i + 1] || ': {{''live'': ' || CAST(trunc(v[i * 8 + 1]) AS INT) || {_FIELDS_SQL} || '}}' AS line FROM f, range(4) r(i) WHERE len(v) >= 32)
+    SELECT f.vec_id, CASE WHEN len(v) < 32 THEN head || ' (state too short: ' || len(v) || ')' ELSE head || chr(10) || string_agg(line, chr(10) ORDER BY i) || chr(10) END AS context FROM f LEFT JOIN p ON p.vec_id = f.vec_id GROUP BY f.vec_id, head, len(v)""")
+def frame_context_text(spark, d):
+    """A state frame as text for a model, a tenth of them too short."""
+    vals = F.when(F.col("vec_id") % 10 == 0, F.slice("embedding", F.lit(1), (F.col("vec_id") % 31).cast("int"))).otherwise(F.col("embedding"))
+    return _table(spark, d, "embeddings").select("vec_id", platforms.context_text(F.col("vec_id") / 8.0, vals).alias("context"))
+
+
 @query("SELECT vec_id, CAST(i AS INT) AS slot, round(CASE WHEN i BETWEEN 2 AND 5 THEN CAST(embedding[i + 1] AS DOUBLE) ELSE 0 END, 6) AS v FROM embeddings, range(9) r(i)")
 def ego_tokens(spark, d):
     """Ego token: two zeros, altitude and attitude, three zeros."""
@@ -437,6 +606,25 @@ def action_asof_hold(spark, d):
     return x.select(F.col("seq").alias("event_id"), F.when(F.col("s").isNull(), "none").when(F.col("t") <= F.col("s") + 36000, "active").otherwise("held").alias("status"))
 
 
+_ANSWERED = TRACKS + """, d AS (SELECT obj_id AS episode, t, seq, (seq % 4 + 1) * 3600.0::DOUBLE AS h1, CASE WHEN seq % 3 = 0 THEN 90000.0::DOUBLE ELSE 7200.0::DOUBLE END AS h2 FROM tr WHERE launch),
+    q0 AS (SELECT *, coalesce(lag(t + h1 + h2) OVER w <= t, true) AS fresh FROM d WINDOW w AS (PARTITION BY episode ORDER BY t)),
+    q AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY episode ORDER BY t) AS queue FROM q0),
+    r AS (SELECT q.*, z.t AS replaced FROM q LEFT JOIN q z ON z.episode = q.episode AND z.queue = q.queue + 1 AND z.fresh),
+    s AS (SELECT episode, queue, t, replaced, 0 AS step, t + h1 AS e, seq * 10 AS a FROM r UNION ALL SELECT episode, queue, t, replaced, 1, t + h1 + h2, seq * 10 + 1 FROM r),
+    i AS (SELECT episode, a, greatest(t, coalesce(max(e) OVER (PARTITION BY episode, queue ORDER BY t, step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), t)) AS f, least(e, coalesce(replaced, e)) AS u FROM s),
+    z AS (SELECT tr.obj_id AS episode, tr.t, 0 AS kind, tr.seq, i.a FROM tr LEFT JOIN i ON i.episode = tr.obj_id AND tr.t > i.f AND tr.t <= i.u WHERE NOT launch UNION ALL SELECT episode, t, 1, NULL, seq * 10 FROM q WHERE fresh),
+    h AS (SELECT *, last_value(a IGNORE NULLS) OVER (PARTITION BY episode ORDER BY t, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM z) """
+
+
+@query(_ANSWERED + "SELECT seq, CASE WHEN a IS NOT NULL THEN 'active' WHEN held IS NOT NULL THEN 'held' ELSE 'none' END AS status, coalesce(held, -1) AS action FROM h WHERE kind = 0")
+def action_timeline_asof(spark, d):
+    """Frames answered by the steps of decisions that are appended to unfinished ones or replace finished ones."""
+    x = _tracks(spark, d).withColumnRenamed("obj_id", "episode")
+    holds = F.array(((F.col("seq") % 4 + 1) * 3600).cast("double"), F.when(F.col("seq") % 3 == 0, 90000.0).otherwise(7200.0))
+    decided = x.where("launch").select("episode", "t", holds.alias("holds"), F.array(F.col("seq") * 10, F.col("seq") * 10 + 1).alias("actions"))
+    return actions.answered(x.where("not launch"), decided, F.lit(-1).cast("long")).select("seq", "status", "action")
+
+
 @query(TRACKS + "SELECT seq, CASE WHEN t / 100 > 5000 THEN 'RESET' ELSE 'STATUS' END AS msg FROM tr")
 def frame_status_reset(spark, d):
     return _tracks(spark, d).select("seq", control.status(F.col("t") / 100).alias("msg"))
@@ -483,3 +671,33 @@ def planner_route(spark, d):
     said = F.when(kind == 0, F.concat(F.lit('{"action": "execute", "plan": "p'), e, F.lit('"}'))).when(kind == 1, F.concat(F.lit('{"action": "end", "answer": "a'), e, F.lit('"}')))
     said = said.when(kind == 2, F.concat(F.lit('```\n{"plan": "q'), e, F.lit('"}\n```'))).otherwise(F.concat(F.lit("r"), e))
     return _table(spark, d, "events").select("event_id", decisions.planner_decision(said).alias("p")).select("event_id", "p.*")
+
+
+_K = "(event_id % 90 - 45)"
+
+
+@query(f"""WITH e AS (SELECT event_id, event_id % 4 AS kind, event_id % 3 + 1 AS h, {_K} AS k FROM events),
+    s AS (SELECT event_id, 0 AS step, CASE kind WHEN 2 THEN 1 ELSE h END AS hold, CASE WHEN kind = 2 THEN 0 ELSE k / 45.0 END AS a0, CASE kind WHEN 0 THEN greatest(-1, least(1, k * 100 / 2000.0)) ELSE 0 END AS a1, 0 AS a2, CASE kind WHEN 0 THEN 0 WHEN 1 THEN -1 WHEN 3 THEN 0.5 ELSE 0 END AS a3, CASE kind WHEN 1 THEN k / 150.0 ELSE 0 END AS a5 FROM e
+          UNION ALL SELECT event_id, 1, 2, 0, 0, 1, 0, 0 FROM e WHERE kind = 1)
+    SELECT event_id, step, CAST(hold AS DOUBLE) AS hold, round(CAST(a0 AS DOUBLE), 5) AS turn_1, round(CAST(a1 AS DOUBLE), 5) AS up_1, round(CAST(a2 AS DOUBLE), 5) AS speed_1, round(CAST(a3 AS DOUBLE), 5) AS turn_2, round(CAST(a5 AS DOUBLE), 5) AS speed_2 FROM s""")
+def decision_action_steps(spark, d):
+    """Holds and scaled numbers of single steps, of a list with a skipped and an overrunning step, of no JSON and of a
+    sequence with aliases."""
+    k, h = F.expr(_K).cast("string"), (F.col("event_id") % 3 + 1).cast("string")
+    said = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    one = said('{"duration_s": ', h, ', "red_1": {"turn_deg": ', k, ', "up_m": ', k, "e2}}")
+    listed = said('{"steps": [{"hold_s": ', h, ', "red_1": {"turn_deg": ', k, '}, "red2": {"turn_deg": -90, "dspeed_mps": ', k, '}}, {"hold_s": 0}, {"t": 2, "red1": {"dspeed_mps": 400}}, {"hold_s": 14}]}')
+    sequence = said('```json\n{"sequence": [{"t": ', h, ', "red1": {"turn_deg": ', k, '}, "red_2": {"turn_deg": 22.5}}]}\n```')
+    kind = F.col("event_id") % 4
+    shape = F.when(kind == 0, one).when(kind == 1, listed).when(kind == 2, "no JSON").otherwise(sequence)
+    x = _table(spark, d, "events").select("event_id", F.posexplode(decisions.decision_steps(shape)).alias("step", "s"))
+    numbers = [F.round(F.get("s.action", F.lit(i)).cast("double"), 5).alias(n) for i, n in ((0, "turn_1"), (1, "up_1"), (2, "speed_1"), (3, "turn_2"), (5, "speed_2"))]
+    return x.select("event_id", "step", F.col("s.hold").alias("hold"), *numbers)
+
+
+@query(f"SELECT event_id, CAST(i AS INT) AS slot, round(CAST(CASE i WHEN 0 THEN {_K} / 45.0 WHEN 8 THEN -1 ELSE 0 END AS DOUBLE), 5) AS v FROM events, range(12) r(i)")
+def decision_first_action(spark, d):
+    """The whole action of a decision's first step; slots of the first platforms."""
+    said = F.concat(F.lit('{"steps": [{"red_1": {"turn_deg": '), F.expr(_K).cast("string"), F.lit('}, "red_2": {"turn_deg": -90}}, {"hold_s": 2}]}'))
+    x = _table(spark, d, "events").select("event_id", F.slice(decisions.first_action(said), 1, 12).alias("a"))
+    return x.select("event_id", F.posexplode("a").alias("slot", "v")).select("event_id", "slot", F.round(F.col("v").cast("double"), 5).alias("v"))

@@ -24,15 +24,16 @@ _XML = """Time STRING, Location STRUCT<Longitude: STRING, Latitude: STRING, Alti
 
 
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
-    """``seq, t, lon, lat, alt, obj_id, type, action``, the object's attributes, ``weapon_id, weapon_name, launch``.
+    """Tracks of a recording: ``seq, t, lon, lat, alt, obj_id, type, action``, the object's attributes, ``side`` (its
+    coalition), ``weapon_id, weapon_name, launch``.
 
     ``seq`` increases in document order. Events without a number for time or a coordinate, or without an object, are left
-    out; attributes that are missing or empty are ``Unknown``.
+    out. An attribute whose element is missing is ``Unknown``; one whose element is empty is null.
     """
     x = spark.read.format("xml").option("rowTag", "Event").schema(_XML).load(path).withColumn("seq", F.monotonically_increasing_id())
     number = lambda c: F.col(c).try_cast("double")
-    known = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other))
-    fired = (F.col("Action") == "HasFired") & F.col("SecondaryObject").isNotNull()
+    known = lambda c, other: F.when(F.col(c).isNull(), F.lit(other)).otherwise(F.nullif(F.col(c), F.lit("")))
+    fired = F.coalesce((F.col("Action") == "HasFired") & F.col("SecondaryObject").isNotNull(), F.lit(False))
     out = x.where("PrimaryObject is not null").select(
         "seq",
         number("Time").alias("t"),
@@ -40,14 +41,14 @@ def read_xml(spark: SparkSession, path: str) -> DataFrame:
         number("Location.Latitude").alias("lat"),
         number("Location.Altitude").alias("alt"),
         F.col("PrimaryObject._ID").alias("obj_id"),
-        F.col("PrimaryObject.Type").alias("type"),
-        F.col("Action").alias("action"),
+        F.nullif(F.col("PrimaryObject.Type"), F.lit("")).alias("type"),
+        F.nullif(F.col("Action"), F.lit("")).alias("action"),
         *[known(f"PrimaryObject.{a.capitalize()}", UNKNOWN).alias(a) for a in ATTRIBUTES],
         F.col("SecondaryObject._ID").alias("weapon_id"),
         F.when(fired, known("SecondaryObject.Name", UNKNOWN_WEAPON)).alias("weapon_name"),
-        F.coalesce(fired, F.lit(False)).alias("launch"),
+        fired.alias("launch"),
     )
-    return out.dropna(subset=["t", "lon", "lat", "alt"])
+    return out.dropna(subset=["t", "lon", "lat", "alt"]).withColumn("side", F.col("coalition"))
 
 
 def read_recordings(spark: SparkSession, path: str, lines_per_batch: int = 20_000) -> DataFrame:
@@ -85,24 +86,20 @@ def read_recordings(spark: SparkSession, path: str, lines_per_batch: int = 20_00
     return files.mapInPandas(run, "file string, line_no long, line string, error string")
 
 
-def _record(line: Column) -> Column:
+def _record(line: Column, partial: bool) -> Column:
     """``obj_id`` and the six numbers of a line's last telemetry part; null without a usable one."""
     parts = F.split(line, ",", -1)
     last = F.try_element_at(F.filter(F.slice(parts, 2, F.size(parts)), lambda p: p.startswith("T=")), F.lit(-1))
     slots = F.split(F.substr(last, F.lit(3)), r"\|", -1)
     slot = lambda i: F.when(F.coalesce(F.get(slots, F.lit(i)), F.lit("")) == "", F.lit(0.0)).otherwise(F.get(slots, F.lit(i)).try_cast("double"))
-    values = [slot(i).alias(n) for i, n in enumerate(SLOTS)]
-    whole = F.struct(F.get(parts, F.lit(0)).alias("obj_id"), *values)
-    bad = ~F.forall(F.array(*values), lambda v: v.isNotNull())
-    return F.when(last.isNotNull() & ~bad, whole)
+    read = [slot(i) for i in range(len(SLOTS))]
+    before = [F.when(F.forall(F.array(*read[: i + 1]), lambda v: v.isNotNull()), read[i]).alias(n) for i, n in enumerate(SLOTS)]
+    needed = before[0] if partial else before[-1]
+    return F.when(last.isNotNull() & needed.isNotNull(), F.struct(F.get(parts, F.lit(0)).alias("obj_id"), *before))
 
 
-def telemetry(lines: DataFrame, block: int = 4096) -> DataFrame:
-    """``file, frame_no, frame_t, line_no, obj_id`` and six numbers: the records of all finished frames.
-
-    A line ``#seconds`` begins a frame, which the next such line finishes; what follows the last one is left out. Blank
-    and missing slots are 0; a record with a slot that is no number is left out whole.
-    """
+def _framed(lines: DataFrame, block: int) -> DataFrame:
+    """The lines of finished frames, marks left out, with ``frame_no, frame_t``."""
     x = lines.where("line is not null").withColumn("mark", F.col("line").startswith("#"))
     x = x.withColumn("at", F.when(F.col("mark"), F.substr("line", F.lit(2)).try_cast("double"))).withColumn("block", F.floor(F.col("line_no") / block))
     sums = x.groupBy("file", "block").agg(F.count_if("mark").alias("n"), F.max_by("at", F.when(F.col("mark"), F.col("line_no"))).alias("last_at"))
@@ -110,23 +107,45 @@ def telemetry(lines: DataFrame, block: int = 4096) -> DataFrame:
     sums = sums.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.last("last_at", True).over(earlier).alias("before_at"), F.sum("n").over(Window.partitionBy("file")).alias("marks"))
     inside = Window.partitionBy("file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = x.join(sums, ["file", "block"]).withColumn("frame_no", F.col("before") + F.sum(F.col("mark").cast("long")).over(inside))
-    x = x.withColumn("frame_t", F.coalesce(F.last("at", True).over(inside), F.col("before_at"))).where("not mark and frame_no < marks")
-    return x.withColumn("r", _record(F.col("line"))).where("r is not null").select("file", "frame_no", "frame_t", "line_no", "r.*")
+    return x.withColumn("frame_t", F.coalesce(F.last("at", True).over(inside), F.col("before_at"))).where("not mark and frame_no < marks")
+
+
+def frames(lines: DataFrame, block: int = 4096) -> DataFrame:
+    """``file, frame_no, frame_t, n_lines`` of the frames that are finished and hold a line, of whatever kind."""
+    return _framed(lines, block).groupBy("file", "frame_no").agg(F.first("frame_t").alias("frame_t"), F.count(F.lit(1)).alias("n_lines"))
+
+
+def telemetry(lines: DataFrame, block: int = 4096, partial: bool = False) -> DataFrame:
+    """``file, frame_no, frame_t, line_no, obj_id`` and six numbers: the records of all finished frames.
+
+    A line ``#seconds`` begins a frame, which the next such line finishes; what follows the last one is left out. Blank
+    and missing slots are 0. A record with a slot that is no number is left out whole; with ``partial`` the slots before
+    that one count and the others are null.
+    """
+    x = _framed(lines, block).withColumn("r", _record(F.col("line"), partial))
+    return x.where("r is not null").select("file", "frame_no", "frame_t", "line_no", "r.*")
 
 
-def ego_frames(records: DataFrame, ego: str) -> DataFrame:
-    """``file, frame_no, ego, agent_id, agent``: feature tokens of every other object known by a frame, against the ego.
+def ego_frames(records: DataFrame, frames: DataFrame, ego: str) -> DataFrame:
+    """``file, frame_no, ego, agent_id, agent_no, agent``: feature tokens of every other object known by a frame, against
+    the ego; one row with null agent for a frame in which only the ego is known. ``frames``: see :func:`frames`.
 
-    An object's state holds from its record until the next; it is an interval of frames, and the frames in which the ego is
-    known are joined to the intervals. A frame in which only the ego is known gives one row with null agent.
+    An object's state holds from its record until the next (a null slot keeps its last value); it is an interval of frame
+    numbers, of which those of frames that hold a line count. ``agent_no`` numbers a file's other objects as first met.
     """
     w = Window.partitionBy("file", "obj_id").orderBy("frame_no")
-    state = records.groupBy("file", "obj_id", "frame_no").agg(F.max_by(F.struct(*SLOTS), "line_no").alias("s")).withColumn("until", F.lead("frame_no").over(w))
-    last = records.groupBy("file").agg(F.max("frame_no").alias("last_frame"))
-    state = state.join(last, "file").withColumn("frame_no", F.explode(F.sequence("frame_no", F.coalesce(F.col("until") - 1, F.col("last_frame")))))
-    own = state.where(F.col("obj_id") == ego).select("file", "frame_no", F.col("s").alias("e"))
-    others = state.where(F.col("obj_id") != ego).select("file", "frame_no", F.col("obj_id").alias("agent_id"), "s")
+    held = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    slots = [F.max_by(n, F.when(F.col(n).isNotNull(), F.col("line_no"))).alias(n) for n in SLOTS]
+    state = records.groupBy("file", "obj_id", "frame_no").agg(*slots, F.min("line_no").alias("line_no"))
+    state = state.select("file", "obj_id", "frame_no", "line_no", F.struct(*[F.last(n, True).over(held).alias(n) for n in SLOTS]).alias("s"), F.lead("frame_no").over(w).alias("until"))
+    last = frames.groupBy("file").agg(F.max("frame_no").alias("last_frame"))
+    met = state.where(F.col("obj_id") != ego).groupBy("file", "obj_id").agg(F.min("line_no").alias("line_no"))
+    met = met.select(F.col("file").alias("f"), F.col("obj_id").alias("o"), F.row_number().over(Window.partitionBy("file").orderBy("line_no")).alias("agent_no"))
+    each = state.join(last, "file").withColumn("frame_no", F.explode(F.sequence("frame_no", F.coalesce(F.col("until") - 1, F.col("last_frame")))))
+    each = each.join(frames.select("file", "frame_no"), ["file", "frame_no"], "left_semi")
+    own = each.where(F.col("obj_id") == ego).select("file", "frame_no", F.col("s").alias("e"))
+    others = each.where(F.col("obj_id") != ego).join(met, (F.col("file") == F.col("f")) & (F.col("obj_id") == F.col("o"))).select("file", "frame_no", F.col("obj_id").alias("agent_id"), "agent_no", "s")
     zeros = [F.lit(0.0)] * 3
     token = F.array(F.lit(0.0), F.lit(0.0), *[F.col(f"e.{n}") for n in SLOTS[2:]], *zeros).cast("array<float>")
     delta = F.when(F.col("s").isNotNull(), F.array(*[F.col(f"s.{n}") - F.col(f"e.{n}") for n in SLOTS], *zeros).cast("array<float>"))
-    return own.join(others, ["file", "frame_no"], "left").select("file", "frame_no", token.alias("ego"), "agent_id", delta.alias("agent"))
+    return own.join(others, ["file", "frame_no"], "left").select("file", "frame_no", token.alias("ego"), "agent_id", "agent_no", delta.alias("agent"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -46,7 +47,7 @@ def act(frames: DataFrame, reset_after: float = RESET_AFTER, horizon: float = HO
     """``episode, seq, sim_time, message, action, plan`` for each frame.
 
     ``frames``: ``episode, seq`` (arrival), ``sim_time, plan``, and ``holds, actions`` that a decision gives at that frame
-    (null without one, or where it failed: actions stay as they are). The frame is answered by the step that its time
+    (null without one, or where it failed: actions stay as they are, a new plan is taken). The frame is answered by the step that its time
     falls into, else by the last action; then its decision, unless actions reach ``horizon`` seconds ahead, is appended to
     unfinished steps or replaces finished ones, with ends counted from the frame's time. A frame after ``reset_after`` is
     answered RESET and changes nothing. ``plan`` is the one held, refreshed when no step is active, by one not blank.
@@ -65,10 +66,12 @@ def act(frames: DataFrame, reset_after: float = RESET_AFTER, horizon: float = HO
             last = queue[0] if queue else last
             out.append((k[0], r.seq, t, "STATUS", list(last), plan or DEFAULT_PLAN))
             active = ends[-1] if ends else float("-inf")
-            if r.holds is None or r.actions is None or active >= t + horizon:
+            if active >= t + horizon:
                 continue
             if active <= t and refresh > 0 and (planned is None or t - planned >= refresh) and isinstance(r.plan, str) and r.plan.strip():
                 plan, planned = r.plan.strip(), t
+            if r.holds is None or r.actions is None:
+                continue
             at, steps = t, []
             for hold in r.holds:
                 at += float(hold)
@@ -93,3 +96,22 @@ def act(frames: DataFrame, reset_after: float = RESET_AFTER, horizon: float = HO
 def newest(batch: DataFrame, key: str, order: str) -> DataFrame:
     """The newest row of each key: for ``foreachBatch``, so that a slow consumer sees the latest state alone."""
     return batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
+
+
+def run_paced(stream: DataFrame, handle: Callable[[DataFrame, int], None], seconds: float = 0.5, rounds: int = 5, timeout: float = 60.0) -> int:
+    """Give ``handle`` the stream's micro-batches at a fixed rate, ``rounds`` of them at most; returns how many it had."""
+    done: list[int] = []
+
+    def one(batch: DataFrame, number: int) -> None:
+        if len(done) < rounds:
+            handle(batch, number)
+            done.append(number)
+
+    query = stream.writeStream.foreachBatch(one).trigger(processingTime=f"{int(seconds * 1000)} milliseconds").start()
+    until = time.monotonic() + timeout
+    try:
+        while len(done) < rounds and time.monotonic() < until and query.isActive:
+            query.awaitTermination(seconds)
+    finally:
+        query.stop()
+    return len(done)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from contrail.functions import control, geo, text
 from contrail.operators import tracks
+from contrail.plans.queries import tracks_of_events
 from contrail.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -41,7 +42,7 @@ def test_query_equals_oracle(spark, con, name):
 
 
 def test_range_join_is_no_nested_loop(spark):
-    plan = tracks.nearest_enemy(tracks.tracks(spark.read.parquet(f"{SF}/events.parquet")), 5.0)._jdf.queryExecution().executedPlan().toString()
+    plan = tracks.nearest_enemy(tracks_of_events(spark.read.parquet(f"{SF}/events.parquet")), 5.0)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
