@@ -118,8 +118,10 @@ def snapshots(rows: DataFrame, own_width: float = 5.0, enemy_width: float = 2.0,
     first near; null where there is none.
     """
     every = known(rows, attributes)
-    l = every.where(_launched()).select(F.col("seq").alias("launch_seq"), F.col("t").alias("launch_t"), F.col("obj_id").alias("launch_obj"))
-    own = range_join(l, _positions(every, "", attributes), "launch_t", "t", own_width, F.col("launch_obj").eqNullSafe(F.col("obj_id")))
+    l = every.where(_launched()).select(F.col("seq").alias("launch_seq"), F.col("t").alias("launch_t"), F.col("obj_id").alias("launch_obj"), F.col("side").alias("launch_side"))
+    # the sides of one aircraft are equal: the test keeps the dimension alike, as in _positions
+    itself = F.col("launch_obj").eqNullSafe(F.col("obj_id")) & F.col("launch_side").eqNullSafe(F.col("side"))
+    own = range_join(l, _positions(every, "", attributes), "launch_t", "t", own_width, itself)
     own = own.groupBy("launch_seq", "launch_t", "obj_id", "t").agg(F.max_by(F.struct("lon", "lat", "alt", "side"), "seq").alias("p")).select("launch_seq", "launch_t", "obj_id", "t", "p.*")
     pairs = _with_geometry(range_join(own, _positions(every, "e_", attributes), "t", "e_t", enemy_width, _opposing(), "left", "build"))
     others = ("lon", "lat", "alt", *attributes)

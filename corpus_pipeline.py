@@ -66,8 +66,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [(name, with_small_batches(f)) for name, f in (("language_id", language), ("toxicity", toxic), ("near_duplicates", near_duplicates), ("mixing", mix), ("bpe", encode))]
 
-#: The stages learn models and hash words: SQL can't express them. tests/llm holds the operators
-#: against brute force, and of the stages near_duplicates alone, on null and shared ids.
+#: The stages learn models and hash words: SQL can't express them. tests/llm/test_pipeline.py holds each stage's effect and
+#: run() against a brute-force version, given what the two fitted models decide.
 ORACLE_SQL = None
 
 
