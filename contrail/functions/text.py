@@ -22,6 +22,11 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACE))
 
 
+def not_blank(c: Column) -> Column:
+    """True for a text that is more than white space; false for null."""
+    return F.coalesce(strip(c) != "", F.lit(False))
+
+
 def clean_text(c: Column) -> Column:
     """URLs and addresses replaced, blanks collapsed, lines of at most ten characters dropped."""
     c = F.regexp_replace(F.regexp_replace(c, URL, "[URL]"), EMAIL, "[EMAIL]")

@@ -650,6 +650,16 @@ def plan_refresh_gate(spark, d):
     return x.select(F.col("obj_id").alias("user_id"), "n", F.round("last_t", 6).alias("last_t"))
 
 
+_SAID = "CASE seq % 4 WHEN 0 THEN ' \u3000' WHEN 1 THEN NULL WHEN 2 THEN ' plan ' || seq || chr(9) ELSE '' END"
+
+
+@query(TRACKS + f"SELECT seq, coalesce({_strip_sql(_SAID)} <> '', false) AS taken, CASE WHEN {_strip_sql(_SAID)} <> '' THEN {_strip_sql(_SAID)} END AS plan FROM tr")
+def plan_not_blank(spark, d):
+    """A plan is taken if it is more than white space, and stripped."""
+    x = _tracks(spark, d).select("seq", F.expr(_SAID).alias("p"))
+    return x.select("seq", text.not_blank(F.col("p")).alias("taken"), F.when(text.not_blank(F.col("p")), text.strip(F.col("p"))).alias("plan"))
+
+
 # ------------------------------------------------------------ decisions
 
 

@@ -69,3 +69,9 @@ def reply(message: pd.Series, action: pd.Series) -> pd.Series:
         return STATUS + np.asarray(a, "<f4").tobytes()
 
     return pd.Series([one(m, a) for m, a in zip(message, action, strict=True)])
+
+
+def halved(messages: DataFrame) -> DataFrame:
+    """``messages`` of :func:`binary_messages`, of a table or a stream, with ``reply``: the message of each one's numbers
+    halved; null for an error."""
+    return messages.withColumn("reply", packed(F.transform("vals", lambda v: (v * 0.5).cast("float"))))

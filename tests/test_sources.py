@@ -163,6 +163,8 @@ def test_wire(spark):
     data = struct.pack("<Iff", 8, 1.5, 2.0) + struct.pack("<I", 0) + struct.pack("<I3s", 3, b"abc") + struct.pack("<If", 8, 1.0)
     got = wire.binary_messages(spark.createDataFrame([("p", data), ("q", None)], "path string, content binary")).orderBy("pos").collect()
     assert [(r["pos"], r["vals"], r["error"] is None) for r in got] == [(0, [1.5, 2.0], True), (1, [], True), (2, None, False)]
+    replies = [r["reply"] for r in wire.halved(wire.binary_messages(spark.createDataFrame([("p", data)], "path string, content binary"))).orderBy("pos").collect()]
+    assert [None if r is None else bytes(r) for r in replies] == [struct.pack("<Iff", 8, 0.75, 1.0), struct.pack("<I", 0), None]
     out = spark.createDataFrame([([1.0],)], "v array<float>").select(wire.packed("v").alias("p"), wire.reply(F.lit("STATUS"), decisions.action_vector(F.array(*[F.lit(1.0).cast("float")] * 6))).alias("s"), wire.reply(F.lit("RESET"), "v").alias("r")).first()
     assert bytes(out["p"]) == struct.pack("<If", 4, 1.0) and bytes(out["r"]) == b"RESET"
     vector = struct.unpack("<640f", bytes(out["s"])[6:])
