@@ -7,7 +7,7 @@ records that such a table names, by their offsets alone.
 
 Archives are rows of a table (name, content), written by Spark's own writer: that works on any store, and a lost task's
 archives are written again as a whole. The index is another table, with a row for each record; looking up or filtering
-records touches no content. An archive ends once it holds ``archive_bytes`` of records, so it is larger than that by less
+records touches no content. A reader of all records takes each archive's own list and joins nothing. An archive ends once it holds ``archive_bytes`` of records, so it is larger than that by less
 than its last record, and is handled by itself. Batches between Spark and Python are bounded by bytes
 (``spark.sql.execution.arrow.maxBytesPerBatch``); no setting is changed and any batch size gives the same.
 
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contrail.llm.common import drop_stored, join_hot, stored
+from contrail.llm.common import drop_stored, stored
 
 _DATE = "2024-01-01T00:00:00Z"
 _END = b"\r\n\r\n"
@@ -84,9 +84,12 @@ def with_types(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     payload = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "utf-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     small = stored(rows.where(F.length("payload") >= least).select("page_id", "digest"))
-    answers = small.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "first")
-    # only ids and digests meet on the digest, in parts where it is hot; payloads move by page id
-    revisits = join_hot(small, stored(answers), "digest").where("first is not null and not (page_id <=> first)").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("first").alias("refers_to")).distinct()
+    answers = stored(small.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "first"))
+    # only ids and digests meet on the digest (two stored tables, so that Spark splits a hot one); payloads move by page id
+    revisits = small.join(answers, "digest").where("first is not null and not (page_id <=> first)").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("first").alias("refers_to"))
+    revisits = stored(revisits.distinct())
+    for done in (small, answers):
+        drop_stored(done)
     return rows.join(revisits, rows["page_id"].eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
@@ -137,8 +140,9 @@ def sidecar(normalised: DataFrame) -> DataFrame:
     return normalised.select("name", F.explode("records").alias("r")).select("name", "r.*")
 
 
-def read(archives: DataFrame, index: DataFrame) -> DataFrame:
-    """``page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload`` of every record in the index.
+def read(archives: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """``page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload`` of every record, by its offset; with
+    ``index``, of the records that it has (rows of the sidecar): only the archives it names are read, each joined to its places.
 
     Length and digest are of the full payload; those of a response are computed from it, and a response whose digest
     differs from its header raises ValueError. ``payload`` is null for revisits.
@@ -165,13 +169,18 @@ def read(archives: DataFrame, index: DataFrame) -> DataFrame:
                     out.append((number(head["warc-record-id"]), head.get("warc-target-uri"), head["warc-type"], number(head.get("warc-refers-to")), size, digest, payload if response else None))
                 yield pd.DataFrame(out, columns=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"], dtype=object)
 
-    places = index.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places"))  # of one archive
-    return archives.join(places, "name").select("content", "places").mapInPandas(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    if index is None:
+        placed = archives.select("content", F.col("records").alias("places"))
+    else:
+        places = index.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places"))  # of one archive
+        placed = archives.select("name", "content").join(places, "name").select("content", "places")
+    return placed.mapInPandas(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
 def archive(pages: DataFrame, archive_bytes: int = 16 << 20, **names: str) -> tuple[DataFrame, DataFrame]:
-    """Write pages as monolithic archives and normalise them: the table of archives (name, content) and its sidecar index."""
+    """Write pages as monolithic archives and normalise them: the table of archives (name, content, records) and, as a table
+    of its own, the sidecar index."""
     whole = stored(write_monolithic(with_types(pages, **names), archive_bytes))
     both = stored(normalise(whole))
     drop_stored(whole)
-    return both.select("name", "content"), stored(sidecar(both))
+    return both, stored(sidecar(both))

@@ -184,6 +184,24 @@ def test_jpeg_colour_subsampling_and_scans(scans, wide_quants):
     assert (jpeg.thumbnail(other) == 77).all()
 
 
+@pytest.mark.parametrize("shape", [(1, 1), (3, 50), (8, 9), (37, 5), (100, 80)])
+def test_thumbnail_hashes_against_brute_force(shape):
+    pixels = np.random.default_rng(5).integers(0, 256, shape).astype(np.uint8)
+
+    def cells(high, wide):
+        cut = lambda i, n, size: (i * size // n, max(-(-(i + 1) * size // n), i * size // n + 1))
+        return [[np.mean([float(pixels[y, x]) for y in range(*cut(i, high, shape[0])) for x in range(*cut(j, wide, shape[1]))]) for j in range(wide)] for i in range(high)]
+
+    def hexed(bits):
+        return "".join(format(int("".join("1" if b else "0" for b in bits[i : i + 4]), 2), "x") for i in range(0, 64, 4))
+
+    mean, step = cells(8, 8), cells(8, 9)
+    total = np.mean(mean)
+    average = hexed([v > total for row in mean for v in row])
+    difference = hexed([b > a for row in step for a, b in zip(row, row[1:])])
+    assert jpeg.thumbnail_hashes(pixels) == (average, difference)
+
+
 def test_jpeg_rejects_and_mixes(spark):
     good = jpeg.store([b"a" * 64])[0]
     df = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(b"junk")), (3, None), (4, bytearray(good[:-10])), (None, bytearray(good))], "doc_id long, media binary")
