@@ -84,28 +84,6 @@ def drop_stored(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def join_hot(big: DataFrame, small: DataFrame, key: str, how: str = "inner", sizes: DataFrame | None = None, parts: int = 1000) -> DataFrame:
-    """``big`` joined (``inner``, ``left`` or ``left_semi``) to ``small`` on a column of both that a few values may fill.
-
-    A key with over 1/parts of the rows of ``big`` (so fewer than ``parts`` keys) is dealt out in as many parts as bring each
-    below that, and its rows of ``small``, which has few for a key, are repeated for each part; so are null keys of a left
-    join. Only those keys and their numbers of parts reach the driver. ``sizes``: ``key, n`` of ``big`` if known; otherwise
-    ``big`` is read twice and should be a stored table.
-    """
-    counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if sizes is None else sizes
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(1000, total // parts)
-    hot = counts.where((F.col("n") > least) & (F.col(key).isNotNull() | F.lit(how == "left"))).select(key, F.ceil(F.col("n") / least).cast("long").alias("__parts")).collect()
-    if not hot:
-        return big.join(small, key, how)
-    held = F.broadcast(big.sparkSession.createDataFrame([tuple(r) for r in hot], f"`__key` {big.schema[key].dataType.simpleString()}, `__parts` long"))
-    n = F.coalesce("__parts", F.lit(1))
-    same = F.col(key).eqNullSafe(F.col("__key"))
-    left = big.join(held, same, "left").withColumn("__part", F.monotonically_increasing_id() % n).drop("__key", "__parts")
-    right = small.join(held, same, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop("__key", "__parts")
-    return left.join(right, [key, "__part"], how).drop("__part")
-
-
 def held_out(doc_id: str | Column) -> Column:
     """True for rows that training must not see: crc32 of the id as text is a multiple of 5 (a null id counts as '')."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -11,14 +11,15 @@ which is the Jaccard similarity when all weights are equal. ``1 - J_P`` is a col
 
 Texts, not ids, are compared: a text's key is the first half of its SHA-256, so rows that share an id or have none are
 rows like all others. Steps, none of which emits all pairs of a group: (1) equal texts share a key and are one text from
-then on. (2) Bands of the signatures are grouped; all members of a bucket are paired with its leaders, a few members of
-smallest key. (3) Pairs whose signatures agree enough to be similar are verified on the whole texts by exact J_P. (4)
+then on. (2) Bands of the signatures are grouped; all members of a bucket are paired with its leaders, the few members that
+share their buckets with most other texts. (3) Pairs whose signatures agree enough to be similar are verified on the whole texts by exact J_P. (4)
 Linked texts get one class by repeated contraction. (5) Two texts in one class need no further test; members of a bucket
 that are still in different classes are compared by sketches (one bit each of many more components) inside the join,
 which emits only the pairs that agree enough, each in the first bucket that both are in; these are verified too. The
 comparisons of a bucket are dealt out in blocks of its members, so no bucket is one task. They still grow with the square
 of a bucket's members that are in different classes, as it takes a comparison to know that two of them are no copies.
-Keys that many rows share (copies of one text, hubs of links, buckets) are joined by broadcast, see ``join_hot``.
+Keys that many rows share (copies of one text, buckets, hubs of links) are joined between stored tables alone: Spark
+then knows the sizes of both sides' partitions and splits one that is too large (adaptive skew joins).
 Signatures of ``bands * band_rows`` components miss a pair at the threshold with probability (1 - t^r)^b: 5e-5 here.
 
 Defined cases: a null text is like no other row, its class is its own id; empty texts are equal to each other; repeated
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from contrail.llm.common import drop_stored, join_hot, slices, stored
+from contrail.llm.common import drop_stored, slices, stored
 
 _MEMO = 250_000
 _HELD = 2_000_000  # shingles of texts a task remembers while it verifies pairs
@@ -184,43 +185,40 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, size: int) ->
             p["similarity"] = s
             yield p.loc[p["similarity"] >= threshold, ["a", "b", "similarity"]]
 
-    of_b = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    both = join_hot(join_hot(pairs, a, "a"), b, "b", sizes=of_b).select("a", "b", "ta", "tb")
-    same = both.mapInPandas(run, "a binary, b binary, similarity double")
+    same = pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInPandas(run, "a binary, b binary, similarity double")
     return same.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("similarity").alias("similarity"))
 
 
-def _star(rows: DataFrame, low: DataFrame, hub: int) -> DataFrame:
-    """``u, v, m``: neighbours v of u with u's smallest neighbour. Nodes of over ``hub`` neighbours are joined by broadcast."""
-    few, many = low.where(F.col("n") <= hub).drop("n"), F.broadcast(low.where(F.col("n") > hub).drop("n"))
-    return rows.join(F.broadcast(many.select("u")), "u", "left_anti").join(few, "u").unionByName(rows.join(many, "u"))
-
-
 def connected(links: DataFrame) -> DataFrame:
-    """``id, root`` for every id in ``links`` (a, b) that is connected to a smaller one: the smallest of them.
+    """``id, root`` for every id in ``links`` (a, b) that is connected to a smaller one: the smallest of them. A stored table.
 
-    Alternating stars: each node's neighbours are pointed to its smallest neighbour, until nothing changes. Edges never
-    grow in number and each round is a table in the shared folder, so a lost executor costs one round at most. A node that
-    over a thousandth of the edges meet in (there are fewer than 2000) is no join key: what is known of it is broadcast.
+    Contraction: each node goes to the smallest of itself and its neighbours, edges go along, and those that join a node
+    to itself fall away, until none is left; then the steps are put together. Edges never grow in number, and with ids in
+    no order along the links (text keys are hashes) each round leaves less than about half of the nodes. Each round's
+    tables are in the shared folder, so a lost executor costs one round at most.
     """
-    first = Observation()
-    start = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = stored(start.observe(first, F.count(F.lit(1)).alias("n")))
-    before, n = None, first.get["n"]
-    while True:
-        hub = max(1000, n // 1000)
-        both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = _star(both, low, hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = _star(large, low2, hub).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+
+    def kept(edges: DataFrame) -> tuple[DataFrame, int]:
         seen = Observation()
-        new = stored(small.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("sum")))
+        out = stored(edges.where("u <> v").distinct().observe(seen, F.count(F.lit(1)).alias("n")))
+        return out, seen.get["n"]
+
+    edges, n = kept(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    steps = []
+    while n or not steps:
+        both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
+        steps.append(stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))))
+        moved = edges.join(steps[-1].withColumnRenamed("m", "mu"), "u").join(steps[-1].select(F.col("u").alias("v"), F.col("m").alias("mv")), "v")
+        new, n = kept(moved.select(F.greatest("mu", "mv").alias("u"), F.least("mu", "mv").alias("v")))
         drop_stored(edges)
-        edges, now = new, seen.get
-        if now == before:
-            return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root"))
-        before, n = now, now["n"]
+        edges = new
+    root = steps[0]
+    for step in steps[1:]:
+        root = root.join(step.select(F.col("u").alias("m"), F.col("m").alias("next")), "m", "left").select("u", F.coalesce("next", "m").alias("m"))
+    out = stored(root.where("u <> m").select(F.col("u").alias("id"), F.col("m").alias("root")))
+    for done in (edges, *steps):
+        drop_stored(done)
+    return out
 
 
 def text_key(text: str | Column) -> Column:
@@ -240,31 +238,32 @@ def text_classes(docs: DataFrame, text_col: str = "text", threshold: float = 0.8
     pair at the threshold with probability 1.3e-5).
     """
     rows = docs.select(text_key(text_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    first = [F.first(c).alias(c) for c in ("sig", "keys")]
-    signed = stored(signatures(rows, bands, band_rows, size).groupBy("id").agg(*first, F.count(F.lit(1)).alias("n")))
+    signed = stored(signatures(rows, bands, band_rows, size).groupBy("id").agg(F.first("sig").alias("sig"), F.first("keys").alias("keys")))
     keys = signed.select("id", F.explode("keys").alias("key"))
-    buckets = stored(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key"))
-    inside = buckets.select("id").distinct()
-    texts = stored(join_hot(rows, inside, "id", "left_semi", signed.select("id", "n")).groupBy("id").agg(F.first("text").alias("text")))
+    buckets = stored(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"))
+    central = stored(buckets.groupBy("id").agg(F.sum("n").alias("company")))
+    # one row for each text: its copies within a task go before the shuffle
+    texts = stored(rows.groupBy("id").agg(F.first("text").alias("text")).join(central.select("id"), "id", "left_semi"))
 
-    # leaders: the smallest key of each of a few parts of a bucket
+    # leaders: of each of a few parts of a bucket the text that shares its buckets with most others, so that a group of
+    # copies has few of them, its original first
     part = F.pmod(F.xxhash64("id"), F.lit(leaders))
-    lead = stored(buckets.groupBy("key", part.alias("part")).agg(F.min("id").alias("leader")).select("key", "leader"))
-    led = stored(join_hot(buckets, lead, "key").where("leader <> id").select("leader", "id").distinct())
+    lead = stored(buckets.join(central, "id").groupBy("key", part.alias("part")).agg(F.max(F.struct("company", "id"))["id"].alias("leader")).select("key", "leader"))
+    met = stored(buckets.join(lead, "key").where("leader <> id").select("leader", "id").distinct())
     sig_of = lambda name: signed.select(F.col("id").alias(name), F.col("sig").alias(f"{name}_sig"))
     alike = _agreement("leader_sig", "id_sig") >= threshold - slack
-    led = stored(join_hot(led, sig_of("leader"), "leader").join(sig_of("id"), "id").where(alike).select(F.col("leader").alias("a"), F.col("id").alias("b")))
+    led = stored(met.join(sig_of("leader"), "leader").join(sig_of("id"), "id").where(alike).select(F.col("leader").alias("a"), F.col("id").alias("b")))
     links = stored(_verified(led, texts, threshold, size))
-    for done in (signed, led):
+    for done in (signed, central, met, led):
         drop_stored(done)
-    classes = stored(connected(links))
+    classes = connected(links)
 
     # what is left: members that are no leaders and still in different classes, but for those within the largest class
     now = buckets.join(lead, (buckets["key"] == lead["key"]) & (buckets["id"] == lead["leader"]), "left_anti").join(classes, "id", "left")
     now = stored(now.select("key", "id", F.coalesce("root", "id").alias("root")))
     by_class = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     open_keys = stored(by_class.groupBy("key").agg(F.sum("c").alias("members"), F.count(F.lit(1)).alias("n"), F.max(F.struct("c", "root"))["root"].alias("main")).where("n > 1").select("key", "main", F.ceil(F.col("members") / _BLOCK).alias("parts")))
-    rest = join_hot(now, open_keys, "key")
+    rest = now.join(open_keys, "key")
     drawn = sketches(texts.join(rest.select("id").distinct(), "id", "left_semi"), sketch_words, size)
     every = rest.groupBy("id").agg(F.collect_set("key").alias("keys"))  # at most one key for each band
     rest = stored(rest.join(drawn.join(every, "id"), "id"))
@@ -274,12 +273,12 @@ def text_classes(docs: DataFrame, text_col: str = "text", threshold: float = 0.8
     once = (F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))  # a pair of two outsiders meets twice
     once = once & (F.array_min(F.array_intersect("ka", "kb")) == F.col("key"))  # the first bucket both are in
     same = (F.col("key") == F.col("k")) & (F.col("part") == F.col("p"))
-    more = outside.join(others, same & (F.col("ra") != F.col("rb")) & _maybe_similar("ba", "bb", sketch_words, threshold, deviations) & once)
+    more = outside.repartition("key", "part").join(others.repartition("k", "p"), same & (F.col("ra") != F.col("rb")) & _maybe_similar("ba", "bb", sketch_words, threshold, deviations) & once)
     more = stored(more.select("a", "b"))
     found = stored(_verified(more, texts, threshold, size))
     if not found.isEmpty():
         drop_stored(classes)
-        classes = stored(connected(links.union(found)))
+        classes = connected(links.union(found))
     degree = links.union(found).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     out = stored(degree.join(classes, "id", "left").select(F.col("id").alias("key"), F.coalesce("root", "id").alias("root"), "n_links"))
     for done in (buckets, texts, lead, links, classes, now, open_keys, rest, more, found):
@@ -298,9 +297,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = text_classes(docs, text_col, **options)
     texts = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("least")).join(linked, "key", "left")
     texts = stored(texts.select("key", "least", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-    named = stored(join_hot(texts, texts.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("key", "root", "class_id", "n_links"))
-    for done in (linked, texts):
+    ids = stored(texts.groupBy("root").agg(F.min("least").alias("class_id")))
+    named = stored(texts.join(ids, "root").select("key", "root", "class_id", "n_links"))
+    for done in (linked, texts, ids):
         drop_stored(done)
-    out = join_hot(rows, named, "key", "left")
+    out = rows.join(named, "key", "left")
     own = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id"))
     return out.select(F.col("id").alias(id_col), own.alias("class_id"), F.hex("root").alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

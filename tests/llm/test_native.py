@@ -1,6 +1,7 @@
 """URL filters, syncmers and mixing against brute force."""
 
 import hashlib
+import math
 import re
 from itertools import pairwise
 
@@ -54,6 +55,18 @@ def test_held_out_urls(spark):
     assert sum(right(False)) / len(right(False)) > 0.98 and sum(right(True)) / len(right(True)) > 0.8
 
 
+def test_probability_by_hand(spark):
+    """The score is the logistic function of the model's weights over the buckets that a URL's n-grams fall into."""
+    table = url_filter.labelled_table(spark)
+    model = url_filter.fit(table.where("not held_out"))
+    tf, lr = model.stages
+    got = {r["page_id"]: r["p_block"] for r in url_filter.judge(table.withColumnRenamed("url", "page_id").withColumn("url", F.col("page_id")), model, []).collect()}
+    for r in url_filter.features(table).limit(40).collect():
+        buckets = {tf.indexOf(g) for g in r["grams"]}
+        z = lr.intercept + sum(lr.coefficients[b] for b in buckets)
+        assert got[r["url"]] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
 def test_features_against_brute_force(spark):
     rows = [(u,) for u in URLS if u is None or len(u) < 100]
     got = url_filter.features(spark.createDataFrame(rows, "url string")).collect()

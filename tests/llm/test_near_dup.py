@@ -7,7 +7,6 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from contrail.llm import near_dup
-from contrail.llm.common import join_hot, stored
 from contrail.llm.queries import op4_near_dup
 
 
@@ -114,15 +113,6 @@ def test_links_of_hot_groups(spark):
     assert {(r["class_id"], r["n_links"]) for r in got if r["doc_id"] is None} == {(None, 0)}
 
 
-def test_join_hot(spark):
-    big = stored(spark.createDataFrame([(k, i) for i, k in enumerate([1] * 3000 + [2] * 5 + [None] * 2000 + [3])], "k long, i long").repartition(2))
-    small = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k long, s string")
-    for how, n in (("inner", 6005), ("left", 6000 + 5 + 2000 + 1), ("left_semi", 3005)):
-        got = join_hot(big, small, "k", how)
-        assert got.count() == n == big.join(small, "k", how).count()
-        assert got.columns == (["k", "i"] if how == "left_semi" else ["k", "i", "s"])
-
-
 def test_odd_inputs(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "a b c")], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["class_id"]) for r in near_dup.near_duplicates(df).collect())
@@ -137,7 +127,22 @@ def test_query_against_all_pairs(spark):
 
 
 def test_connected(spark):
-    links = [(i, i + 1) for i in range(30)] + [(50, 60), (60, 55)]
+    """Chains, stars and a ladder over ids in no order, and two small chains in order."""
+    random.seed(2)
+    ids = random.sample(range(1000, 10**6), 400)
+    links = list(zip(ids[:100], ids[1:100])) + [(ids[100], x) for x in ids[101:200]] + [(a, b) for i in range(200, 398, 2) for a, b in ((ids[i], ids[i + 1]), (ids[i], ids[i + 2]))]
+    links += [(i, i + 1) for i in range(5)] + [(50, 60), (60, 55), (70, 70)]
+    random.shuffle(links)
+    root = {x: x for e in links for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
     got = {r["id"]: r["root"] for r in near_dup.connected(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(1, 31)} | {55: 50, 60: 50}
-    assert np.all([v < k for k, v in got.items()])
+    assert got == {x: find(x) for x in root if find(x) != x}
+    assert near_dup.connected(spark.createDataFrame([], "a long, b long")).count() == 0
