@@ -131,14 +131,14 @@ def bvr_intent(spark, d):
     return _table(spark, d, "events").select(F.col("event_id").alias("seq"), text.intent(F.expr(_PLAN)).alias("intent"))
 
 
-@query("""WITH u AS (SELECT event_id % 200 AS ctx, event_id, row_number() OVER (PARTITION BY event_id % 200 ORDER BY event_id) AS n, event_id * 13 % 360 AS h, event_id * 31 % 10000 AS z FROM events WHERE event_id % 3 = 0),
+@query("""WITH u AS (SELECT event_id // 20 AS ctx, event_id, row_number() OVER (PARTITION BY event_id // 20 ORDER BY event_id) AS n, event_id * 13 % 360 AS h, event_id * 31 % 10000 AS z FROM events),
     c AS (SELECT ctx, n, trim((CASE WHEN h BETWEEN 86 AND 94 THEN '' WHEN abs(w) > 45 THEN CASE WHEN w > 0 THEN 'turn 60' ELSE 'turn -60' END ELSE CASE WHEN w > 0 THEN 'turn 30' ELSE 'turn -30' END END) || ' ' || (CASE WHEN z < 1000 THEN 'up 100' WHEN z > 8000 THEN 'up -100' ELSE '' END)) AS a
           FROM (SELECT *, CASE WHEN 90 - h < -180 THEN 450 - h ELSE 90 - h END AS w FROM u))
     SELECT ctx, '##' || coalesce(string_agg('red' || n || ' ' || a, ' ' ORDER BY n) FILTER (WHERE a <> ''), '') || '##' AS line FROM c GROUP BY ctx""")
 def bvr_command_line(spark, d):
-    """Units of a context head for bearing 90; commands are assembled in unit order, idle units left out."""
+    """Units of a context, all events of 20 ids, head for bearing 90; commands in unit order, idle units left out."""
     e = F.col("event_id")
-    u = _table(spark, d, "events").where(e % 3 == 0).select((e % 200).alias("ctx"), e, (e * 13 % 360).alias("h"), (e * 31 % 10000).alias("z"))
+    u = _table(spark, d, "events").select(F.floor(e / 20).alias("ctx"), e, (e * 13 % 360).alias("h"), (e * 31 % 10000).alias("z"))
     u = u.withColumn("n", F.row_number().over(Window.partitionBy("ctx").orderBy("event_id")))
     a = F.trim(F.concat_ws(" ", geo.turn_command(F.col("h"), F.lit(90)), geo.altitude_command(F.col("z"), F.lit(False))))
     got = u.withColumn("a", a).groupBy("ctx").agg(F.array_sort(F.collect_list(F.when(F.col("a") != "", F.struct("n", F.concat(F.lit("red"), F.col("n"), F.lit(" "), F.col("a")).alias("c"))))).alias("x"))

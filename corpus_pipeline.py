@@ -72,10 +72,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each stage's result written and read again."""
-    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    """All stages on ``documents``, each stage's result written and read again; a table goes once the next is written."""
+    docs, before = table(spark, sf_dir, "documents").select(*COLUMNS), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stored(docs)
+            if before is not None:
+                drop_stored(before)
+            before = docs
     return docs

@@ -83,3 +83,21 @@ def test_number_text_is_half_even(spark):
 def test_first_seen_keeps_nulls(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "a", "x"), (3, "b", "y")], "seq long, obj_id string, side string")
     assert {(r["obj_id"], r["side"]) for r in tracks.first_seen(df).collect()} == {("a", None), ("b", "y")}
+
+
+def test_numbering_over_blocks(spark):
+    seqs = [0, 1, 5, 6, 7, 30, 31, 200, 2**40]
+    df = spark.createDataFrame([(x,) for x in seqs], "seq long")
+    assert sorted((r["seq"], r["idx"]) for r in tracks.numbered(df, block=3).collect()) == [(x, i + 1) for i, x in enumerate(seqs)]
+    assert tracks.numbered(df.limit(0)).count() == 0
+
+
+def test_range_join_spreads(spark):
+    """Either side may visit three buckets; a probe row without a partner comes once if the build side does."""
+    probe = spark.createDataFrame([(i, float(t)) for i, t in enumerate([0, 4.9, 5, 10, 100, -3])], "i int, t double")
+    build = spark.createDataFrame([(j, float(u)) for j, u in enumerate([0, 5, 9.9, 10, -8])], "j int, u double")
+    want = {(a["i"], b["j"]) for a in probe.collect() for b in build.collect() if abs(a["t"] - b["u"]) <= 5}
+    for spread in ("probe", "build"):
+        assert {(r["i"], r["j"]) for r in tracks.range_join(probe, build, "t", "u", 5.0, spread=spread).collect()} == want
+    left = [(r["i"], r["j"]) for r in tracks.range_join(probe, build, "t", "u", 5.0, how="left", spread="build").collect()]
+    assert sorted(left, key=repr) == sorted(want | {(4, None)}, key=repr)
