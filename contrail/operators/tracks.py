@@ -188,6 +188,7 @@ def launch_summary(rows: DataFrame, width: float = 5.0) -> DataFrame:
     signed = lambda c: F.concat(F.when(c >= 0, "+").otherwise(""), fixed(c, 0))
     metres = lambda c, form: F.concat(form(c), F.lit("m ("), form(c / FOOT_M), F.lit("ft)"))
     plain = lambda c: fixed(c, 0)
+    # fixed values: the wording of a launch's lines, of its enemy's, and of the notice
     own = [
         F.concat(F.lit("【发射 #"), F.col("idx").cast("string"), F.lit("】")),
         F.concat(F.lit("  时间: "), fixed(F.col("t"), 2), F.lit("s")),
