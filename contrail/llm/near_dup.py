@@ -242,8 +242,9 @@ def text_classes(docs: DataFrame, text_col: str = "text", threshold: float = 0.8
     keys = signed.select("id", F.explode("keys").alias("key"))
     buckets = stored(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"))
     central = stored(buckets.groupBy("id").agg(F.sum("n").alias("company")))
-    # one row for each text: its copies within a task go before the shuffle
-    texts = stored(rows.groupBy("id").agg(F.first("text").alias("text")).join(central.select("id"), "id", "left_semi"))
+    # one row for each text, whose copies within a task go before the shuffle; an inner join, as a semi join would be moved
+    # below the aggregate at some sizes and not at others
+    texts = stored(rows.groupBy("id").agg(F.first("text").alias("text")).join(central.select("id"), "id"))
 
     # leaders: of each of a few parts of a bucket the text that shares its buckets with most others, so that a group of
     # copies has few of them, its original first
