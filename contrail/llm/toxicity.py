@@ -30,6 +30,7 @@ from contrail.llm.common import bounded_sample, drop_stored, held_out, slices, s
 
 _WORDS = re.compile(r"[^\W_]+")
 _MEMO = 200_000
+_BLOCK = 1_000_000  # n-grams of a block of training rows
 
 
 @dataclass(frozen=True)
@@ -80,25 +81,38 @@ def fit_arrays(rows: list[np.ndarray], labels: np.ndarray, buckets: int, alpha:
     y = np.asarray(labels, float)
     if len(y) == 0 or y.min() == y.max():
         return Toxicity(np.zeros(buckets, np.float32), -1e-6)
-    of = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    ids = np.concatenate(rows).astype(np.int64)
-    p = np.bincount(ids, weights=y[of], minlength=buckets) + alpha
-    q = np.bincount(ids, weights=1 - y[of], minlength=buckets) + alpha
-    ratio = np.log((p / (y.sum() + 2 * alpha)) / (q / ((1 - y).sum() + 2 * alpha)))
-    used, col = np.unique(ids, return_inverse=True)
-    x = ratio[used][col]
+    sizes = np.array([len(x) for x in rows])
+    ids = np.concatenate(rows).astype(np.int32)
+    ends = np.cumsum(sizes)
+    # rows in blocks of bounded size, each with its part of ids: what a step computes is never larger than a block
+    cuts = [0, *(np.flatnonzero(np.diff(ends // _BLOCK)) + 1).tolist(), len(y)]
+    blocks = [(i, j, slice(ends[i] - sizes[i], ends[j - 1])) for i, j in zip(cuts, cuts[1:]) if i < j]
+    of = lambda values, i, j: np.repeat(values[i:j], sizes[i:j])
+    p, q = np.full(buckets, alpha), np.full(buckets, alpha)
+    for i, j, part in blocks:
+        p += np.bincount(ids[part], weights=of(y, i, j), minlength=buckets)
+        q += np.bincount(ids[part], weights=of(1 - y, i, j), minlength=buckets)
+    used = np.flatnonzero(p + q > 2 * alpha)
+    ratio = np.log((p / (y.sum() + 2 * alpha)) / (q / ((1 - y).sum() + 2 * alpha)))[used]
+    place = np.zeros(buckets, np.int32)
+    place[used] = np.arange(len(used))
+    ids = place[ids]
     share = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())  # both classes weigh alike
     w, b = np.zeros(len(used)), 0.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, steps + 1):
-        z = np.bincount(of, weights=x * w[col], minlength=len(y)) + b
-        g = share * (_sigmoid(z) - y)
-        grad = np.append(np.bincount(col, weights=x * g[of], minlength=len(used)) + penalty * w, g.sum())
+        scaled, sums, slope = w * ratio, np.zeros(len(used)), 0.0
+        for i, j, part in blocks:
+            z = np.bincount(np.repeat(np.arange(j - i), sizes[i:j]), weights=scaled[ids[part]], minlength=j - i) + b
+            g = share[i:j] * (_sigmoid(z) - y[i:j])
+            sums += np.bincount(ids[part], weights=np.repeat(g, sizes[i:j]), minlength=len(used))
+            slope += g.sum()
+        grad = np.append(ratio * sums + penalty * w, slope)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
     weights = np.zeros(buckets, np.float32)
-    weights[used] = w * ratio[used]
+    weights[used] = w * ratio
     return Toxicity(weights, float(b))
 
 
@@ -117,7 +131,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     size = sample.agg(F.sum(F.length("x"))).first()[0] or 0
     if size > max_bytes:
         sample = sample.where(uniform("k", "x", seed=1) < max_bytes / size)
-    got = sorted(sample.collect(), key=lambda r: (r["k"] or "", bytes(r["x"])))
+    got = sorted(sample.collect(), key=lambda r: (r["k"] or "", len(r["x"]), zlib.crc32(r["x"])))
     drop_stored(sample)
     return fit_arrays([np.frombuffer(r["x"], np.int32) for r in got], np.array([1 if r["y"] == 1 else 0 for r in got]), buckets)
 
