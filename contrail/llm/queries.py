@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contrail.llm import bpe, jpeg, language_id, lm_score, mixing, near_dup, syncmers, toxicity, url_filter, warc
+from contrail.llm import bpe, clustering, jpeg, language_id, lm_score, mixing, near_dup, syncmers, toxicity, url_filter, warc
 from contrail.llm.common import held_out, table, with_small_batches
 
 #: Host and path rules of the URL query.
@@ -90,7 +92,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
-QUERIES = {f.__name__: with_small_batches(f) for f in (op1_language_id, op2_warc, op3_lm_score, op4_near_dup, op5_bpe, op6_url_filter, op7_media, op8_fingerprint, op9_toxicity, op10_mixing)}
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of the embeddings after ten rounds."""
+    members, centroids, _ = clustering.kmeans(table(spark, sf_dir, "embeddings"))
+    shas = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids.tolist()]
+    named = spark.createDataFrame(list(enumerate(shas)), "cluster int, centroid_sha256 string")
+    each = members.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
+    each = each.join(F.broadcast(named), "cluster").withColumn("inertia", F.sum("cluster_inertia").over(Window.partitionBy()))
+    return members.join(F.broadcast(each), "cluster").select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+QUERIES = {f.__name__: with_small_batches(f) for f in (op1_language_id, op2_warc, op3_lm_score, op4_near_dup, op5_bpe, op6_url_filter, op7_media, op8_fingerprint, op9_toxicity, op10_mixing, op11_clustering)}
 
 ORACLES = {
     "op3_lm_score": r"""
@@ -124,3 +136,25 @@ ORACLES = {
         SELECT doc_id, size, source_size, round(target, 6) AS target,
                CAST((whole + CASE WHEN whole < 3 AND before + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM x""",
 }
+
+
+def _clustering_sql(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    """k-means as a chain of common tables: centroids, members, centroids, ..."""
+    parts = [
+        f"""v0 AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+               WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})""",
+        "v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, x FROM v0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, x FROM v ORDER BY h, x LIMIT {k}))",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""d{i} AS MATERIALIZED (SELECT r, min({{'d': d, 'c': c}}) AS m FROM (SELECT r, c, CAST(list_sum(list_transform(generate_series(1, {dims}), lambda i: (v.x[i] - k.x[i]) * (v.x[i] - k.x[i]))) AS BIGINT) AS d FROM v, c{i} AS k) GROUP BY r)""")
+        if i < rounds:
+            parts.append(f"""s{i} AS (SELECT d.m.c AS c, i, sum(v.x[i]) AS s, count(*) AS n FROM d{i} AS d JOIN v USING (r), generate_series(1, {dims}) AS g(i) GROUP BY ALL)""")
+            parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT k.c, coalesce(n.x, k.x) AS x FROM c{i} AS k LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM s{i} GROUP BY c) AS n ON n.c = k.c)""")
+    return f"""WITH {', '.join(parts)}
+        SELECT vec_id, CAST(d.m.c AS INTEGER) AS cluster, d.m.d AS distance, CAST(sum(d.m.d) OVER (PARTITION BY d.m.c) AS BIGINT) AS cluster_inertia,
+               CAST(sum(d.m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.x, ',')) AS centroid_sha256
+        FROM d{rounds} AS d JOIN v USING (r) JOIN c{rounds} AS k ON k.c = d.m.c"""
+
+
+ORACLES["op11_clustering"] = _clustering_sql()
