@@ -31,6 +31,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
+def bounded_batches(spark: SparkSession, size: str = "32m") -> None:
+    """Bound Arrow batches by their bytes also: for queries over rows of some hundred kilobytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def with_small_batches(query):
     """``query(spark, ...)`` under :func:`small_batches`."""
 

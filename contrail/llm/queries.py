@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contrail.llm import bpe, clustering, jpeg, language_id, lm_score, mixing, near_dup, syncmers, toxicity, url_filter, warc
-from contrail.llm.common import held_out, table, with_small_batches
+from contrail.llm import bpe, clustering, decontamination, jpeg, language_id, lm_score, mixing, near_dup, syncmers, toxicity, url_filter, warc
+from contrail.llm.common import bounded_batches, held_out, table, with_small_batches
 
 #: Host and path rules of the URL query.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -102,7 +102,15 @@ def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(F.broadcast(each), "cluster").select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
-QUERIES = {f.__name__: with_small_batches(f) for f in (op1_language_id, op2_warc, op3_lm_score, op4_near_dup, op5_bpe, op6_url_filter, op7_media, op8_fingerprint, op9_toxicity, op10_mixing, op11_clustering)}
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that are in occurrences of ten-word windows of benchmark items, and those items."""
+    bounded_batches(spark)
+    x = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return x.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+QUERIES = {f.__name__: with_small_batches(f) for f in (op1_language_id, op2_warc, op3_lm_score, op4_near_dup, op5_bpe, op6_url_filter, op7_media, op8_fingerprint, op9_toxicity, op10_mixing, op11_clustering, op12_decontamination)}
 
 ORACLES = {
     "op3_lm_score": r"""
@@ -158,3 +166,15 @@ def _clustering_sql(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
 
 
 ORACLES["op11_clustering"] = _clustering_sql()
+
+ORACLES["op12_decontamination"] = r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    p AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS s
+          FROM b, generate_series(1, greatest(len(w) - 9, 1)) AS g(i) WHERE len(w) > 0),
+    x AS (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS s FROM d, (SELECT DISTINCT n FROM p), generate_series(1, len(w) - n + 1) AS g(i)),
+    m AS (SELECT r, x.n, i, item_id FROM x JOIN p ON p.s = x.s AND p.n = x.n),
+    h AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT r, n, i FROM m), generate_series(i, i + n - 1) AS g(j) GROUP BY r),
+    t AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM m GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""
