@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contrail.llm import bpe, clustering, decontamination, jpeg, language_id, lm_score, mixing, near_dup, syncmers, toxicity, url_filter, warc
+from contrail.llm import bpe, clustering, conversation_repair, decontamination, jpeg, language_id, lm_score, mixing, near_dup, syncmers, toxicity, url_filter, warc
 from contrail.llm.common import bounded_batches, held_out, table, with_small_batches
 
 #: Host and path rules of the URL query.
@@ -110,7 +110,23 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: with_small_batches(f) for f in (op1_language_id, op2_warc, op3_lm_score, op4_near_dup, op5_bpe, op6_url_filter, op7_media, op8_fingerprint, op9_toxicity, op10_mixing, op11_clustering, op12_decontamination)}
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults by a hash of their ids and turns: a row dropped (``gone``), without text, without sentence
+    ends, twice, or said by the user."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    x = rows.select("conv_id", "turn", said("role").alias("role"), said("text").alias("text"), (F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn"))) % 20).alias("fault"))
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    times = F.explode(F.sequence(F.lit(1), F.when(F.col("fault") == 3, 2).otherwise(1)))
+    return x.select("conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), (F.col("fault") == 0).alias("gone"), times.alias("time"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every conversation after damage."""
+    bounded_batches(spark)
+    return conversation_repair.repair(damaged(table(spark, sf_dir, "conversations")), gone=F.col("gone"))
+
+
+QUERIES = {f.__name__: with_small_batches(f) for f in (op1_language_id, op2_warc, op3_lm_score, op4_near_dup, op5_bpe, op6_url_filter, op7_media, op8_fingerprint, op9_toxicity, op10_mixing, op11_clustering, op12_decontamination, op13_conversation_repair)}
 
 ORACLES = {
     "op3_lm_score": r"""
@@ -178,3 +194,35 @@ ORACLES["op12_decontamination"] = r"""
     t AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM m GROUP BY r)
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""
+
+ORACLES["op13_conversation_repair"] = r"""
+    WITH RECURSIVE
+    tab AS (SELECT list(list_reduce(list_concat([n], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY n) AS t FROM (SELECT CAST(range AS BIGINT) AS n FROM range(256))),
+    o AS (SELECT conv_id, row_number() OVER () AS k FROM (SELECT DISTINCT conv_id FROM conversations)),
+    c AS (SELECT o.k, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(c.conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+          FROM conversations AS c JOIN o ON o.conv_id IS NOT DISTINCT FROM c.conv_id),
+    f AS (SELECT k, turn, role, text, xor(list_reduce(list_concat([4294967295], list_transform(string_split(name, ''), lambda x: CAST(ord(x) AS BIGINT))), lambda a, b: xor(a // 256, tab.t[xor(a % 256, b) + 1])), 4294967295) % 20 AS f FROM c, tab),
+    d AS (SELECT k, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+          FROM f, range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+    g AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS i, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS body FROM d),
+    n AS MATERIALIZED (SELECT k, i, turn, role, text, role[1:1] AS a, CASE WHEN body = '' THEN 'b' WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 'd' WHEN body[-1:] NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+                 lag(role[1:1]) OVER (PARTITION BY k ORDER BY i) || role[1:1] AS two FROM g),
+    st AS (SELECT k, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+                  count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows FROM n GROUP BY k),
+    dp AS (SELECT k, 0 AS i, s, cost, audit FROM st, (VALUES (0, 0, ''), (2, 5, 'I'), (3, 10, 'II')) AS v(s, cost, audit)
+           UNION ALL
+           SELECT k, i, s, m.cost AS cost, m.audit AS audit FROM (
+               SELECT k, i, s, min({'cost': cost, 'audit': audit}) AS m FROM (
+                   SELECT k, i, CASE ins WHEN 0 THEN s WHEN 1 THEN CASE s WHEN 2 THEN 3 ELSE 2 END ELSE CASE s WHEN 2 THEN 2 ELSE 3 END END AS s, cost + 5 * ins AS cost, audit || repeat('I', ins) AS audit
+                   FROM (SELECT dp.k, dp.i + 1 AS i, CASE op WHEN 'D' THEN dp.s WHEN 'R' THEN CASE dp.s WHEN 2 THEN 3 ELSE 2 END ELSE CASE n.a WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END AS s,
+                                dp.cost + CASE op WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN op <> 'D' AND n.fault = 't' THEN 5 ELSE 0 END AS cost, dp.audit || op AS audit
+                         FROM dp JOIN n ON n.k = dp.k AND n.i = dp.i + 1, (VALUES ('K'), ('R'), ('D')) AS e(op)
+                         WHERE op = 'D' OR (n.fault NOT IN ('b', 'd') AND (op = 'R' OR CASE dp.s WHEN 0 THEN n.a IN ('s', 'u') WHEN 2 THEN n.a = 'a' ELSE n.a = 'u' END))), range(3) AS r(ins))
+               GROUP BY k, i, s)),
+    best AS (SELECT dp.k, min({'cost': cost, 'audit': audit}) AS m FROM dp JOIN st ON st.k = dp.k AND st.rows = dp.i WHERE s IN (0, 3) GROUP BY dp.k),
+    u AS (SELECT k, p, m.audit[p:p] AS e, length(replace(m.audit[1:p], 'I', '')) AS i, length(replace(m.audit[1:p], 'D', '')) AS pos FROM best, range(1, length(m.audit) + 1) AS r(p)),
+    w AS (SELECT u.k, u.p, u.e, u.pos, n.role, n.text, bool_or(u.e = 'K' AND n.a = 's') OVER (PARTITION BY u.k) AS sys FROM u LEFT JOIN n ON n.k = u.k AND n.i = u.i AND u.e <> 'I' WHERE u.e <> 'D'),
+    y AS (SELECT k, string_agg(CASE WHEN e = 'K' THEN role WHEN (pos - CASE WHEN sys THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY p) AS t FROM w GROUP BY k)
+    SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+           CAST(coalesce(best.m.cost, 0) AS BIGINT) AS cost, coalesce(best.m.audit, '') AS audit, sha256(coalesce(y.t, '')) AS repaired_sha256
+    FROM o LEFT JOIN st USING (k) LEFT JOIN best USING (k) LEFT JOIN y USING (k)"""
