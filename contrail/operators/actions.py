@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contrail.operators import scans
+
 
 def step_intervals(decisions: DataFrame) -> DataFrame:
     """``episode, decided, step, from_t, until_t, action`` of ``episode, t, holds, actions``, one row for each step.
@@ -28,12 +30,12 @@ def step_intervals(decisions: DataFrame) -> DataFrame:
     return each.where("until_t > from_t").select("episode", F.col("t").alias("decided"), "step", "from_t", "until_t", F.col("s.action").alias("action"))
 
 
-def answered(frames: DataFrame, decisions: DataFrame, none: Column) -> DataFrame:
+def answered(frames: DataFrame, decisions: DataFrame, none: Column, span: float = 3600.0) -> DataFrame:
     """``episode, seq, t, status, action`` for each frame (``episode, seq, t``) under the decisions (see ``step_intervals``).
 
     ``active``: the step that the frame falls into, a decision at the frame's own time not yet counted. ``held``: none is
     left, so the last action that answered a frame, or that a replacing decision began with, stays. ``none``: there was
-    none yet, and the action is the given one.
+    none yet, and the action is the given one. ``span``: seconds of an episode that one task scans.
     """
     steps = step_intervals(decisions)
     first = steps.where("step = 0 and from_t = decided")
@@ -41,9 +43,9 @@ def answered(frames: DataFrame, decisions: DataFrame, none: Column) -> DataFrame
     begin = steps.select("episode", F.col("from_t").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("seq"), F.struct("until_t", "action").alias("step"), F.lit(None).cast(first.schema["action"].dataType).alias("set"))
     sets = first.select("episode", F.col("decided").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast(begin.schema["step"].dataType).alias("step"), F.col("action").alias("set"))
     asked = frames.select("episode", F.col("t").cast("double").alias("t"), F.lit(0).alias("kind"), F.col("seq").cast("long").alias("seq"), F.lit(None).cast(begin.schema["step"].dataType).alias("step"), F.lit(None).cast(first.schema["action"].dataType).alias("set"))
-    order = Window.partitionBy("episode").orderBy("t", "kind", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = begin.union(sets).union(asked).withColumn("last", F.last("step", True).over(order))
+    order, block = ["t", "kind", "seq"], scans.blocks_of("t", span)
+    x = scans.scan(begin.union(sets).union(asked), ["episode"], order, block, last=scans.Running("last", F.col("step")))
     x = x.withColumn("active", F.when((F.col("kind") == 0) & (F.col("t") <= F.col("last.until_t")), F.col("last.action")))
-    x = x.withColumn("held", F.last(F.coalesce("active", "set"), True).over(order)).where("kind = 0")
+    x = scans.scan(x, ["episode"], order, block, held=scans.Running("last", F.coalesce("active", "set"))).where("kind = 0")
     status = F.when(F.col("active").isNotNull(), "active").when(F.col("held").isNotNull(), "held").otherwise("none")
     return x.select("episode", "seq", "t", status.alias("status"), F.coalesce("held", none).alias("action"))

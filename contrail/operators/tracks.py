@@ -4,29 +4,46 @@ Tracks are rows ``seq, obj_id, type, t, lon, lat, alt, side, launch`` (``sources
 attributes of the object. An object is an aircraft from its first row of type ``Aircraft`` on; that row's attributes hold
 for the whole recording. Only aircraft launch, and only their rows of that type are positions.
 
+Tracks with a column ``recording`` are those of several recordings: an object is a recording's, and nothing meets a row of
+another recording, whatever ids and times they share. ``seq`` then orders (and names) the rows of a recording.
+
 Range joins are equi-joins on time buckets with the exact condition as residual: rows of one side visit their own bucket
 and both neighbours, rows of the other are in one bucket, so each pair meets once and nothing is planned as a nested loop.
+
+The nearest opposing position of a launch is searched for in cells of time and place first, in wider ones next, and in its
+whole time only if that proves nothing: see :func:`nearest_enemy`.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contrail.functions.geo import FOOT_M, NM_PER_KM, bearing_deg, distance_km
+from contrail.functions.geo import EARTH_KM, FOOT_M, NM_PER_KM, bearing_deg, distance_km
 from contrail.functions.text import fixed
+from contrail.operators import scans
 
 #: The type of rows that register an object and that are its positions; sides that a summary counts.
 AIRCRAFT = "Aircraft"
 ALLIES, ENEMIES = "Allies", "Enemies"
 
+RECORDING = "recording"
+
 _PLACE = ("seq", "obj_id", "t", "lon", "lat", "alt")
 
 
+def _recording(rows: DataFrame, prefix: str = "") -> list[str]:
+    """The column that keeps recordings apart, if there is one."""
+    return [prefix + RECORDING] if prefix + RECORDING in rows.columns else []
+
+
 def first_seen(rows: DataFrame, key: str = "obj_id", order: str = "seq", attributes: tuple[str, ...] = ("side",)) -> DataFrame:
     """One row for each object with all attributes, nulls too, of its first row."""
-    best = rows.groupBy(key).agg(F.min_by(F.struct(*attributes), order).alias("a"), F.min(order).alias(f"first_{order}"))
-    return best.select(key, f"first_{order}", "a.*")
+    keys = [*_recording(rows), key]
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*attributes), order).alias("a"), F.min(order).alias(f"first_{order}"))
+    return best.select(*keys, f"first_{order}", "a.*")
 
 
 def aircraft(rows: DataFrame, attributes: tuple[str, ...] = ("side",)) -> DataFrame:
@@ -36,8 +53,10 @@ def aircraft(rows: DataFrame, attributes: tuple[str, ...] = ("side",)) -> DataFr
 
 def known(rows: DataFrame, attributes: tuple[str, ...] = ("side",)) -> DataFrame:
     """The rows of aircraft, with ``first_seq`` and the attributes of the aircraft in place of their own."""
-    dim = aircraft(rows, attributes).withColumnRenamed("obj_id", "__obj")
-    return rows.drop(*attributes).join(dim, F.col("obj_id").eqNullSafe(F.col("__obj"))).drop("__obj")
+    keys = [*_recording(rows), "obj_id"]
+    dim = aircraft(rows, attributes).withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return rows.drop(*attributes).join(dim, reduce(Column.__and__, same)).drop(*[f"__{k}" for k in keys])
 
 
 def _launched() -> Column:
@@ -48,7 +67,7 @@ def _positions(every: DataFrame, prefix: str, attributes: tuple[str, ...]) -> Da
     """Positions of aircraft. None is before its aircraft's first; the test keeps the dimension alike on both sides of a
     join, so that it is made once."""
     rows = every.where((F.col("type") == AIRCRAFT) & (F.col("seq") >= F.col("first_seq")))
-    return rows.select(*[F.col(c).alias(prefix + c) for c in (*_PLACE, *attributes)])
+    return rows.select(*[F.col(c).alias(prefix + c) for c in (*_recording(every), *_PLACE, *attributes)])
 
 
 def launches(rows: DataFrame, attributes: tuple[str, ...] = ("side",)) -> DataFrame:
@@ -56,16 +75,10 @@ def launches(rows: DataFrame, attributes: tuple[str, ...] = ("side",)) -> DataFr
     return known(rows, attributes).where(_launched())
 
 
-def numbered(rows: DataFrame, order: str = "seq", block: int = 4096) -> DataFrame:
-    """Adds ``idx``, 1-based in the order of a whole number column: counts of blocks and of blocks of blocks, then ranks
-    within a block, so that no task holds more than a share of the blocks."""
-    x = rows.withColumn("__block", F.floor(F.col(order) / block))
-    counts = x.groupBy("__block").agg(F.count(F.lit(1)).alias("__n")).withColumn("__super", F.floor(F.col("__block") / block))
-    ahead = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    supers = counts.groupBy("__super").agg(F.sum("__n").alias("__n")).select("__super", ahead(Window.orderBy("__super")).alias("__earlier"))
-    before = counts.withColumn("__before", ahead(Window.partitionBy("__super").orderBy("__block"))).drop("__n").join(supers, "__super")
-    x = x.join(before.select("__block", (F.col("__before") + F.col("__earlier")).alias("__before")), "__block")
-    return x.withColumn("idx", F.col("__before") + F.row_number().over(Window.partitionBy("__block").orderBy(order))).drop("__block", "__before")
+def numbered(rows: DataFrame, order: str = "seq", block: int = scans.BLOCK) -> DataFrame:
+    """Adds ``idx``, 1-based in the order of a whole number column, of each recording: counts of blocks and of blocks of
+    blocks, then ranks within a block, so that no task holds more than a share of the blocks."""
+    return scans.numbered(rows, _recording(rows), [order], scans.blocks_of(order, block), levels=1)
 
 
 def range_join(probe: DataFrame, build: DataFrame, probe_t: str, build_t: str, width: float, residual: Column | None = None, how: str = "inner", spread: str = "probe") -> DataFrame:
@@ -81,33 +94,90 @@ def range_join(probe: DataFrame, build: DataFrame, probe_t: str, build_t: str, w
     return left.join(right, on if residual is None else on & residual, how).drop("__bucket", "__b")
 
 
-def _opposing() -> Column:
-    return ~F.col("obj_id").eqNullSafe(F.col("e_obj_id")) & ~F.col("side").eqNullSafe(F.col("e_side"))
+def _opposing(rows: DataFrame) -> Column:
+    apart = ~F.col("obj_id").eqNullSafe(F.col("e_obj_id")) & ~F.col("side").eqNullSafe(F.col("e_side"))
+    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"e_{k}")) for k in _recording(rows)], apart)
 
 
-def _with_geometry(pairs: DataFrame) -> DataFrame:
-    a, b = [F.col(c) for c in ("lat", "lon", "alt")], [F.col(c) for c in ("e_lat", "e_lon", "e_alt")]
-    return pairs.withColumn("dist", distance_km(*a, *b)).withColumn("brg", bearing_deg(a[0], a[1], b[0], b[1]))
+def _distance() -> Column:
+    return distance_km(*[F.col(c) for c in ("lat", "lon", "alt")], *[F.col(c) for c in ("e_lat", "e_lon", "e_alt")])
 
 
 def _is_pair() -> Column:
     return F.col("e_seq").isNotNull() & ~F.isnan("dist")
 
 
-def nearest_enemy(rows: DataFrame, width: float = 5.0, attributes: tuple[str, ...] = ("side",), keep: tuple[str, ...] = ()) -> DataFrame:
+#: Names of a search's own columns: the keys that it joins by.
+_CELL = ("__t", "__y", "__x", "__salt")
+
+
+def _cells(t: Column, lat: Column, lon: Column, salt: Column, width: float, size: float | None) -> list[Column]:
+    """The cell of a position: buckets of two widths of time and of ``size`` degrees (none: all places are one)."""
+    at = lambda c, w: F.floor(c / w)
+    place = [at(lat, size), at(F.pmod(lon + 180, F.lit(360.0)), size)] if size else [F.lit(0).cast("long")] * 2
+    return [at(t, 2 * width), *place, salt]
+
+
+def _asked(width: float, size: float | None, salts: int) -> Column:
+    """The cells that a launch looks into: those of its time's ends, and the two by two about its place."""
+    t, lat, lon = F.col("t"), F.col("lat"), F.pmod(F.col("lon") + 180, F.lit(360.0))
+    times = F.array_distinct(F.array(F.floor((t - width) / (2 * width)), F.floor((t + width) / (2 * width))))
+    two = lambda c: F.array(F.floor(c / size - 0.5), F.floor(c / size - 0.5) + 1)
+    rows, columns = (two(lat), two(lon)) if size else (F.array(F.lit(0).cast("long")),) * 2
+    cell = lambda a, b, c, d: F.struct(*[x.alias(n) for x, n in zip((a, b, c, d), _CELL, strict=True)])
+    each = lambda a, b: F.flatten(F.transform(columns, lambda c: F.transform(F.sequence(F.lit(0), F.lit(salts - 1)), lambda d: cell(a, b, c, d))))
+    return F.flatten(F.transform(times, lambda a: F.flatten(F.transform(rows, lambda b: each(a, b)))))
+
+
+def _beyond_km(size: float) -> Column:
+    """No position outside of the cells that a launch looks into is nearer than this: they reach half a cell from it in each
+    direction, unless the antimeridian is nearer. Ground distance is a lower bound of the distance."""
+    near_lon = F.least(F.lit(size / 2), 180 - F.abs(F.pmod(F.col("lon") + 180, F.lit(360.0)) - 180), F.lit(90.0))
+    across = F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(near_lon)))
+    return EARTH_KM * F.least(F.radians(F.lit(size / 2)), across) * (1 - 1e-9) - 1e-6
+
+
+def _search(x: DataFrame, positions: DataFrame, own: list[str], enemy: list[str], width: float, size: float | None, salts: int) -> DataFrame:
+    """``x`` with its best pairs ``b`` after a look into cells of one size; rows that are ``done`` look nowhere.
+
+    ``done`` afterwards: nothing outside of the cells can be nearer than what was found."""
+    none = F.array(F.lit(None).cast("struct<__t:bigint,__y:bigint,__x:bigint,__salt:int>"))
+    probe = x.withColumn("__c", F.explode(F.when(F.col("done"), none).otherwise(_asked(width, size, salts)))).select("*", *[F.col(f"__c.{n}").alias(n) for n in _CELL]).drop("__c")
+    salt = F.pmod(F.xxhash64("e_seq"), F.lit(salts)).cast("int")
+    build = positions.select("*", *[c.alias(f"__e{n}") for c, n in zip(_cells(F.col("e_t"), F.col("e_lat"), F.col("e_lon"), salt, width, size), _CELL, strict=True)])
+    on = reduce(Column.__and__, [F.col(n) == F.col(f"__e{n}") for n in _CELL]) & (F.abs(F.col("e_t") - F.col("t")) <= width) & _opposing(x)
+    pairs = probe.join(build, on, "left").withColumn("dist", _distance())
+    best = F.min(F.when(_is_pair(), F.struct("dist", "e_t", "e_seq", *enemy)))
+    keys = [*_recording(x), "seq"]
+    out = pairs.groupBy(*keys).agg(F.first(F.struct(*[c for c in own if c not in keys], "b", "done")).alias("l"), best.alias("n"))
+    out = out.select(*keys, *[F.col(f"l.{c}").alias(c) for c in own if c not in keys], F.least("l.b", "n").alias("b"), F.col("l.done").alias("done"))
+    proven = F.coalesce(F.col("b.dist") < _beyond_km(size), F.lit(False)) if size else F.lit(True)
+    return out.withColumn("done", F.col("done") | proven)
+
+
+def nearest_enemy(rows: DataFrame, width: float = 5.0, attributes: tuple[str, ...] = ("side",), keep: tuple[str, ...] = (), cells: tuple[float, ...] = (), salts: int = 1) -> DataFrame:
     """Each launch with the nearest opposing position within ``width`` seconds (first in time, then document, of equals).
 
     Adds ``dist`` (km, 0 without one), ``brg``, and the enemy's ``enemy_id, enemy_t, enemy_lon, enemy_lat, enemy_alt`` and
     ``enemy_`` attributes, null without one. ``keep``: further columns of the launch rows.
+
+    ``cells``: sizes in degrees, rising. A launch looks into the two by two cells about its place, in its time; if what it
+    finds there is nearer than anything outside of them can be, it is done, else it looks into the next larger cells, and at
+    last at all positions of its time. So a launch meets the positions of its neighbourhood, not all of a crowded time. The
+    result is the same for any sizes; without any each launch meets all positions of its time, which is cheaper if these are
+    few. ``salts``: parts that a cell's positions are dealt out in by a hash, for cells that hold very many.
     """
     every = known(rows, attributes)
-    l = every.where(_launched()).select(*_PLACE, *attributes, *keep)
-    pairs = _with_geometry(range_join(l, _positions(every, "e_", attributes), "t", "e_t", width, _opposing(), "left"))
-    enemy = ("e_obj_id", "e_lon", "e_lat", "e_alt", *[f"e_{a}" for a in attributes], "brg")
-    best = F.min(F.when(_is_pair(), F.struct("dist", "e_t", "e_seq", *enemy))).alias("b")
-    x = pairs.groupBy("seq").agg(F.first(F.struct(*[c for c in l.columns if c != "seq"])).alias("l"), best)
+    own = [*_recording(rows), *_PLACE, *attributes, *keep]
+    enemy = ["e_obj_id", "e_lon", "e_lat", "e_alt", *[f"e_{a}" for a in attributes]]
+    positions = _positions(every, "e_", attributes)
+    kinds = ", ".join(f"{c}:{positions.schema[c].dataType.simpleString()}" for c in ("e_t", "e_seq", *enemy))
+    x = every.where(_launched()).select(*own, F.lit(None).cast(f"struct<dist:double,{kinds}>").alias("b"), F.lit(False).alias("done"))
+    for size in (*cells, None):
+        x = _search(x, positions, own, enemy, width, size, salts)
+    brg = bearing_deg(F.col("lat"), F.col("lon"), F.col("b.e_lat"), F.col("b.e_lon"))
     named = [F.col(f"b.e_{c}").alias(f"enemy_{c.removeprefix('obj_')}") for c in ("obj_id", "t", "lon", "lat", "alt", *attributes)]
-    return x.select("seq", "l.*", F.coalesce("b.dist", F.lit(0.0)).alias("dist"), F.col("b.brg").alias("brg"), *named)
+    return x.select(*own, F.coalesce("b.dist", F.lit(0.0)).alias("dist"), brg.alias("brg"), *named)
 
 
 def snapshots(rows: DataFrame, own_width: float = 5.0, enemy_width: float = 2.0, attributes: tuple[str, ...] = ("side",)) -> DataFrame:
@@ -117,25 +187,27 @@ def snapshots(rows: DataFrame, own_width: float = 5.0, enemy_width: float = 2.0,
     ``enemy_id, dist, brg, enemy_lon, enemy_lat, enemy_alt``, its ``enemy_`` attributes, and ``met_t, met_seq``, when it is
     first near; null where there is none.
     """
-    every = known(rows, attributes)
-    l = every.where(_launched()).select(F.col("seq").alias("launch_seq"), F.col("t").alias("launch_t"), F.col("obj_id").alias("launch_obj"), F.col("side").alias("launch_side"))
+    every, rec = known(rows, attributes), _recording(rows)
+    l = every.where(_launched()).select(*[F.col(c).alias(f"launch_{c}") for c in rec], F.col("seq").alias("launch_seq"), F.col("t").alias("launch_t"), F.col("obj_id").alias("launch_obj"), F.col("side").alias("launch_side"))
     # the sides of one aircraft are equal: the test keeps the dimension alike, as in _positions
     itself = F.col("launch_obj").eqNullSafe(F.col("obj_id")) & F.col("launch_side").eqNullSafe(F.col("side"))
+    itself = reduce(Column.__and__, [F.col(f"launch_{c}").eqNullSafe(F.col(c)) for c in rec], itself)
     own = range_join(l, _positions(every, "", attributes), "launch_t", "t", own_width, itself)
-    own = own.groupBy("launch_seq", "launch_t", "obj_id", "t").agg(F.max_by(F.struct("lon", "lat", "alt", "side"), "seq").alias("p")).select("launch_seq", "launch_t", "obj_id", "t", "p.*")
-    pairs = _with_geometry(range_join(own, _positions(every, "e_", attributes), "t", "e_t", enemy_width, _opposing(), "left", "build"))
+    own = own.groupBy(*rec, "launch_seq", "launch_t", "obj_id", "t").agg(F.max_by(F.struct("lon", "lat", "alt", "side"), "seq").alias("p")).select(*rec, "launch_seq", "launch_t", "obj_id", "t", "p.*")
+    pairs = range_join(own, _positions(every, "e_", attributes), "t", "e_t", enemy_width, _opposing(own), "left", "build").withColumn("dist", _distance())
     others = ("lon", "lat", "alt", *attributes)
-    best = F.min(F.when(_is_pair(), F.struct("dist", "e_t", "e_seq", *[f"e_{c}" for c in others], "brg"))).alias("b")
+    best = F.min(F.when(_is_pair(), F.struct("dist", "e_t", "e_seq", *[f"e_{c}" for c in others]))).alias("b")
     met = F.min(F.when(_is_pair(), F.struct("e_t", "e_seq"))).alias("m")
     held = F.first(F.struct("launch_t", "obj_id", "lon", "lat", "alt")).alias("o")
-    near = pairs.groupBy("launch_seq", "t", "e_obj_id", F.col("e_seq").isNotNull().alias("is_pair")).agg(held, best, met)
+    near = pairs.groupBy(*rec, "launch_seq", "t", "e_obj_id", F.col("e_seq").isNotNull().alias("is_pair")).agg(held, best, met)
     named = [F.col(f"b.e_{c}").alias(f"enemy_{c}") for c in others]
-    return near.select("launch_seq", "o.launch_t", "o.obj_id", "t", "o.lon", "o.lat", "o.alt", F.col("e_obj_id").alias("enemy_id"), "b.dist", "b.brg", *named, F.col("m.e_t").alias("met_t"), F.col("m.e_seq").alias("met_seq"))
+    brg = bearing_deg(F.col("o.lat"), F.col("o.lon"), F.col("b.e_lat"), F.col("b.e_lon"))
+    return near.select(*rec, "launch_seq", "o.launch_t", "o.obj_id", "t", "o.lon", "o.lat", "o.alt", F.col("e_obj_id").alias("enemy_id"), "b.dist", brg.alias("brg"), *named, F.col("m.e_t").alias("met_t"), F.col("m.e_seq").alias("met_seq"))
 
 
 def nearest_of_snapshots(snaps: DataFrame, attributes: tuple[str, ...] = ("side",)) -> DataFrame:
     """One row for each launch and time: its own position, ``enemies``, and the nearest enemy (of equals the first met)."""
-    own = ("launch_seq", "launch_t", "obj_id", "t", "lon", "lat", "alt")
+    own = (*_recording(snaps), "launch_seq", "launch_t", "obj_id", "t", "lon", "lat", "alt")
     enemy = ("enemy_id", "brg", "enemy_lon", "enemy_lat", "enemy_alt", *[f"enemy_{a}" for a in attributes])
     there = F.col("dist").isNotNull()
     best = F.min(F.when(there, F.struct("dist", "met_t", "met_seq", *enemy))).alias("b")
@@ -158,26 +230,27 @@ def launch_table(rows: DataFrame, width: float = 5.0) -> DataFrame:
     """The launch table: a row of text for each launch, numbered in document order, with its nearest enemy or blanks."""
     x = numbered(nearest_enemy(rows, width, _NAMES, ("weapon_name",)))
     gap = F.col("enemy_alt") - F.col("alt")
-    own = [F.col("idx"), fixed(F.col("t"), 2), *[F.col(c) for c in (*_NAMES, "weapon_name")], *_where("lon", "lat", "alt")]
+    rec, own = _recording(rows), [F.col("idx"), fixed(F.col("t"), 2), *[F.col(c) for c in (*_NAMES, "weapon_name")], *_where("lon", "lat", "alt")]
     enemy = [*[F.col(f"enemy_{c}") for c in _NAMES[:3]], fixed(F.col("dist"), 2), fixed(F.col("dist") * NM_PER_KM, 2), *_where("enemy_lon", "enemy_lat", "enemy_alt"), fixed(gap, 1), fixed(gap / FOOT_M, 0), fixed(F.col("brg"), 1)]
     there = F.col("enemy_t").isNotNull()
-    return x.select(*[c.alias(n) for c, n in zip(own, LAUNCH_HEADER, strict=False)], *[F.when(there, c).otherwise("").alias(n) for c, n in zip(enemy, LAUNCH_HEADER[len(own) :], strict=True)])
+    return x.select(*rec, *[c.alias(n) for c, n in zip(own, LAUNCH_HEADER, strict=False)], *[F.when(there, c).otherwise("").alias(n) for c, n in zip(enemy, LAUNCH_HEADER[len(own) :], strict=True)])
 
 
 def series_table(rows: DataFrame, own_width: float = 5.0, enemy_width: float = 2.0, nearest_width: float = 5.0) -> DataFrame:
     """The time series around each launch: a row of text for each own position, with the nearest enemy at that time."""
-    target = numbered(nearest_enemy(rows, nearest_width, _NAMES, ("weapon_name",))).select("idx", F.col("seq").alias("launch_seq"), "pilot", "weapon_name", F.when(F.col("enemy_t").isNull(), "Unknown").otherwise(F.col("enemy_pilot")).alias("target"))
-    x = nearest_of_snapshots(snapshots(rows, own_width, enemy_width, _NAMES), _NAMES).join(target, "launch_seq")
+    rec = _recording(rows)
+    target = numbered(nearest_enemy(rows, nearest_width, _NAMES, ("weapon_name",))).select(*rec, "idx", F.col("seq").alias("launch_seq"), "pilot", "weapon_name", F.when(F.col("enemy_t").isNull(), "Unknown").otherwise(F.col("enemy_pilot")).alias("target"))
+    x = nearest_of_snapshots(snapshots(rows, own_width, enemy_width, _NAMES), _NAMES).join(target, [*rec, "launch_seq"])
     gap = F.col("enemy_alt") - F.col("alt")
     own = [F.col("idx"), F.col("pilot"), F.col("weapon_name"), F.col("target"), fixed(F.col("t") - F.col("launch_t"), 2), fixed(F.col("t"), 2), *_where("lon", "lat", "alt"), F.col("enemies")]
     enemy = [F.col("enemy_pilot"), fixed(F.col("dist"), 2), fixed(F.col("dist") * NM_PER_KM, 2), fixed(F.col("brg"), 1), *_where("enemy_lon", "enemy_lat", "enemy_alt"), fixed(gap, 1), fixed(gap / FOOT_M, 0)]
-    return x.select(*[c.alias(n) for c, n in zip(own, SERIES_HEADER, strict=False)], *[F.when(F.col("dist").isNotNull(), c).otherwise("").alias(n) for c, n in zip(enemy, SERIES_HEADER[len(own) :], strict=True)])
+    return x.select(*rec, *[c.alias(n) for c, n in zip(own, SERIES_HEADER, strict=False)], *[F.when(F.col("dist").isNotNull(), c).otherwise("").alias(n) for c, n in zip(enemy, SERIES_HEADER[len(own) :], strict=True)])
 
 
 def launch_totals(rows: DataFrame) -> DataFrame:
-    """``launches, allies, enemies``: how many launches there are, and of those sides."""
+    """``launches, allies, enemies``: how many launches there are (in each recording that has any), and of those sides."""
     of = lambda side: F.count_if(F.col("side") == side)
-    return launches(rows).agg(F.count(F.lit(1)).alias("launches"), of(ALLIES).alias("allies"), of(ENEMIES).alias("enemies"))
+    return launches(rows).groupBy(*_recording(rows)).agg(F.count(F.lit(1)).alias("launches"), of(ALLIES).alias("allies"), of(ENEMIES).alias("enemies"))
 
 
 def launch_summary(rows: DataFrame, width: float = 5.0) -> DataFrame:
@@ -209,15 +282,9 @@ def launch_summary(rows: DataFrame, width: float = 5.0) -> DataFrame:
     ]
     none = F.lit("  ⚠️ 未找到敌机（雷达范围外或数据不足）")
     lines = F.concat_ws("\n", *own, F.when(F.col("enemy_t").isNotNull(), F.concat_ws("\n", *enemy)).otherwise(none))
-    return x.select("idx", "seq", lines.alias("summary"))
+    return x.select(*_recording(rows), "idx", "seq", lines.alias("summary"))
 
 
 def write_table(table: DataFrame, path: str, *order: str) -> None:
     """A table of text as CSV files with a header, range-partitioned by ``order`` and sorted in it."""
     table.repartitionByRange(*order).sortWithinPartitions(*order).write.option("header", True).option("emptyValue", "").csv(path)
-
-
-def carried_forward(rows: DataFrame, key: str, order: str, value: str, out: str) -> DataFrame:
-    """Adds ``out``: the last non-null value up to each row."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn(out, F.last(value, ignorenulls=True).over(w))

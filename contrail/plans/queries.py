@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contrail.functions import control, decisions, geo, platforms, text
-from contrail.operators import actions, contexts, gates
+from contrail.operators import actions, contexts, gates, scans
 from contrail.operators import tracks as tr
 
 #: Seconds of 2024-01-01 UTC since the epoch: origin of the track times.
 ORIGIN = 1704067200
 
+#: Seconds of a block of times in scans: ten days, some tens of rows of a user.
+SPAN = 864000.0
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -204,8 +207,8 @@ def _nearest_sql(width: int) -> str:
         SELECT l.seq, l.obj_id, round(coalesce(b.dist, 0), 6) AS dist, b.eid AS enemy_id, round(b.brg, 6) AS brg FROM tr l LEFT JOIN b ON b.seq = l.seq AND rn = 1 WHERE l.launch"""
 
 
-def _nearest(spark, d, width):
-    return tr.nearest_enemy(_tracks(spark, d), width).select("seq", "obj_id", F.round("dist", 6).alias("dist"), "enemy_id", F.round("brg", 6).alias("brg"))
+def _nearest(spark, d, width, cells=()):
+    return tr.nearest_enemy(_tracks(spark, d), width, cells=cells).select("seq", "obj_id", F.round("dist", 6).alias("dist"), "enemy_id", F.round("brg", 6).alias("brg"))
 
 
 @query(_nearest_sql(5))
@@ -215,7 +218,7 @@ def launch_nearest_enemy_5s(spark, d):
 
 @query(_nearest_sql(900))
 def launch_nearest_enemy_900s(spark, d):
-    return _nearest(spark, d, 900.0)
+    return _nearest(spark, d, 900.0, (2.0,))
 
 
 @query(TRACKS + "SELECT row_number() OVER (ORDER BY seq) AS idx, seq, obj_id FROM tr WHERE launch")
@@ -341,9 +344,56 @@ def launch_series_csv_rows(spark, d):
     return tr.series_table(_typed_tracks(spark, d), 5000.0, 900.0, 900.0)
 
 
+# several recordings with the same ids and times: every third event is another one's
+
+def _recorded(spark: SparkSession, d: str) -> DataFrame:
+    return _typed_tracks(spark, d).withColumn(tr.RECORDING, F.col("seq") % 3)
+
+
+RECORDED = (
+    TRACKS
+    + f""", ty AS (SELECT * EXCLUDE (side), seq % 3 AS recording, {", ".join(_TYPED).replace("`", '"')} FROM tr),
+    dim AS (SELECT recording, obj_id, min(seq) AS first_seq, arg_min_null(side, seq) AS side, arg_min_null(pilot, seq) AS pilot, arg_min_null(name, seq) AS name FROM ty WHERE type = 'Aircraft' GROUP BY recording, obj_id),
+    l AS (SELECT row_number() OVER (PARTITION BY recording ORDER BY seq) AS idx, recording, seq, obj_id, t, lon, lat, alt, dim.side FROM ty JOIN dim USING (recording, obj_id) WHERE launch AND first_seq <= seq),
+    e AS (SELECT recording, seq, obj_id, t, lon, lat, alt, dim.side FROM ty JOIN dim USING (recording, obj_id) WHERE type = 'Aircraft') """
+)
+
+
+@query(RECORDED + "SELECT recording, obj_id, first_seq, side, pilot, name FROM dim")
+def recordings_aircraft_dim(spark, d):
+    """An object is a recording's: the same id has other first rows, and attributes, in each."""
+    return tr.aircraft(_recorded(spark, d), ("side", "pilot", "name"))
+
+
+@query(RECORDED + "SELECT recording, idx, seq, obj_id FROM l")
+def recordings_launches(spark, d):
+    """Launches numbered in each recording."""
+    return tr.numbered(tr.launches(_recorded(spark, d))).select("recording", "idx", "seq", "obj_id")
+
+
+@query(RECORDED + f""", p AS (SELECT l.recording, l.seq, e.obj_id AS eid, e.t AS et, e.seq AS es, {_sql(_DIST, "l", "e")} AS dist, {_sql(_BRG, "l", "e")} AS brg
+        FROM l JOIN e ON e.recording = l.recording AND abs(e.t - l.t) <= 900 AND l.obj_id <> e.obj_id AND l.side IS DISTINCT FROM e.side),
+    b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY recording, seq ORDER BY dist, et, es) = 1)
+    SELECT l.recording, l.seq, l.obj_id, b.eid AS enemy_id, round(coalesce(b.dist, 0), 6) AS dist, round(b.brg, 6) AS brg FROM l LEFT JOIN b USING (recording, seq)""")
+def recordings_nearest_enemy(spark, d):
+    """Nearest opposing positions of the same recording, searched for in cells of two and six degrees."""
+    x = tr.nearest_enemy(_recorded(spark, d), 900.0, cells=(2.0, 6.0))
+    return x.select("recording", "seq", "obj_id", "enemy_id", F.round("dist", 6).alias("dist"), F.round("brg", 6).alias("brg"))
+
+
+@query(RECORDED + f""", o AS (SELECT l.recording, l.seq AS ls, e.* EXCLUDE (recording) FROM l JOIN e ON e.recording = l.recording AND e.obj_id = l.obj_id AND abs(e.t - l.t) <= 5000 QUALIFY row_number() OVER (PARTITION BY l.recording, l.seq, e.t ORDER BY e.seq DESC) = 1),
+    p AS (SELECT o.recording, o.ls, o.t, e.obj_id AS eid, {_sql(_DIST, 'o', 'e')} AS dist FROM o JOIN e ON e.recording = o.recording AND abs(e.t - o.t) <= 900 AND o.obj_id <> e.obj_id AND o.side IS DISTINCT FROM e.side)
+    SELECT o.recording, o.ls AS launch_seq, round(o.t, 6) AS t, count(DISTINCT p.eid) AS enemies, round(min(p.dist), 6) AS nearest FROM o LEFT JOIN p ON p.recording = o.recording AND p.ls = o.ls AND p.t = o.t GROUP BY o.recording, o.ls, o.t""")
+def recordings_snapshots(spark, d):
+    """Snapshots around launches, with opposing objects of the same recording."""
+    x = tr.nearest_of_snapshots(tr.snapshots(_recorded(spark, d), 5000.0, 900.0))
+    return x.select("recording", "launch_seq", F.round("t", 6).alias("t"), "enemies", F.round("dist", 6).alias("nearest"))
+
+
 @query(TRACKS + "SELECT obj_id, seq, row_number() OVER (PARTITION BY obj_id ORDER BY t, seq) AS pos FROM tr")
 def track_stable_sort(spark, d):
-    return _tracks(spark, d).select("obj_id", "seq", F.row_number().over(Window.partitionBy("obj_id").orderBy("t", "seq")).alias("pos"))
+    x = scans.numbered(_tracks(spark, d).select("obj_id", "seq", "t"), ["obj_id"], ["t", "seq"], scans.blocks_of("t", SPAN), "pos")
+    return x.select("obj_id", "seq", "pos")
 
 
 @query(TRACKS + "SELECT obj_id, floor(t / 3600) AS hour, max(seq) AS seq, round(arg_max(alt, seq), 6) AS alt FROM tr GROUP BY obj_id, floor(t / 3600)")
@@ -353,8 +403,8 @@ def track_last_wins(spark, d):
 
 @query(TRACKS + "SELECT seq, last_value(CASE WHEN seq % 3 = 0 THEN round(alt, 6) END IGNORE NULLS) OVER (PARTITION BY obj_id ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS alt FROM tr")
 def track_locf(spark, d):
-    x = _tracks(spark, d).withColumn("v", F.when(F.col("seq") % 3 == 0, F.round("alt", 6))).withColumn("o", F.struct("t", "seq"))
-    return tr.carried_forward(x, "obj_id", "o", "v", "out").select("seq", F.col("out").alias("alt"))
+    v = F.when(F.col("seq") % 3 == 0, F.round("alt", 6))
+    return scans.carried_forward(_tracks(spark, d), ["obj_id"], ["t", "seq"], v, "out", scans.blocks_of("t", SPAN)).select("seq", F.col("out").alias("alt"))
 
 
 _FRAMES = "WITH f AS (SELECT user_id, event_id, event_type = 'error' AS mark, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k, count(*) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id) AS total FROM events) "
@@ -363,22 +413,23 @@ _FRAMES = "WITH f AS (SELECT user_id, event_id, event_type = 'error' AS mark, su
 @query(_FRAMES + "SELECT user_id, k AS frame_no, count(*) AS n FROM f WHERE NOT mark AND k < total GROUP BY user_id, k")
 def frame_segment(spark, d):
     """A marker row closes a frame; empty frames and the one after the last marker are not emitted."""
-    mark = (F.col("event_type") == "error").cast("int")
-    w = Window.partitionBy("user_id")
-    x = _table(spark, d, "events").select("user_id", "event_id", mark.alias("mark")).withColumn("k", F.sum("mark").over(w.orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("mark").over(w))
-    return x.where("mark = 0 and k < total").groupBy("user_id", F.col("k").alias("frame_no")).agg(F.count(F.lit(1)).alias("n"))
+    mark = (F.col("event_type") == "error").cast("long")
+    x = _table(spark, d, "events").select("user_id", "event_id", mark.alias("mark"))
+    return scans.closed_frames(x, ["user_id"], ["event_id"], F.col("mark") == 1, scans.blocks_of("event_id"))
 
 
 @query("SELECT event_id, last_value(CASE WHEN event_type IN ('error', 'click') THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS marker FROM events")
 def marker_filldown(spark, d):
-    x = _table(spark, d, "events").withColumn("m", F.when(F.col("event_type").isin("error", "click"), F.col("event_type")))
-    return tr.carried_forward(x, "user_id", "event_id", "m", "marker").select("event_id", "marker")
+    m = F.when(F.col("event_type").isin("error", "click"), F.col("event_type"))
+    x = _table(spark, d, "events").select("user_id", "event_id", "event_type")
+    return scans.carried_forward(x, ["user_id"], ["event_id"], m, "marker", scans.blocks_of("event_id")).select("event_id", "marker")
 
 
 @query("SELECT event_id, event_type || row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS unit FROM events")
 def unit_numbering(spark, d):
-    n = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id"))
-    return _table(spark, d, "events").select("event_id", F.concat("event_type", n.cast("string")).alias("unit"))
+    x = _table(spark, d, "events").select("user_id", "event_type", "event_id")
+    x = scans.numbered(x, ["user_id", "event_type"], ["event_id"], scans.blocks_of("event_id"), "n")
+    return x.select("event_id", F.concat("event_type", F.col("n").cast("string")).alias("unit"))
 
 
 # ------------------------------------------------------------ corpus
@@ -600,9 +651,8 @@ def action_timeline_ends(spark, d):
     SELECT event_id, CASE WHEN s IS NULL THEN 'none' WHEN t <= s + 36000 THEN 'active' ELSE 'held' END AS status FROM c WHERE NOT cmd""")
 def action_asof_hold(spark, d):
     """The latest earlier command is active until its own end, afterwards it is held."""
-    x = _tracks(spark, d).withColumn("o", F.struct("t", "seq"))
-    w = Window.partitionBy("obj_id").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("s", F.last(F.when(F.col("launch"), F.col("t")), ignorenulls=True).over(w)).where(~F.col("launch"))
+    s = scans.Running("last", F.when(F.col("launch"), F.col("t")), inclusive=False)
+    x = scans.scan(_tracks(spark, d), ["obj_id"], ["t", "seq"], scans.blocks_of("t", SPAN), s=s).where(~F.col("launch"))
     return x.select(F.col("seq").alias("event_id"), F.when(F.col("s").isNull(), "none").when(F.col("t") <= F.col("s") + 36000, "active").otherwise("held").alias("status"))
 
 
@@ -622,7 +672,7 @@ def action_timeline_asof(spark, d):
     x = _tracks(spark, d).withColumnRenamed("obj_id", "episode")
     holds = F.array(((F.col("seq") % 4 + 1) * 3600).cast("double"), F.when(F.col("seq") % 3 == 0, 90000.0).otherwise(7200.0))
     decided = x.where("launch").select("episode", "t", holds.alias("holds"), F.array(F.col("seq") * 10, F.col("seq") * 10 + 1).alias("actions"))
-    return actions.answered(x.where("not launch"), decided, F.lit(-1).cast("long")).select("seq", "status", "action")
+    return actions.answered(x.where("not launch"), decided, F.lit(-1).cast("long"), SPAN).select("seq", "status", "action")
 
 
 @query(TRACKS + "SELECT seq, CASE WHEN t / 100 > 5000 THEN 'RESET' ELSE 'STATUS' END AS msg FROM tr")
@@ -637,9 +687,9 @@ def frame_conflate_latest(spark, d):
 
 @query(TRACKS + "SELECT seq, coalesce(last_value(CASE WHEN launch THEN 'plan ' || seq END IGNORE NULLS) OVER (PARTITION BY obj_id ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'default') AS plan FROM tr")
 def plan_asof(spark, d):
-    w = Window.partitionBy("obj_id").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    plan = F.last(F.when(F.col("launch"), F.concat(F.lit("plan "), F.col("seq"))), ignorenulls=True).over(w)
-    return _tracks(spark, d).select("seq", F.coalesce(plan, F.lit("default")).alias("plan"))
+    plan = scans.Running("last", F.when(F.col("launch"), F.concat(F.lit("plan "), F.col("seq"))), inclusive=False)
+    x = scans.scan(_tracks(spark, d), ["obj_id"], ["t", "seq"], scans.blocks_of("t", SPAN), plan=plan)
+    return x.select("seq", F.coalesce("plan", F.lit("default")).alias("plan"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6 - 1704067200 AS t FROM events),

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from contrail.operators import scans
+
 #: What a missing attribute is called, and the slots of a telemetry record in order.
 UNKNOWN, UNKNOWN_WEAPON = "Unknown", "Unknown Weapon"
 SLOTS = ("lon", "lat", "alt", "roll", "pitch", "yaw")
@@ -24,17 +26,21 @@ _XML = """Time STRING, Location STRUCT<Longitude: STRING, Latitude: STRING, Alti
 
 
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Tracks of a recording: ``seq, t, lon, lat, alt, obj_id, type, action``, the object's attributes, ``side`` (its
+    """Tracks of the recordings at ``path`` (a file, a folder, a pattern): ``recording`` (the file), ``seq, t, lon, lat, alt, obj_id, type, action``, the object's attributes, ``side`` (its
     coalition), ``weapon_id, weapon_name, launch``.
 
-    ``seq`` increases in document order. Events without a number for time or a coordinate, or without an object, are left
+    ``seq`` increases in the order of a recording's document: where the split that a row is read in begins, and the row's place
+    in its task, which is less than a split is long. Events without a number for time or a coordinate, or without an object, are left
     out. An attribute whose element is missing is ``Unknown``; one whose element is empty is null.
     """
-    x = spark.read.format("xml").option("rowTag", "Event").schema(_XML).load(path).withColumn("seq", F.monotonically_increasing_id())
+    x = spark.read.format("xml").option("rowTag", "Event").schema(_XML).load(path)
+    place = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    x = x.select("*", F.col("_metadata.file_path").alias("recording"), place.alias("seq"))
     number = lambda c: F.col(c).try_cast("double")
     known = lambda c, other: F.when(F.col(c).isNull(), F.lit(other)).otherwise(F.nullif(F.col(c), F.lit("")))
     fired = F.coalesce((F.col("Action") == "HasFired") & F.col("SecondaryObject").isNotNull(), F.lit(False))
     out = x.where("PrimaryObject is not null").select(
+        "recording",
         "seq",
         number("Time").alias("t"),
         number("Location.Longitude").alias("lon"),
@@ -101,13 +107,11 @@ def _record(line: Column, partial: bool) -> Column:
 def _framed(lines: DataFrame, block: int) -> DataFrame:
     """The lines of finished frames, marks left out, with ``frame_no, frame_t``."""
     x = lines.where("line is not null").withColumn("mark", F.col("line").startswith("#"))
-    x = x.withColumn("at", F.when(F.col("mark"), F.substr("line", F.lit(2)).try_cast("double"))).withColumn("block", F.floor(F.col("line_no") / block))
-    sums = x.groupBy("file", "block").agg(F.count_if("mark").alias("n"), F.max_by("at", F.when(F.col("mark"), F.col("line_no"))).alias("last_at"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.last("last_at", True).over(earlier).alias("before_at"), F.sum("n").over(Window.partitionBy("file")).alias("marks"))
-    inside = Window.partitionBy("file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = x.join(sums, ["file", "block"]).withColumn("frame_no", F.col("before") + F.sum(F.col("mark").cast("long")).over(inside))
-    return x.withColumn("frame_t", F.coalesce(F.last("at", True).over(inside), F.col("before_at"))).where("not mark and frame_no < marks")
+    x = x.withColumn("at", F.when(F.col("mark"), F.substr("line", F.lit(2)).try_cast("double")))
+    marks = x.groupBy("file").agg(F.count_if("mark").alias("marks"))
+    running = {"frame_no": scans.Running("sum", F.col("mark").cast("long")), "frame_t": scans.Running("last", F.col("at"))}
+    x = scans.scan(x, ["file"], ["line_no"], scans.blocks_of("line_no", block), **running)
+    return x.join(marks, "file").where("not mark and frame_no < marks")
 
 
 def frames(lines: DataFrame, block: int = 4096) -> DataFrame:
