@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from contrail.llm.common import let
 
 
-#: Bytes of an anchor, about ten words, and of the substrings that choose it: an anchor for about 30 bytes of text.
-K, S = 64, 8
+#: Bytes of an anchor, some four words, and of the substrings that choose it: an anchor for about 8.5 bytes of text.
+K, S = 24, 8
 
 
 def _smallest_from(x: Column, values: Column, others: list[Column]) -> Column:

@@ -82,7 +82,7 @@ def test_url_query(spark):
     assert len(rows) == len(urls) and all(r["rule"] == ruled(*split(urls[r["page_id"]]))[0] for r in rows)
 
 
-def brute_places(data, hashes, k=64, s=8):
+def brute_places(data, hashes, k=24, s=8):
     """Places whose smallest inner hash is at an edge."""
     out = []
     for i in range(len(data) - k + 1):
@@ -93,22 +93,22 @@ def brute_places(data, hashes, k=64, s=8):
 
 
 def test_syncmers_against_brute_force(spark):
-    texts = ["", "short", "é" * 40, "the quick brown fox jumps over the lazy dog " * 6, "日本語のテキスト" * 20, "x" * 63, "x" * 64, "a" * 200]
+    texts = ["", "short", "é" * 40, "the quick brown fox jumps over the lazy dog " * 6, "日本語のテキスト" * 20, "x" * 23, "x" * 24, "a" * 200]
     df = spark.createDataFrame(list(enumerate(texts)) + [(99, None)], "i long, text string")
     rows = df.selectExpr("i", "text", "encode(text, 'utf-8') as data").select("i", "data", syncmers.anchors(df["text"]).alias("a"), "text").collect()
     for r in rows:
         data = bytes(r["data"] or b"")
-        if len(data) < 64:
+        if len(data) < 24:
             assert [x["place"] for x in r["a"]] == ([0] if data else [])
             continue
         parts = [bytearray(data[j : j + 8]) for j in range(len(data) - 7)]
         hashes = [x[0] >> 31 for x in spark.createDataFrame([(p,) for p in parts], "b binary").selectExpr("xxhash64(b)").collect()]
         assert [x["place"] for x in r["a"]] == brute_places(data, hashes)
-        assert all(b - a <= 64 - 8 for a, b in pairwise(x["place"] for x in r["a"]))  # no long gap
+        assert all(b - a <= 24 - 8 for a, b in pairwise(x["place"] for x in r["a"]))  # no long gap
 
 
 def test_joined_equals_whole(spark):
-    texts = ["", "a", "short", "é" * 11, "é" * 40, "the quick brown fox jumps over the lazy dog " * 5, "jumps over the lazy cat, " * 12, "x" * 63, "x" * 64]
+    texts = ["", "a", "short", "é" * 11, "é" * 40, "the quick brown fox jumps over the lazy dog " * 5, "jumps over the lazy cat, " * 12, "x" * 23, "x" * 24]
     df = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
     left, right = syncmers.edited_parts(F.col("a"), F.col("b"))
     x = df.select(syncmers.joined(syncmers.fingerprint(F.col("a")), syncmers.fingerprint(F.col("b")), left, right).alias("got"), syncmers.fingerprint(F.concat(left, right)).alias("want"))
@@ -140,6 +140,17 @@ def test_fingerprint_query(spark):
     assert sum(r["near_edited"] > r["near_next"] for r in long) > 0.9 * len(long)
 
 
+def test_likeness_by_length(spark):
+    """Half of an edited text is its own: what is left of its likeness, by length; short texts have anchors too."""
+    rows = op8_fingerprint(spark, "/root/testdata/sf0.01").select("n_chars", "near_edited").where("n_chars > 0").collect()
+    found = {}
+    for low, high, mean, zeros in ((1, 63, 0.04, 1.0), (64, 130, 0.12, 0.2), (131, 300, 0.2, 0.05), (301, 1000, 0.25, 0.0)):
+        x = [r["near_edited"] for r in rows if low <= r["n_chars"] <= high]
+        found[low] = (len(x), round(sum(x) / len(x), 2), sum(v == 0 for v in x))
+        assert sum(x) / len(x) >= mean and sum(v == 0 for v in x) <= zeros * len(x), found
+    print(found)
+
+
 def test_next_row_over_odd_ids(spark):
     rows = [(5, "a"), (5, "b"), (3, None), (None, "n"), (9, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as range", "3 as fp")
