@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contrail.functions import control, decisions, geo, platforms, text
-from contrail.operators import actions, contexts, gates, scans
+from contrail.operators import actions, contexts, gates, packing, scans
 from contrail.operators import tracks as tr
 
 #: Seconds of 2024-01-01 UTC since the epoch: origin of the track times.
@@ -710,6 +710,21 @@ def plan_not_blank(spark, d):
     return x.select("seq", text.not_blank(F.col("p")).alias("taken"), F.when(text.not_blank(F.col("p")), text.strip(F.col("p"))).alias("plan"))
 
 
+# ------------------------------------------------------------ packing
+
+
+@query(r"""WITH RECURSIVE t AS (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM documents),
+    p AS (SELECT row_number() OVER (ORDER BY doc_id, piece) AS i, doc_id, piece, least(n - piece * 4096, 4096) AS n FROM t, range(greatest((n + 4095) // 4096, 1)) AS r(piece)),
+    s AS (SELECT i, doc_id, piece, n, CAST(0 AS BIGINT) AS pack, CAST(0 AS BIGINT) AS place, n AS fill FROM p WHERE i = 1
+          UNION ALL SELECT p.i, p.doc_id, p.piece, p.n, CASE WHEN fill + p.n > 4096 THEN pack + 1 ELSE pack END, CASE WHEN fill + p.n > 4096 THEN 0 ELSE fill END, CASE WHEN fill + p.n > 4096 THEN p.n ELSE fill + p.n END FROM s JOIN p ON p.i = s.i + 1)
+    SELECT doc_id, piece, n, pack, place FROM s""")
+def document_packing(spark, d):
+    """Documents in order, packed greedily into sequences of 4,096 words; longer ones are cut."""
+    words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    x = _table(spark, d, "documents").select("doc_id", words.alias("words"))
+    return packing.pack(x, "doc_id", "words", 4096).withColumnRenamed("order", "doc_id")
+
+
 # ------------------------------------------------------------ decisions
 
 
