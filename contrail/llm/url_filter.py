@@ -26,16 +26,14 @@ from contrail.llm.common import let
 #: (verdict, host and path) of each rule.
 Rule = tuple[str, str]
 
-#: Words of the labelled URLs, invented hosts under reserved names: 1 is to be blocked, 0 is not.
-WORDS = {
-    1: "casino jackpot poker slots betting viagra pills pharmacy-deals xxx adult-cams escort warez keygen torrent-crack payday-loan free-bitcoin crypto-double lottery-win replica-watches diet-miracle hot-singles get-rich clickbait ad-banner tracker-pixel phishing verify-account buy-backlinks",
-    0: "news library museum university science weather recipes garden travel health council football music albums tutorial forum journal books children maps history physics gallery theatre railway archive newsletter gardening",
-}
-#: Forms of a labelled URL; ``{w}`` is its word, ``{n}`` its number in the table.
-FORMS = {
-    1: ("http://{w}.example/", "http://www.{w}-{n}.example/play", "https://{w}-now.example/claim?id={n}", "http://site{n}.example/{w}/bonus", "http://best-{w}.example/free/{n}", "https://go.example/{w}/click.php", "http://{w}{n}.example/win/index.html", "http://cheap.example/offers/{w}-{n}"),
-    0: ("http://{w}.example/", "http://www.{w}-{n}.example/about", "https://{w}.example/en/article-{n}.html", "http://site{n}.example/{w}/2024", "http://city-{w}.example/de/{n}", "https://pages.example/{w}/index.html", "http://{w}{n}.example/fr/guide", "http://open.example/docs/{w}-{n}"),
+#: Stems of the labelled URLs' words, invented hosts under reserved names: 1 is to be blocked, 0 is not.
+STEMS = {
+    1: "casino jackpot poker slots betting viagra pills pharmacy xxx adultcams escort warez keygen torrent payday freebitcoin cryptodouble lottery replica dietmiracle singles getrich clickbait adbanner tracker phishing verifyaccount backlinks",
+    0: "news library museum university science weather recipes garden travel health council football music albums tutorial forum journal books children maps history physics gallery theatre railway archive newsletter orchard",
 }
+#: What a stem is put together with, and the forms of a URL: the same ones for both classes, so that neither says anything.
+AFFIXES = ("{s}", "{s}online", "my-{s}", "best{s}", "{s}-world", "top-{s}", "{s}hub", "the{s}", "{s}24", "city-{s}")
+FORMS = ("http://{w}.example/", "http://www.{w}-{n}.example/about", "https://{w}.example/en/article-{n}.html", "http://site{n}.example/{w}/2024", "http://{w}{n}.example/index.html", "https://go.example/{w}/click.php", "http://pages.example/offers/{w}-{n}", "https://{w}-now.example/claim?id={n}", "http://shop.example/de/{w}/{n}", "http://www.{w}.example/play", "http://open.example/docs/{w}-{n}", "https://a.{w}.example/free/{n}")
 
 
 def host(url: str | Column) -> Column:
@@ -79,9 +77,20 @@ def features(urls: DataFrame, url_col: str = "url", low: int = 1, high: int = 3)
 
 
 def labelled_table(spark: SparkSession) -> DataFrame:
-    """``label, url, held_out``: each word in each form; a fifth of the words, in all forms, is held out of training."""
-    rows = [(float(y), form.format(w=w, n=17 * i + j), i % 5 == 4) for y, said in WORDS.items() for i, w in enumerate(said.split()) for j, form in enumerate(FORMS[y])]
-    return spark.createDataFrame(rows, "label double, url string, held_out boolean")
+    """``label, url, kind, held_out``: the words of each stem, each in a third of the forms, turn by turn.
+
+    ``kind`` is ``train`` or what training has not seen: ``stem`` (every seventh stem, with all its words), ``word`` (a fifth of
+    the words of other stems), ``form`` (every fourth form) or ``both`` of these two; all but ``train`` are held out.
+    """
+    rows = []
+    for y, said in STEMS.items():
+        for i, stem in enumerate(said.split()):
+            for a, affix in enumerate(AFFIXES):
+                for j in range((i + a) % 3, len(FORMS), 3):
+                    word, form = (i + a) % 5 == 4, j % 4 == 3
+                    kind = "stem" if i % 7 == 6 else "both" if word and form else "word" if word else "form" if form else "train"
+                    rows.append((float(y), FORMS[j].format(w=affix.format(s=stem), n=17 * i + 5 * a + j), kind, kind != "train"))
+    return spark.createDataFrame(rows, "label double, url string, kind string, held_out boolean")
 
 
 def fit(labelled: DataFrame, url_col: str = "url", buckets: int = 1 << 12) -> PipelineModel:
