@@ -29,12 +29,6 @@ def budget_fold(holds: Column, max_steps: int = MAX_STEPS, max_total: float = MA
     return F.aggregate(steps, start, step, lambda s: s["out"])
 
 
-def refresh_times(times: Column, interval: float) -> Column:
-    """Accepted times of a sorted array: the first, then each at least ``interval`` after the last accepted."""
-    none = F.array().cast("array<double>")
-    return F.aggregate(times, none, lambda out, t: F.when((F.size(out) == 0) | (t - F.element_at(out, -1) >= interval), F.concat(out, F.array(t))).otherwise(out))
-
-
 def status(sim_time: Column, reset_after: float = RESET_AFTER) -> Column:
     """RESET after the threshold, else STATUS."""
     return F.when(sim_time > reset_after, "RESET").otherwise("STATUS")
