@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contrail.functions import control, decisions, geo, platforms, text
+from contrail.functions import control, decisions, geo, literals, platforms, text
 from contrail.operators import actions, contexts, gates, packing, scans
 from contrail.operators import tracks as tr
 
@@ -748,6 +748,19 @@ def planner_route(spark, d):
     return _table(spark, d, "events").select("event_id", decisions.planner_decision(said).alias("p")).select("event_id", "p.*")
 
 
+@query("""WITH e AS (SELECT event_id, event_id % 5 AS kind, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+    SELECT event_id, CASE WHEN kind < 3 THEN k END AS k, CASE WHEN kind = 2 THEN k + 0.5 END::DOUBLE AS x, kind < 3 AS taken FROM e""")
+def literal_props(spark, d):
+    """Properties as Python literals: in double quotes, in single quotes, with a tuple; one cut off, one with brackets that
+    do not match."""
+    kind, k = F.col("event_id") % 5, F.regexp_extract("props", "(-?[0-9]+)", 1)
+    single = F.replace(F.col("props"), F.lit('"'), F.lit("'"))
+    nested = F.concat(F.lit("{'k': "), k, F.lit(", 'at': ("), k, F.lit(".5, -3., +2), 'on': True, }"))
+    said = F.when(kind == 0, F.col("props")).when(kind == 1, single).when(kind == 2, nested).when(kind == 3, F.rtrim("props", F.lit("}"))).otherwise(F.concat(F.lit("{'k': ("), k, F.lit("]}")))
+    x = _table(spark, d, "events").select("event_id", literals.literal(said).alias("v"))
+    return x.select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k"), F.try_variant_get("v", "$.at[0]", "double").alias("x"), F.col("v").isNotNull().alias("taken"))
+
+
 _K = "(event_id % 90 - 45)"
 
 
