@@ -286,5 +286,7 @@ def launch_summary(rows: DataFrame, width: float = 5.0) -> DataFrame:
 
 
 def write_table(table: DataFrame, path: str, *order: str) -> None:
-    """A table of text as CSV files with a header, range-partitioned by ``order`` and sorted in it."""
-    table.repartitionByRange(*order).sortWithinPartitions(*order).write.option("header", True).option("emptyValue", "").csv(path)
+    """A table of text as CSV files with a header, range-partitioned by ``order`` and sorted in it; each recording, if there is
+    a column of them, in a folder of its own, without that column."""
+    keys = [*_recording(table), *order]
+    table.repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy(*_recording(table)).option("header", True).option("emptyValue", "").csv(path)

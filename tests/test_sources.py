@@ -93,13 +93,13 @@ def test_exports(spark, tmp_path):
     events = [event(1, (0, 0, 1000), unit("a", "Allies", more="<Name>F,1</Name><Pilot/><Group>G</Group>")), event(1, (0.1, 0, 900), unit("b", "Enemies")), event(2, (0, 0, 1000), unit("a"), FIRED), event(90, (0, 0, 30), unit("a"), FIRED)]
     rows = recording(spark, tmp_path, events)
     tracks.write_table(tracks.launch_table(rows), str(tmp_path / "launches"), tracks.LAUNCH_HEADER[0])
-    text = "".join(p.read_text() for p in sorted((tmp_path / "launches").glob("part-*.csv")))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "launches").glob("recording=*/part-*.csv")))
     lines = text.splitlines()
     d = distance((0, 0, 1000), (0.1, 0, 900))
     assert lines[0] == ",".join(tracks.LAUNCH_HEADER)
     assert lines[1] == f'1,2.00,,"F,1",Allies,G,AIM,0.000000,0.000000,1000.0,3281,bp,F,Enemies,{d:.2f},{d * 0.539957:.2f},0.100000,0.000000,900.0,2953,-100.0,-328,90.0'
     assert lines[-1] == '2,90.00,,"F,1",Allies,G,AIM,0.000000,0.000000,30.0,98' + "," * 12
-    series = [tuple(r) for r in tracks.series_table(rows).orderBy(*tracks.SERIES_HEADER[:1], tracks.SERIES_HEADER[5]).collect()]
+    series = [tuple(r) for r in tracks.series_table(rows).drop("recording").orderBy(*tracks.SERIES_HEADER[:1], tracks.SERIES_HEADER[5]).collect()]
     assert [r[:6] for r in series] == [(1, None, "AIM", "bp", "-1.00", "1.00"), (1, None, "AIM", "bp", "0.00", "2.00"), (2, None, "AIM", "Unknown", "0.00", "90.00")]
     assert [r[10:13] for r in series] == [(1, "bp", f"{d:.2f}")] * 2 + [(0, "", "")]
     said = {r["idx"]: r["summary"] for r in tracks.launch_summary(rows).collect()}
