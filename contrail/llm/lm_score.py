@@ -7,24 +7,23 @@ Each word is scored by its bigram with the word before it (a start mark before t
 and a text's log score is the sum over its words. All n-grams count, seen once or more; a word that the counted texts do
 not hold at all counts as seen once. Words are runs without (Unicode) white space, in lower case.
 
-:func:`score_against` scores texts under the counts of other texts. It is the plain form: a table of counts partitioned
-by a hash of the n-gram, the texts exploded into (text, n-gram, occurrences) and joined to it, sums for each text.
-
-:func:`score_words` scores texts under their own counts, with the same results. All bigrams of the texts are held then,
-so the first branch decides each and a log score is the sum of n log count(v w) less the sum of m log count(v *). A text
-is exploded into a row for each distinct bigram and each distinct context; a hash of the n-gram deals out these rows once,
-where their counts are sums over the rows themselves, and what they add to a text is summed after that. Two bounded
-tables keep rows, and every hot key, out of that shuffle without changing a result:
-
-* ``common``: the exact counts of so many contexts at most, the most frequent ones, are broadcast (20 bytes each);
+:func:`score_against` scores texts under the counts of other texts, :func:`score_left_out` each text of a table under the
+counts of all the others: all are counted, and what a text itself adds is taken off where it is scored, so what only it
+says backs off. Both explode the texts into a row for each distinct bigram, join these rows to a table of counts
+partitioned by a hash of the bigram, look up the count of the context (held bigrams) or of the word (others), and sum for
+each text. Two bounded tables keep rows, and every hot key, out of the shuffles without changing a result:
+
+* ``common``: the exact counts of so many words at most, the most frequent ones, are broadcast (24 bytes each); others
+  are looked up in a second join, which only rows in need of one go through;
 * ``dense``: exact counts of all pairs of so many most frequent words, a square matrix, are broadcast too. A pair is no
-  more frequent than its words, so whichever pair holds a good share of all rows is among them.
+  more frequent than its words, so of the pairs that are left none has more than its share in ``dense`` of all words.
 
 A pair of two common words is named by their two ranks, which is exact; other n-grams are named by a 63-bit hash.
 
 Defined cases: null and empty texts have no words, log score 0 and a null mean; equal texts have equal scores; each input
-row gives one row, rows that repeat an id or have none too; very long texts and words are scored whole; other columns are
-ignored; an empty table gives no rows.
+row gives one row, rows that repeat an id or have none too (a text left out is one row, so its copies still count); very
+long texts and words are scored whole; other columns are ignored; an empty table gives no rows, and under the counts of
+none every word counts as seen once among one.
 """
 
 from __future__ import annotations
@@ -35,14 +34,13 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contrail.llm.common import drop_stored, slices, stored
+from contrail.llm.common import slices, stored
 
 DISCOUNT = 0.4
 _MEMO = 250_000
-_START = "\x02"
 _ROWS = 200_000  # rows of exploded texts in a batch
 _RANK = np.int64(20)  # bits of a common word's rank
 _P, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -63,14 +61,6 @@ def _pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return _named(v * _P + w)
 
 
-def _context_key(v: np.ndarray) -> np.ndarray:
-    return _named(v ^ _P)
-
-
-def _word_key(w: np.ndarray) -> np.ndarray:
-    return _named(w + _P)
-
-
 class _Slots(dict):
     """Numbers words in the order they are first met."""
 
@@ -80,10 +70,11 @@ class _Slots(dict):
 
 
 class Words:
-    """Texts as arrays of word slots; slot 0 is the start mark. Words are remembered up to a bound."""
+    """Texts as arrays of word slots; slot 0 is the start mark, hashed as the empty word that no text has. Words are
+    remembered up to a bound."""
 
     def __init__(self):
-        self.slots, self.h = _Slots({_START: 0}), np.array([xxhash.xxh3_64_intdigest(_START)], np.uint64)
+        self.slots, self.h = _Slots({None: 0}), np.array([xxhash.xxh3_64_intdigest("")], np.uint64)
 
     def full(self) -> bool:
         return len(self.slots) > _MEMO
@@ -103,36 +94,44 @@ def _text_column(docs: DataFrame, text_col: str) -> Column:
     return F.col(text_col).cast("string").alias("t")
 
 
-def context_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``v, c``: the hash of each word that another follows (and of the start mark), and how often one does."""
+def _chunks(said: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Neighbouring texts together, as soon as they have so many words; and the place of the first."""
+    at, size = 0, 0
+    for i, x in enumerate(said):
+        size += len(x)
+        if size > _ROWS or i == len(said) - 1:
+            yield at, said[at : i + 1]
+            at, size = i + 1, 0
+
+
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``h, c, f``: the hash of each word (and of the start mark), how often a word follows it, and how often it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = Words(), np.zeros(0, np.int64)
+        words, seen = Words(), np.zeros((2, 0), np.int64)
 
         def flush() -> pa.RecordBatch:
-            hit = np.flatnonzero(seen)
-            return pa.RecordBatch.from_arrays([pa.array(words.h[hit].view(np.int64)), pa.array(seen[hit])], ["v", "c"])
+            hit = np.flatnonzero(seen.any(axis=0))
+            return pa.RecordBatch.from_arrays([pa.array(words.h[hit].view(np.int64)), pa.array(seen[0][hit]), pa.array(seen[1][hit])], ["h", "c", "f"])
 
         for b in slices(batches):
             if words.full():
                 yield flush()
-                words, seen = Words(), np.zeros(0, np.int64)
-            said = words.read(b.column(0).to_pylist())
-            now = np.bincount(np.concatenate([x[:-1] for x in said]), minlength=len(words.h))
-            now[: len(seen)] += seen
-            seen = now
+                words, seen = Words(), np.zeros((2, 0), np.int64)
+            for _, said in _chunks(words.read(b.column(0).to_pylist())):
+                now = np.stack([np.bincount(np.concatenate([x[part] for x in said]), minlength=len(words.h)) for part in (slice(None, -1), slice(1, None))])
+                now[:, : seen.shape[1]] += seen
+                seen = now
         yield flush()
 
-    return docs.select(_text_column(docs, text_col)).mapInArrow(run, "v long, c long").groupBy("v").agg(F.sum("c").alias("c"))
+    return docs.select(_text_column(docs, text_col)).mapInArrow(run, "h long, c long, f long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("f").alias("f"))
 
 
-def common_contexts(contexts: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the most frequent contexts, at most ``bound``: all from some count on. Hashes ascend, the
-    rank by count goes with them."""
-    if bound <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    level = F.floor(F.log2("c") * 16)  # a few hundred levels at most
-    sizes = sorted(((r["level"], r["n"]) for r in contexts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+def common_words(counts: DataFrame, bound: int) -> Ranks:
+    """The most frequent words, at most ``bound``: all from some count on."""
+    none = Ranks(*np.zeros((3, 0), np.int64))
+    level = F.floor(F.log2(F.col("c") + F.col("f")) * 16)  # some hundred levels at most
+    sizes = sorted(((r["level"], r["n"]) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
     least, total = None, 0
     for at, n in sizes:
         total += n
@@ -140,46 +139,50 @@ def common_contexts(contexts: DataFrame, bound: int) -> tuple[np.ndarray, np.nda
             break
         least = at
     if least is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    got = contexts.where(level >= least).toArrow()
-    return got["v"].to_numpy(), got["c"].to_numpy()
+        return none
+    got = counts.where(level >= least).toArrow()
+    return Ranks(*(got[x].to_numpy() for x in ("h", "c", "f")))
 
 
 class Ranks:
-    """Common words: their rank by count (of equals, by hash) and their count, looked up by hash."""
+    """Common words: rank by count (of equals, by hash), hash, count as a context and as a word."""
 
-    def __init__(self, v: np.ndarray, c: np.ndarray):
-        order = np.lexsort((v, -c))
-        rank = np.empty(len(v), np.int64)
-        rank[order] = np.arange(len(v))
-        by_hash = np.argsort(v)
-        self.v, self.rank, self.log_c = v[by_hash], rank[by_hash], np.log(c[by_hash].astype(float))
+    def __init__(self, h: np.ndarray, c: np.ndarray, f: np.ndarray):
+        order = np.lexsort((h, -(c + f)))
+        self.c, self.f = c[order], f[order]
+        self.by_hash = np.argsort(h[order])
+        self.h = h[order][self.by_hash]
 
-    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (-1 without one) and log count (0 without one) of words."""
+    def __len__(self) -> int:
+        return len(self.h)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """Rank of words by their hashes, -1 without one."""
+        if not len(self):
+            return np.full(len(h), -1)
         h = h.view(np.int64)
-        if not len(self.v):
-            return np.full(len(h), -1), np.zeros(len(h))
-        at = np.minimum(np.searchsorted(self.v, h), len(self.v) - 1)
-        hit = self.v[at] == h
-        return np.where(hit, self.rank[at], -1), np.where(hit, self.log_c[at], 0.0)
+        at = np.minimum(np.searchsorted(self.h, h), len(self) - 1)
+        return np.where(self.h[at] == h, self.by_hash[at], -1)
 
 
 class Ranked(Words):
-    """Word slots with the ranks and log counts of common words."""
+    """Word slots with the ranks of common words."""
 
     def __init__(self, ranks: Ranks):
         super().__init__()
-        self.ranks = ranks
-        self.rank, self.log_c = ranks.of(self.h)
+        self.ranks, self.rank = ranks, ranks.of(self.h)
 
     def read(self, texts: list[str | None]) -> list[np.ndarray]:
         out, known = super().read(texts), len(self.rank)
         if len(self.h) > known:
-            rank, log_c = self.ranks.of(self.h[known:])
-            self.rank, self.log_c = np.append(self.rank, rank), np.append(self.log_c, log_c)
+            self.rank = np.append(self.rank, self.ranks.of(self.h[known:]))
         return out
 
+    def pairs(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Keys of bigrams: two ranks, or a hash below zero."""
+        a, b = self.rank[v], self.rank[w]
+        return np.where((a >= 0) & (b >= 0), (a << _RANK) | b, _pair_key(self.h[v], self.h[w]))
+
 
 def dense_pairs(docs: DataFrame, shared, dense: int, text_col: str = "text") -> np.ndarray:
     """How often each pair of the ``dense`` most frequent words occurs, as a matrix written row by row."""
@@ -189,12 +192,10 @@ def dense_pairs(docs: DataFrame, shared, dense: int, text_col: str = "text") ->
         for b in slices(batches):
             if words.full():
                 words = Ranked(shared.value)
-            parts = []
-            for s in words.read(b.column(0).to_pylist()):
-                r = words.rank[s]
-                both = (r[:-1] >= 0) & (r[:-1] < dense) & (r[1:] >= 0) & (r[1:] < dense)
-                parts.append((r[:-1] * dense + r[1:])[both])
-            counts += np.bincount(np.concatenate(parts), minlength=dense * dense)
+            for _, said in _chunks(words.read(b.column(0).to_pylist())):
+                v, w = (words.rank[np.concatenate([x[part] for x in said])] for part in (slice(None, -1), slice(1, None)))
+                both = (v >= 0) & (v < dense) & (w >= 0) & (w < dense)
+                counts += np.bincount((v * dense + w)[both], minlength=dense * dense)
         hit = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(counts[hit])], ["pair", "c"])
 
@@ -204,113 +205,150 @@ def dense_pairs(docs: DataFrame, shared, dense: int, text_col: str = "text") ->
     return out
 
 
-def _exploded(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """``id, r, k, n, b, w``: see :func:`score_words`."""
-    ranks, dense, log_pairs = shared.value
+def pair_counts(docs: DataFrame, shared, dense: int, text_col: str = "text") -> DataFrame:
+    """``k, f``: how often each bigram occurs that is not one of the dense ones, by its key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, parts, size = Ranked(shared.value), [], 0
+
+        def flush() -> pa.RecordBatch:
+            k, n = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
+
+        for b in slices(batches):
+            if words.full():
+                words = Ranked(shared.value)
+            for _, said in _chunks(words.read(b.column(0).to_pylist())):
+                v, w = (np.concatenate([x[part] for x in said]) for part in (slice(None, -1), slice(1, None)))
+                a, c = words.rank[v], words.rank[w]
+                rest = (a < 0) | (a >= dense) | (c < 0) | (c >= dense)
+                parts.append(words.pairs(v[rest], w[rest]))
+                size += len(parts[-1])
+                if size > 4 * _ROWS:
+                    yield flush()
+                    parts, size = [], 0
+        yield flush()
+
+    return docs.select(_text_column(docs, text_col)).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("f"))
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each distinct key and how often it is among the keys, beside each key."""
+    _, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+    return at, n[at]
+
+
+def _column(x: np.ndarray, kind: pa.DataType, null: np.ndarray | bool, own: np.ndarray, own_null: bool = False) -> pa.Array:
+    """Values of bigrams and, behind them, of texts."""
+    return pa.array(np.append(x, own), kind, mask=np.append(np.broadcast_to(null, len(x)), np.full(len(own), own_null)))
+
+
+_ROW = "k long, n int, m int, o int, a int, b int, v long, w long, part double, backed long, words long"
+
+
+def _exploded(batches: Iterator[pa.RecordBatch], shared, left_out: bool) -> Iterator[pa.RecordBatch]:
+    """``id, r`` and a row for each distinct bigram of a text: its key ``k``, how often the text has it, its context and its
+    word (``n, m, o``), and, unless both words are common, the ranks of the two (``a, b``), or their hashes (``v, w``) where
+    they have none. And one row with n = 0 for the text: what its dense pairs add, how many words among these back off, and
+    its number of words."""
+    ranks, dense, dense_f = shared.value
     words = Ranked(ranks)
     for batch in slices(batches):
         if words.full():
             words = Ranked(ranks)
-        ids, rs = batch.column(0), batch.column(1)
-        said = words.read(batch.column(2).to_pylist())
-        at, keys, ns, bs, ws, size = [], [], [], [], [], 0
-        for i, s in enumerate(said):
-            v, w = s[:-1], s[1:]
-            a, c = words.rank[v], words.rank[w]
-            held = (a >= 0) & (a < dense) & (c >= 0) & (c < dense)
-            base = log_pairs[(a * dense + c)[held]].sum() - words.log_c[v].sum()
-            v, w, a, c = v[~held], w[~held], a[~held], c[~held]
-            pairs = np.where((a >= 0) & (c >= 0), (a << _RANK) | c, _pair_key(words.h[v], words.h[w]))
-            k, n = np.unique(pairs, return_counts=True)
-            rare, m = np.unique(s[:-1][words.rank[s[:-1]] < 0], return_counts=True)
-            keys += [k, _context_key(words.h[rare]), [i]]
-            ns += [n, -m, [0]]
-            rows = len(k) + len(rare) + 1
-            b, said_words = np.zeros(rows), np.zeros(rows, np.int64)
-            b[-1], said_words[-1] = base, len(s) - 1
-            bs.append(b)
-            ws.append(said_words)
-            at.append(np.full(rows, i))
-            size += rows
-            if size > _ROWS or i == len(said) - 1:
-                row = pa.array(np.concatenate(at))
-                columns = [ids.take(row), rs.take(row), pa.array(np.concatenate(keys)), pa.array(np.concatenate(ns).astype(np.int32)), pa.array(np.concatenate(bs)), pa.array(np.concatenate(ws))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "r", "k", "n", "b", "w"])
-                at, keys, ns, bs, ws, size = [], [], [], [], [], 0
+        hashes = batch.column(1).to_numpy()
+        for at, said in _chunks(words.read(batch.column(2).to_pylist())):
+            n_words = np.fromiter((len(x) - 1 for x in said), np.int64, len(said))
+            t = np.repeat(np.arange(len(said)), n_words)
+            v, w = (np.concatenate([x[part] for x in said]) for part in (slice(None, -1), slice(1, None)))
+            slots = len(words.h)
+            (of_v, m), (_, o) = _counted(t * slots + v), _counted(t * slots + w)
+            _, first, n = np.unique(of_v * slots + w, return_index=True, return_counts=True)
+            m, o = m[first] * left_out, o[first] * left_out
+            t, v, w = t[first], v[first], w[first]
+            a, b = words.rank[v], words.rank[w]
+            d = (a >= 0) & (a < dense) & (b >= 0) & (b < dense)
+            f = dense_f[(a * dense + b)[d]] - (n[d] if left_out else 0)
+            held = f > 0
+            part = n[d] * np.log(np.where(held, f / np.maximum(ranks.c[a[d]] - m[d], 1), np.maximum(ranks.f[b[d]] - o[d], 1)))
+            base, backed = (np.bincount(t[d], weights=x, minlength=len(said)) for x in (part, n[d] * ~held))
+            t, v, w, a, b, n, m, o = (x[~d] for x in (t, v, w, a, b, n, m, o))
+            k = words.pairs(v, w)
+            named = k >= 0
+            texts, none = np.arange(at, at + len(said)), np.zeros(len(said), np.int64)
+            row = pa.array(np.append(t + at, texts))
+            spread = _mix(hashes[at : at + len(said)].view(np.uint64) + texts.astype(np.uint64)).view(np.int64)
+            columns = [_column(k, pa.int64(), False, spread), *(_column(x, pa.int32(), False, none) for x in (n, m, o))]
+            columns += [_column(x, pa.int32(), named, none, True) for x in (a, b)]
+            columns += [_column(words.h[x].view(np.int64), pa.int64(), named | (rank >= 0), none, True) for x, rank in ((v, a), (w, b))]
+            columns += [_column(np.zeros(len(k), x.dtype), kind, True, x) for x, kind in ((base, pa.float64()), (backed.astype(np.int64), pa.int64()), (n_words, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *columns], ["id", "r", "k", "n", "m", "o", "a", "b", "v", "w", "part", "backed", "words"])
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     """``id, r, t``: r tells apart different texts of one id. And the type of the id."""
     t = _text_column(docs, text_col)
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(t).alias("r"), t), docs.schema[id_col].dataType.simpleString()
-
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.xxhash64(t), F.lit(0)).alias("r"), t), docs.schema[id_col].dataType.simpleString()
 
-def _totals(parts: DataFrame, id_col: str) -> DataFrame:
-    """One row for each input row, of ``id, r, part, own, w``: what a text's n-grams add; own is 1 in the one row of the
-    text itself, which has its number of words. Rows equal in id and text are summed together and then dealt apart."""
-    out = parts.groupBy("id", "r").agg(F.sum("own").alias("rows"), F.sum("w").alias("w"), F.sum("part").alias("s"))
-    n, s = (F.col("w") / F.col("rows")).cast("long"), F.round(F.col("s") / F.col("rows"), 6)
-    out = out.select("id", "rows", n.alias("n"), s.alias("s")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows"))))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), F.col("n").alias("n_grams"), F.col("s").alias("log_score"), F.when(F.col("n") > 0, F.round(F.col("s") / F.col("n"), 9)).alias("mean_log_score"))
 
-
-def score_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = 1_000_000, dense: int = 1024) -> DataFrame:
-    """``id_col, n_words, n_grams, log_score, mean_log_score`` for each row, under the counts of all rows' words.
-
-    ``mean_log_score`` is per word, in natural logarithms. ``common, dense``: sizes of the broadcast tables of counts,
-    below 2^20 words and 16 bytes a pair.
-    """
+def _score(docs: DataFrame, corpus: DataFrame, left_out: bool, id_col: str, text_col: str, common: int, dense: int, discount: float) -> DataFrame:
     if common >= 1 << int(_RANK):
         raise ValueError("common is below 2^20")
     spark = docs.sparkSession
-    contexts = stored(context_counts(docs, text_col))
-    ranks = Ranks(*common_contexts(contexts, common))
-    drop_stored(contexts)
-    dense = min(dense, len(ranks.v))
-    pairs = dense_pairs(docs, spark.sparkContext.broadcast(ranks), dense, text_col) if dense else np.zeros(0, np.int64)
-    shared = spark.sparkContext.broadcast((ranks, dense, np.log(np.maximum(pairs, 1)).astype(float)))
+    counts = stored(word_counts(corpus, text_col))
+    total = counts.agg(F.sum("f")).first()[0] or 0
+    ranks = common_words(counts, common)
+    dense = min(dense, len(ranks))
+    at = spark.sparkContext.broadcast(ranks)
+    dense_f = dense_pairs(corpus, at, dense, text_col) if dense else np.zeros(0, np.int64)
     rows, kind = _rows(docs, id_col, text_col)
-    x = rows.mapInArrow(partial(_exploded, shared=shared), f"id {kind}, r long, k long, n int, b double, w long")
-    x = x.withColumn("f", F.abs(F.sum("n").over(Window.partitionBy("k"))))
-    own = F.col("n") == 0
-    return _totals(x.select("id", "r", F.when(own, F.col("b")).otherwise(F.col("n") * F.log("f")).alias("part"), own.cast("int").alias("own"), "w"), id_col)
+    x = rows.mapInArrow(partial(_exploded, shared=spark.sparkContext.broadcast((ranks, dense, dense_f)), left_out=left_out), f"id {kind}, r long, {_ROW}")
+
+    # bigrams: held ones need the count of their context next, others that of their word
+    x = x.join(pair_counts(corpus, at, dense, text_col), "k", "left")
+    f = F.coalesce("f", F.lit(0)) - (F.col("n") if left_out else F.lit(0))
+    x = x.withColumn("own", F.col("n") == 0).withColumn("f", f).withColumn("held", ~F.col("own") & (F.col("f") > 0))
+    named, ranked = F.col("k") >= 0, F.shiftright("k", int(_RANK)).cast("int")
+    x = x.withColumn("rank", F.when(~F.col("own"), F.when(F.col("held"), F.when(named, ranked).otherwise(F.col("a"))).otherwise(F.when(named, F.col("k").bitwiseAND((1 << int(_RANK)) - 1).cast("int")).otherwise(F.col("b")))))
+    lookup = stored(spark.createDataFrame(pa.table({"rank": pa.array(np.arange(len(ranks)), pa.int32()), "common_c": ranks.c, "common_f": ranks.f})))
+    x = x.join(F.broadcast(lookup), "rank", "left")
+    less = F.when(F.col("held"), F.col("m")).otherwise(F.col("o"))
+    known = F.when(F.col("held"), F.col("common_c")).otherwise(F.col("common_f"))
+    lower = lambda c: F.log(F.greatest(c, F.lit(1)))
+    sign = F.when(F.col("held"), -F.col("n")).otherwise(F.col("n"))
+    part = F.when(F.col("own"), F.col("part")).otherwise(F.when(F.col("held"), F.col("n") * F.log("f")).otherwise(0.0) + F.coalesce(sign * lower(known - less), F.lit(0.0)))
+    need = F.when(F.col("rank") == -1, F.when(F.col("held"), F.col("v")).otherwise(F.col("w")))
+    x = x.select("id", "r", need.alias("h"), F.col("held").alias("as_context"), less.alias("less"), part.alias("part"), F.when(need.isNotNull(), sign).otherwise(0).alias("sign"), F.when(F.col("own"), F.col("backed")).when(~F.col("held"), F.col("n")).otherwise(0).alias("backed"), "own", F.coalesce("words", F.lit(0)).alias("words"))
+    rare = F.col("h").isNotNull()
+    sums = [F.sum(c).alias(c) for c in ("part", "sign", "backed", "words")]
+    x = x.groupBy("id", "r", "h", F.when(rare, F.col("as_context")).alias("as_context")).agg(*sums, F.max("less").alias("less"), F.sum(F.col("own").cast("int")).alias("own"))
+
+    # words that are not common: only what needs their counts is joined
+    x = stored(x)
+    y = x.where(rare).join(counts, "h", "left")
+    c = F.coalesce(F.when(F.col("as_context"), F.col("c")).otherwise(F.col("f")), F.lit(0))
+    y = y.withColumn("part", F.col("part") + F.col("sign") * lower(c - F.col("less")))
+    columns = ["id", "r", "part", "backed", "words", "own"]
+    x = x.where(~rare).select(columns).unionByName(y.select(columns))
+
+    # rows equal in id and text are summed together and then dealt apart
+    x = x.groupBy("id", "r").agg(*(F.sum(c).alias(c) for c in columns[2:]))
+    n, backed = ((F.col(c) / F.col("own")).cast("long") for c in ("words", "backed"))
+    unit = F.log(F.lit(discount)) - lower(F.lit(total) - (n if left_out else F.lit(0)))
+    x = x.select("id", n.alias("n"), backed.alias("backed"), F.round(F.col("part") / F.col("own") + backed * unit, 6).alias("s"), F.explode(F.sequence(F.lit(1), F.col("own").cast("int"))))
+    return x.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), F.col("n").alias("n_grams"), F.col("backed").alias("n_backed_off"), F.col("s").alias("log_score"), F.when(F.col("n") > 0, F.round(F.col("s") / F.col("n"), 9)).alias("mean_log_score"))
+
+
+def score_against(docs: DataFrame, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = 1_000_000, dense: int = 1024, discount: float = DISCOUNT) -> DataFrame:
+    """``id_col, n_words, n_grams, n_backed_off, log_score, mean_log_score`` for each row of ``docs`` under the counts of the
+    words of ``corpus`` (same text column).
 
+    ``mean_log_score`` is per word, in natural logarithms. ``common, dense``: sizes of the broadcast tables of counts,
+    below 2^20 words and 8 bytes a pair.
+    """
+    return _score(docs, corpus, False, id_col, text_col, common, dense, discount)
 
-def grams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, r, k, v, w, n``: the keys of each distinct bigram of a text, of its context and of its word, and how often the
-    text has it; and one row with n = 0 for the text, whose w is its number of words."""
-    rows, kind = _rows(docs, id_col, text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in slices(batches):
-            if words.full():
-                words = Words()
-            for i, s in enumerate(words.read(batch.column(2).to_pylist())):
-                h = words.h[s]
-                k, first, n = np.unique(_pair_key(h[:-1], h[1:]), return_index=True, return_counts=True)
-                columns = [np.append(k, 0), np.append(_context_key(h[:-1][first]), 0), np.append(_word_key(h[1:][first]), len(s) - 1), np.append(n, 0)]
-                row = pa.array(np.full(len(k) + 1, i))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *map(pa.array, columns)], ["id", "r", "k", "v", "w", "n"])
-
-    return rows.mapInArrow(run, f"id {kind}, r long, k long, v long, w long, n long")
-
-
-def gram_counts(corpus: DataFrame, text_col: str = "text") -> DataFrame:
-    """``kind, k, f``: how often each bigram (kind k), context (v) and word (w) occurs in all texts, by its key."""
-    each = grams(corpus.select(F.lit(0).alias("i"), text_col), "i", text_col).where("n > 0")
-    each = each.select(F.explode(F.array(*[F.struct(F.lit(x).alias("kind"), F.col(x).alias("k")) for x in "kvw"])).alias("g"), "n")
-    return each.groupBy("g.kind", "g.k").agg(F.sum("n").alias("f"))
-
-
-def score_against(docs: DataFrame, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", discount: float = DISCOUNT) -> DataFrame:
-    """As :func:`score_words`, for each row of ``docs`` under the counts of the words of ``corpus`` (same text column)."""
-    counts = stored(gram_counts(corpus, text_col))
-    total = counts.where("kind = 'w'").agg(F.sum("f")).first()[0] or 1
-    x = grams(docs, id_col, text_col).join(counts.where("kind = 'k'").select("k", "f"), "k", "left")
-    own, held = F.col("n") == 0, F.col("f").isNotNull()
-    # a held bigram needs its context's count, another its word's
-    x = x.select("id", "r", "n", own.cast("int").alias("own"), F.when(own, F.col("w")).alias("words"), F.when(own, 0).when(held, F.col("n") * F.log("f")).otherwise(F.col("n") * F.lit(float(np.log(discount / total)))).alias("part"), F.when(held, -F.col("n")).otherwise(F.col("n")).alias("sign"), F.when(~own, F.when(held, F.col("v")).otherwise(F.col("w"))).alias("need"))
-    lower = counts.where("kind <> 'k'").select(F.col("k").alias("need"), F.col("f").alias("c"))
-    x = x.join(lower, "need", "left").withColumn("part", F.col("part") + F.col("sign") * F.log(F.coalesce("c", F.lit(1))))
-    return _totals(x.select("id", "r", "part", "own", F.col("words").alias("w")), id_col)
+def score_left_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = 1_000_000, dense: int = 1024, discount: float = DISCOUNT) -> DataFrame:
+    """As :func:`score_against`, for each row under the counts of all the other rows."""
+    return _score(docs, docs, True, id_col, text_col, common, dense, discount)

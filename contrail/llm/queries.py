@@ -29,9 +29,9 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stupid-backoff score of every document under counts of the word bigrams of all documents."""
-    x = lm_score.score_words(table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 3))
-    return x.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6)).alias("mean_log_score"))
+    """Stupid-backoff score of every document under counts of the word bigrams of all other documents."""
+    x = lm_score.score_left_out(table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 3))
+    return x.select("doc_id", "n_words", "n_backed_off", "log_score", F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6)).alias("mean_log_score"))
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,12 +131,20 @@ QUERIES = {f.__name__: with_small_batches(f) for f in (op1_language_id, op2_warc
 ORACLES = {
     "op3_lm_score": r"""
         WITH t AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '') AS w FROM documents),
-        b AS (SELECT r, unnest(list_prepend(chr(2), w[:-2])) AS v, unnest(w) AS w FROM t WHERE len(w) > 0),
-        k AS (SELECT v, w, count(*) AS n FROM b GROUP BY v, w),
-        c AS (SELECT v, count(*) AS n FROM b GROUP BY v),
-        s AS (SELECT r, sum(ln(k.n) - ln(c.n)) AS s FROM b JOIN k ON k.v = b.v AND k.w = b.w JOIN c ON c.v = b.v GROUP BY r),
-        o AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(round(coalesce(s.s, 0), 6), 3) AS log_score FROM t LEFT JOIN s ON s.r = t.r)
-        SELECT doc_id, n_words, log_score, CASE WHEN n_words > 0 THEN round(log_score / n_words, 6) END AS mean_log_score FROM o""",
+        b AS (SELECT r, unnest(list_prepend('', w[:-2])) AS v, unnest(w) AS w FROM t WHERE len(w) > 0),
+        own_k AS (SELECT r, v, w, count(*) AS n FROM b GROUP BY r, v, w),
+        own_c AS (SELECT r, v, sum(n) AS n FROM own_k GROUP BY r, v),
+        own_u AS (SELECT r, w, sum(n) AS n FROM own_k GROUP BY r, w),
+        k AS (SELECT v, w, sum(n) AS n FROM own_k GROUP BY v, w),
+        c AS (SELECT v, sum(n) AS n FROM k GROUP BY v),
+        u AS (SELECT w, sum(n) AS n FROM k GROUP BY w),
+        g AS (SELECT r, o.n, k.n - o.n AS kn, c.n - oc.n AS cn, greatest(u.n - ou.n, 1) AS un, greatest((SELECT sum(n) FROM k) - len(t.w), 1) AS total
+              FROM own_k o JOIN own_c oc USING (r, v) JOIN own_u ou USING (r, w) JOIN k USING (v, w) JOIN c USING (v) JOIN u USING (w) JOIN t USING (r)),
+        s AS (SELECT r, sum(CASE WHEN kn = 0 THEN n ELSE 0 END) AS backed,
+                     sum(n * CASE WHEN kn > 0 THEN ln(kn) - ln(cn) ELSE ln(0.4) + ln(un) - ln(total) END) AS s FROM g GROUP BY r),
+        o AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(s.backed, 0) AS BIGINT) AS n_backed_off, round(round(coalesce(s.s, 0), 6), 3) AS log_score
+              FROM t LEFT JOIN s ON s.r = t.r)
+        SELECT doc_id, n_words, n_backed_off, log_score, CASE WHEN n_words > 0 THEN round(log_score / n_words, 6) END AS mean_log_score FROM o""",
     "op2_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
         a AS (SELECT d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d)

@@ -3,26 +3,29 @@
 import math
 from collections import Counter
 
+import duckdb
 import pytest
 
 from contrail.llm import lm_score
-from contrail.llm.queries import op3_lm_score
+from contrail.llm.queries import ORACLES, op3_lm_score
 
 SF = "/root/testdata/sf0.001"
 
 
 def brute(texts, corpus=None):
-    split = lambda t: ["<s>", *t.lower().split()] if t else ["<s>"]
-    counted = [split(t) for t in (texts if corpus is None else corpus)]
-    pairs = Counter(p for w in counted for p in zip(w, w[1:]))
-    first = Counter(p[0] for p in pairs.elements())
-    single = Counter(p[1] for p in pairs.elements())
-    total = sum(single.values())
-
-    def s(p):
-        return math.log(pairs[p] / first[p[0]]) if pairs[p] else math.log(0.4 * max(1, single[p[1]]) / total)
-
-    return [sum(s(p) for p in zip(w, w[1:])) for w in map(split, texts)]
+    """Words, words backed off and score of each text, under the counts of a corpus or of all other texts."""
+    split = lambda t: ["", *t.lower().split()] if t else [""]
+    counts = lambda of: (Counter(of), Counter(p[0] for p in of), Counter(p[1] for p in of))
+    pairs = lambda t: list(zip(split(t), split(t)[1:]))
+    held = counts([p for t in (texts if corpus is None else corpus) for p in pairs(t)])
+    out = []
+    for t in texts:
+        own = pairs(t)
+        k, c, u = (a - b for a, b in zip(held, counts(own), strict=True)) if corpus is None else held
+        total = max(1, sum(u.values()))
+        each = [math.log(k[p] / c[p[0]]) if k[p] else math.log(0.4 * max(1, u[p[1]]) / total) for p in own]
+        out.append((len(own), sum(not k[p] for p in own), round(sum(each), 3) + 0.0))
+    return out
 
 
 def some_rows(spark):
@@ -36,33 +39,55 @@ def clashing(spark, rows):
 
 
 def as_rows(df):
-    return sorted(((r["doc_id"] or -1, r["n_words"], round(r["log_score"], 3) + 0.0) for r in df.collect()), key=repr)
+    return sorted(((r["doc_id"] or -1, r["n_words"], r["n_backed_off"], round(r["log_score"], 3) + 0.0) for r in df.collect()), key=repr)
+
+
+def wanted(rows, corpus=None):
+    return sorted(((i or -1, *x) for (i, _), x in zip(rows, brute([t for _, t in rows], corpus), strict=True)), key=repr)
+
+
+BOUNDS = pytest.mark.parametrize("common, dense", [(0, 0), (20, 3), (50_000, 1024), (500, 0)])
 
 
-@pytest.mark.parametrize("common, dense", [(0, 0), (20, 3), (50_000, 1024), (500, 0)])
-def test_words_against_brute_force(spark, common, dense):
+@BOUNDS
+def test_left_out_against_brute_force(spark, common, dense):
     rows = some_rows(spark)
     df = clashing(spark, rows)
-    got = lm_score.score_words(df, common=common, dense=dense)
-    want = sorted(((i or -1, len((t or "").split()), round(s, 3) + 0.0) for (i, t), s in zip(rows, brute([t for _, t in rows]), strict=True)), key=repr)
+    got = lm_score.score_left_out(df, common=common, dense=dense)
+    want = wanted(rows)
     assert as_rows(got) == want
+    assert 0 < sum(x[2] for x in want) < sum(x[1] for x in want)
     assert got.where("n_words = 0 and mean_log_score is not null").isEmpty()
-    assert lm_score.score_words(df.limit(0), common=common, dense=dense).count() == 0
+    assert lm_score.score_left_out(df.limit(0), common=common, dense=dense).count() == 0
 
 
-def test_backoff_against_brute_force(spark):
+@BOUNDS
+def test_corpus_against_brute_force(spark, common, dense):
     rows = some_rows(spark)
     corpus, own = rows[:150], rows[100:]
     df = clashing(spark, own)
-    want = sorted(((i or -1, len((t or "").split()), round(s, 3) + 0.0) for (i, t), s in zip(own, brute([t for _, t in own], [t for _, t in corpus]), strict=True)), key=repr)
-    assert as_rows(lm_score.score_against(df, clashing(spark, corpus))) == want
-    assert lm_score.score_against(df.limit(0), df).count() == 0
-    assert lm_score.score_against(df, df.limit(0)).count() == len(own)
+    got = lm_score.score_against(df, clashing(spark, corpus), common=common, dense=dense)
+    assert as_rows(got) == wanted(own, [t for _, t in corpus])
+    assert lm_score.score_against(df.limit(0), df, common=common, dense=dense).count() == 0
+
+
+def test_empty_corpus(spark):
+    df = clashing(spark, [(1, "a b"), (2, None)])
+    assert as_rows(lm_score.score_against(df, df.limit(0))) == [(1, 2, 2, round(2 * math.log(0.4), 3)), (2, 0, 0, 0.0)]
+
+
+def test_one_text_of_very_many_words_and_odd_words(spark):
+    rows = [(1, " ".join(f"w{i % 70_001}" for i in range(300_000))), (2, "\x02 a \x02 b"), (3, "a b w1 w2"), (4, "A\x02")]
+    df = clashing(spark, rows)
+    assert as_rows(lm_score.score_left_out(df, common=1000, dense=10)) == wanted(rows)
 
 
-def test_both_forms_agree(spark):
-    df = clashing(spark, some_rows(spark))
-    assert as_rows(lm_score.score_words(df)) == as_rows(lm_score.score_against(df, df))
+def test_no_pair_of_frequent_words_is_shuffled(spark):
+    """However often frequent words meet, their pairs add no row: one row a text is left of them."""
+    df = clashing(spark, [(i, "the of " * (i % 7)) for i in range(60)])
+    plan = lm_score.score_left_out(df, dense=3)
+    assert as_rows(plan) == wanted([(r["doc_id"], r["text"]) for r in df.collect()])
+    assert lm_score.pair_counts(df, spark.sparkContext.broadcast(lm_score.common_words(lm_score.word_counts(df), 100)), 3).count() == 0
 
 
 def test_query_scores_the_order_of_words(spark, tmp_path):
@@ -72,5 +97,11 @@ def test_query_scores_the_order_of_words(spark, tmp_path):
     assert got[1] > got[2]
 
 
-def test_query_covers_all(spark):
-    assert op3_lm_score(spark, SF).count() == 200
+def test_query_equals_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    rel = con.sql(ORACLES["op3_lm_score"])
+    got = op3_lm_score(spark, SF).select(rel.columns).collect()
+    assert len(got) == 200
+    assert sorted(map(tuple, got)) == sorted(rel.fetchall())
+    assert sum(r["n_backed_off"] for r in got) > 0
