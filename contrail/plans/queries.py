@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contrail.functions import control, decisions, geo, literals, platforms, text
-from contrail.operators import actions, contexts, gates, packing, scans
+from contrail.operators import actions, contexts, gates, packing, routes, scans
 from contrail.operators import tracks as tr
 
 #: Seconds of 2024-01-01 UTC since the epoch: origin of the track times.
@@ -748,6 +748,39 @@ def planner_route(spark, d):
     return _table(spark, d, "events").select("event_id", decisions.planner_decision(said).alias("p")).select("event_id", "p.*")
 
 
+@query("""WITH RECURSIVE w AS (
+    SELECT doc_id, coalesce(text, '') AS t, CAST('' AS VARCHAR) AS path, 0 AS steps FROM documents
+    UNION ALL
+    SELECT doc_id, CASE WHEN length(t) % 2 = 1 THEN substr(t, 2) ELSE left(t, length(t) // 2) END,
+           path || CASE WHEN length(t) % 2 = 1 THEN 'e' ELSE 'h' END, steps + 1 FROM w WHERE length(t) > 64 AND steps < 10)
+    SELECT doc_id, path, length(t) <= 64 AS ended, md5(t) AS left_md5 FROM w
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY steps DESC) = 1""")
+def message_loop(spark, d):
+    """Texts between two workers, at most ten times: an odd one loses its first character, an even one its second half,
+    until no more than 64 characters are left."""
+    n = F.length("t")
+    route = F.when(n <= 64, "FINISH").when(n % 2 == 1, "even").otherwise("half")
+    nodes = {"even": lambda x: x.withColumn("t", F.substr("t", F.lit(2))), "half": lambda x: x.withColumn("t", F.left("t", F.floor(n / 2).cast("int")))}
+    x = _table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    x = routes.run(x, nodes, {"even": route, "half": route}, route)
+    return x.select("doc_id", F.array_join(F.transform("path", lambda p: F.left(p, F.lit(1))), "").alias("path"), "ended", F.md5("t").alias("left_md5"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, md5(coalesce(text, '')) AS t,
+    coalesce(role, '') = 'assistant' AND trim(coalesce(text, ''), chr(9) || chr(10) || chr(13) || ' ') <> '' AS given FROM conversations)
+    SELECT conv_id, turn, CASE WHEN given THEN 'executor' WHEN role = 'system' THEN 'planner' ELSE 'planner,executor' END AS path,
+    CASE WHEN NOT given THEN CASE WHEN role = 'system' THEN 'end' ELSE 'execute' END END AS decision,
+    CASE WHEN role <> 'system' THEN t END AS plan, CASE WHEN role = 'system' THEN t ELSE 'does ' || t END AS result FROM c""")
+def routed_plans(spark, d):
+    """Conversations as plans: an assistant's text is one, a system's is answered at once, others are planned and executed."""
+    text_, said = F.coalesce("text", F.lit("")), F.col("role") == "system"
+    x = _table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.md5(text_).alias("t"), F.when((F.col("role") == "assistant") & (F.trim(text_, F.lit("\t\n\r ")) != ""), F.md5(text_)).alias("plan"))
+    answer = F.to_json(F.struct(F.lit("end").alias("action"), F.col("t").alias("answer")))
+    planner = lambda x: x.withColumn("raw", F.when(said, answer).otherwise(F.to_json(F.struct(F.lit("execute").alias("action"), F.col("t").alias("plan")))))
+    x = routes.plan_and_execute(x, planner, lambda x: x.withColumn("result", F.concat(F.lit("does "), F.col("plan"))), mode="route")
+    return x.select("conv_id", "turn", F.array_join("path", ",").alias("path"), "decision", "plan", "result")
+
+
 @query("""WITH e AS (SELECT event_id, event_id % 5 AS kind, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
     SELECT event_id, CASE WHEN kind < 3 THEN k END AS k, CASE WHEN kind = 2 THEN k + 0.5 END::DOUBLE AS x, kind < 3 AS taken FROM e""")
 def literal_props(spark, d):
