@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from contrail.functions.control import CLIMB, HOLD, MAX_STEPS, MAX_TOTAL, SPEED, TURN, clamp
+from contrail.functions import literals
 from contrail.functions.text import fence_strip, strip
 
 #: Fields of a command with their full scale, names of the two units, and side markers of a context.
@@ -119,22 +120,28 @@ def planner_decision(raw: Column, mode: str = "route") -> Column:
 
 
 def context_units(text: Column) -> Column:
-    """Array of ``unit, side, heading, x, y, z, speed`` of a context: a marker line names the side of the lines after it;
-    lines without numbers for heading and position are skipped and take no number."""
-    number = r"(-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)"
+    """Array of ``unit, side, heading, x, y, z, speed`` of a context: a marker line names the side of the lines after it.
+
+    A line is a unit, with the next number of its side, if what stands from its first to its last brace is a dictionary as
+    Python writes it (``literals.literal``); others are skipped and take no number. A unit's missing value is null.
+    """
     unit = "struct<unit:string,side:string,heading:double,x:double,y:double,z:double,speed:double>"
+    names = {"heading": "heading", "x": "position[0]", "y": "position[1]", "z": "position[2]", "speed": "speed"}
+
+    def read(line: Column) -> Column:
+        side = F.when(F.contains(line, F.lit(RED)), "red").when(F.contains(line, F.lit(BLUE)), "blue")
+        said = literals.literal(F.regexp_extract(line, r"(?s)\{.*\}", 0))
+        values = lambda v: F.when(_is_object(v), F.struct(*[F.try_variant_get(v, f"$.state.{at}", "double").alias(name) for name, at in names.items()]))
+        return F.struct(side.alias("mark"), F.when(side.isNull(), _let(said, values)).alias("values"))
+
     start = F.struct(F.lit(None).cast("string").alias("side"), F.lit(0).alias("red"), F.lit(0).alias("blue"), F.array().cast(f"array<{unit}>").alias("out"))
 
     def step(a: Column, line: Column) -> Column:
-        inner = F.regexp_extract(line, r"\{.*\}", 0)
-        get = lambda pattern, i=1: F.regexp_extract(inner, pattern, i).try_cast("double")
-        place = rf"'position':\s*\(\s*{number}\s*,\s*{number}\s*,\s*{number}\s*\)"
-        heading, x = get(rf"'heading':\s*{number}"), get(place)
         red = a["side"] == "red"
         n = F.when(red, a["red"]).otherwise(a["blue"]) + 1
-        one = F.struct(F.concat(a["side"], n.cast("string")).alias("unit"), a["side"].alias("side"), heading.alias("heading"), x.alias("x"), get(place, 2).alias("y"), get(place, 3).alias("z"), get(rf"'speed':\s*{number}").alias("speed"))
+        one = F.struct(F.concat(a["side"], n.cast("string")).alias("unit"), a["side"].alias("side"), *[line["values"][name].alias(name) for name in names])
         taken = F.struct(a["side"].alias("side"), F.when(red, n).otherwise(a["red"]).alias("red"), F.when(red, a["blue"]).otherwise(n).alias("blue"), F.concat(a["out"], F.array(one)).alias("out"))
-        turned = lambda side: F.struct(F.lit(side).alias("side"), a["red"].alias("red"), a["blue"].alias("blue"), a["out"].alias("out"))
-        return F.when(F.contains(line, F.lit(RED)), turned("red")).when(F.contains(line, F.lit(BLUE)), turned("blue")).when(a["side"].isNotNull() & heading.isNotNull() & x.isNotNull(), taken).otherwise(a)
+        turned = F.struct(line["mark"].alias("side"), a["red"].alias("red"), a["blue"].alias("blue"), a["out"].alias("out"))
+        return F.when(line["mark"].isNotNull(), turned).when(a["side"].isNotNull() & line["values"].isNotNull(), taken).otherwise(a)
 
-    return F.aggregate(F.split(strip(text), "\n"), start, step, lambda a: a["out"])
+    return F.aggregate(F.transform(F.split(strip(text), "\n"), read), start, step, lambda a: a["out"])

@@ -33,3 +33,23 @@ def test_golden_lines(spark):
 def test_contexts_cover_all_events(spark):
     ids = spark.read.parquet(f"{SF}/events.parquet").select(F.floor(F.col("event_id") / 20).alias("ctx")).distinct()
     assert QUERIES["bvr_context_command_line"](spark, SF).join(ids, "ctx").count() == ids.count()
+
+
+def test_units_in_all_spellings(spark):
+    """What is a dictionary takes a number of its side, whatever its quotes and brackets; what is none takes no number."""
+    cases = [
+        (unit(1.5, -2, 3), ("red1", 0.0, 1.5, -2.0, 3.0)),
+        ("unit A: {\"state\": {\"heading\": 10, \"position\": [4, 5., +6e1], }} .", ("red2", 10.0, 4.0, 5.0, 60.0)),
+        ("{'state': {'heading': 10, 'position': (1, 2, 3)}", None),
+        ("{'state', 'heading'}", None),
+        ("{'state': {'heading': 10, 'position': (1, 2, 3]}}", None),
+        ("{'name': 'it\\'s', 'state': {'position': (7, 8)}}", ("red3", None, 7.0, 8.0, None)),
+        ("{'other': None}", ("red4", None, None, None, None)),
+        ("[1, 2]", None),
+        (unit(9, 9, 9, 45), ("red5", 45.0, 9.0, 9.0, 9.0)),
+    ]
+    text = "\n".join(["before any side: {'state': {}}", decisions.RED, *[c for c, _ in cases], decisions.BLUE, unit(0, 0, 1)])
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, s string")
+    got = {r["id"]: r["u"] for r in df.select("id", decisions.context_units(F.col("s")).alias("u")).collect()}
+    assert [(u["unit"], u["heading"], u["x"], u["y"], u["z"]) for u in got[1]] == [w for _, w in cases if w] + [("blue1", 0.0, 0.0, 0.0, 1.0)]
+    assert not got[2] and got[3] == []
