@@ -285,8 +285,35 @@ def launch_summary(rows: DataFrame, width: float = 5.0) -> DataFrame:
     return x.select(*_recording(rows), "idx", "seq", lines.alias("summary"))
 
 
-def write_table(table: DataFrame, path: str, *order: str) -> None:
-    """A table of text as CSV files with a header, range-partitioned by ``order`` and sorted in it; each recording, if there is
-    a column of them, in a folder of its own, without that column."""
-    keys = [*_recording(table), *order]
-    table.repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy(*_recording(table)).option("header", True).option("emptyValue", "").csv(path)
+def _csv_line(columns: list[str]) -> Column:
+    """The columns as a line: null is an empty field, fields with a comma, a quote or a line's end stand in quotes."""
+
+    def field(name: str) -> Column:
+        c = F.coalesce(F.col(name).cast("string"), F.lit(""))
+        return F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+    return F.concat_ws(",", *[field(c) for c in columns])
+
+
+def write_table(table: DataFrame, path: str, *order: str, gaps: bool = False) -> None:
+    """A table as CSV: UTF-8 behind a byte order mark, one header, lines ended by CR LF, sorted by ``order`` (numbers in text
+    by their value, then as text); with ``gaps`` an empty line after the rows of each value of the first of ``order``.
+
+    The files of a folder, range-partitioned, are one such text in the order of their names. Each recording, if there is a
+    column of them, has a folder of its own, without that column; a table of no recording and no rows is its header.
+    """
+    rec = _recording(table)
+    columns = [c for c in table.columns if c not in rec]
+    value = lambda c: [F.col(c).try_cast("double").alias(f"{c} value"), F.col(c).cast("string").alias(f"{c} text")]
+    first, rest = value(order[0]), [v for c in order[1:] for v in value(c)]
+    rank = lambda n: F.lit(n).alias("rank")
+    lines = table.select(*rec, F.lit(1).alias("part"), *first, rank(0), *rest, _csv_line(columns).alias("line"))
+    empty = [F.lit(None).cast(kind).alias(f"{c} {name}") for c in order for name, kind in (("value", "double"), ("text", "string"))]
+    top = table.select(*rec).distinct() if rec else table.sparkSession.range(1)
+    lines = lines.unionByName(top.select(*rec, F.lit(0).alias("part"), *empty, rank(0), F.lit("\ufeff" + ",".join(columns)).alias("line")))
+    if gaps:
+        each = table.select(*rec, *first).distinct()
+        lines = lines.unionByName(each.select(*rec, F.lit(1).alias("part"), *[F.col(f"`{order[0]} {n}`") for n in ("value", "text")], rank(1), *empty[2:], F.lit("").alias("line")))
+    keys = [F.col(f"`{c}`") for c in lines.columns if c != "line"]
+    x = lines.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    x.select(*rec, "line").write.partitionBy(*rec).option("lineSep", "\r\n").text(path)

@@ -1,5 +1,6 @@
 """Sources, decisions and stateful streams against golden cases."""
 
+import csv
 import io
 import json
 import math
@@ -89,12 +90,39 @@ def test_xml_to_launches_and_enemies(spark, tmp_path):
     assert (total["launches"], total["allies"], total["enemies"]) == (4, 0, 0)
 
 
+def exported(folder):
+    """The files of a folder as one text."""
+    got = b"".join(p.read_bytes() for p in sorted(folder.parent.glob(f"{folder.name}/part-*")))
+    assert got.startswith(b"\xef\xbb\xbf")
+    return got.decode("utf-8-sig")
+
+
+def test_exports_equal_a_csv_writer(spark, tmp_path):
+    """Several files, odd fields, and an empty line after each launch: what a writer of one file would have put there."""
+    rows = [(n, f"{t:.2f}", text) for n in range(1, 13) for t in (9.5, 10.0, 100.25, -1.0) for text in ("a", 'say "x"', "b,c", "d\r\ne", "  f ", None)]
+    df = spark.createDataFrame(rows, "n int, t string, said string")
+    tracks.write_table(df.repartition(7), str(tmp_path / "one"), "n", "t", "said", gaps=True)
+    out = io.StringIO(newline="")
+    writer = csv.writer(out)
+    writer.writerow(df.columns)
+    for n in range(1, 13):
+        writer.writerows(sorted((r for r in rows if r[0] == n), key=lambda r: (float(r[1]), r[2] is not None, r[2] or "")))
+        writer.writerow([])
+    assert exported(tmp_path / "one") == out.getvalue()
+    two = df.where("n < 3").withColumn("recording", F.concat(F.lit("r"), F.col("n") % 2))
+    tracks.write_table(two, str(tmp_path / "two"), "n", "t", "said", gaps=True)
+    parts = [exported(tmp_path / "two" / f"recording=r{n}") for n in (1, 0)]
+    assert [list(csv.reader(io.StringIO(p, newline="")))[0] for p in parts] == [df.columns] * 2
+    assert [p.count("\r\n\r\n") for p in parts] == [1, 1]
+    tracks.write_table(df.limit(0), str(tmp_path / "none"), "n", gaps=True)
+    assert exported(tmp_path / "none") == "n,t,said\r\n"
+
+
 def test_exports(spark, tmp_path):
     events = [event(1, (0, 0, 1000), unit("a", "Allies", more="<Name>F,1</Name><Pilot/><Group>G</Group>")), event(1, (0.1, 0, 900), unit("b", "Enemies")), event(2, (0, 0, 1000), unit("a"), FIRED), event(90, (0, 0, 30), unit("a"), FIRED)]
     rows = recording(spark, tmp_path, events)
     tracks.write_table(tracks.launch_table(rows), str(tmp_path / "launches"), tracks.LAUNCH_HEADER[0])
-    text = "".join(p.read_text() for p in sorted((tmp_path / "launches").glob("recording=*/part-*.csv")))
-    lines = text.splitlines()
+    lines = exported(tmp_path / "launches" / "recording=*").splitlines()
     d = distance((0, 0, 1000), (0.1, 0, 900))
     assert lines[0] == ",".join(tracks.LAUNCH_HEADER)
     assert lines[1] == f'1,2.00,,"F,1",Allies,G,AIM,0.000000,0.000000,1000.0,3281,bp,F,Enemies,{d:.2f},{d * 0.539957:.2f},0.100000,0.000000,900.0,2953,-100.0,-328,90.0'
