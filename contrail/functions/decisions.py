@@ -126,13 +126,17 @@ def context_units(text: Column) -> Column:
     Python writes it (``literals.literal``); others are skipped and take no number. A unit's missing value is null.
     """
     unit = "struct<unit:string,side:string,heading:double,x:double,y:double,z:double,speed:double>"
+    # the usual spelling, whose numbers one pattern takes whole; any other goes through the grammar
+    number = r"(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)"
+    plain = rf"^\{{'state': *\{{'heading': *{number}, *'position': *\({number}, *{number}, *{number}\), *'speed': *{number}\}}\}}$"
     names = {"heading": "heading", "x": "position[0]", "y": "position[1]", "z": "position[2]", "speed": "speed"}
 
     def read(line: Column) -> Column:
         side = F.when(F.contains(line, F.lit(RED)), "red").when(F.contains(line, F.lit(BLUE)), "blue")
-        said = literals.literal(F.regexp_extract(line, r"(?s)\{.*\}", 0))
-        values = lambda v: F.when(_is_object(v), F.struct(*[F.try_variant_get(v, f"$.state.{at}", "double").alias(name) for name, at in names.items()]))
-        return F.struct(side.alias("mark"), F.when(side.isNull(), _let(said, values)).alias("values"))
+        of_literal = lambda v: F.when(_is_object(v), F.struct(*[F.try_variant_get(v, f"$.state.{at}", "double").alias(name) for name, at in names.items()]))
+        of_plain = lambda said: F.struct(*[F.regexp_extract(said, plain, i).try_cast("double").alias(name) for i, name in enumerate(names, 1)])
+        values = lambda said: F.when(said.rlike(plain), of_plain(said)).otherwise(_let(literals.literal(said), of_literal))
+        return F.struct(side.alias("mark"), F.when(side.isNull(), _let(F.regexp_extract(line, r"(?s)\{.*\}", 0), values)).alias("values"))
 
     start = F.struct(F.lit(None).cast("string").alias("side"), F.lit(0).alias("red"), F.lit(0).alias("blue"), F.array().cast(f"array<{unit}>").alias("out"))
 

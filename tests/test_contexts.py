@@ -53,3 +53,13 @@ def test_units_in_all_spellings(spark):
     got = {r["id"]: r["u"] for r in df.select("id", decisions.context_units(F.col("s")).alias("u")).collect()}
     assert [(u["unit"], u["heading"], u["x"], u["y"], u["z"]) for u in got[1]] == [w for _, w in cases if w] + [("blue1", 0.0, 0.0, 0.0, 1.0)]
     assert not got[2] and got[3] == []
+
+
+def test_usual_spelling_equals_the_grammar(spark):
+    """The same numbers, whether a line is in the usual spelling or, by one more blank, goes through the grammar."""
+    numbers = ["0", "-0.0", "12", "-7.25", "1e3", "2.5E-2", "123456789012", "0.1"]
+    lines = [f"{{'state': {{'heading': {a}, 'position': ({b}, {a}, {b}), 'speed': {b}}}}}" for a in numbers for b in numbers]
+    texts = ["\n".join([decisions.RED, *x]) for x in (lines, [v.replace("{'state'", "{ 'state'") for v in lines])]
+    got = [r["u"] for r in spark.createDataFrame([(v,) for v in texts], "s string").select(decisions.context_units(F.col("s")).alias("u")).collect()]
+    assert got[0] == got[1] and len(got[0]) == len(lines)
+    assert all(u["x"] is not None and u["speed"] is not None for u in got[0])
