@@ -26,8 +26,8 @@ def _is_object(v: Column) -> Column:
 
 
 def _has(v: Column, key: str) -> Column:
-    """True if an object has the key, whatever its value."""
-    return F.coalesce(F.array_contains(F.json_object_keys(F.to_json(v)), key), F.lit(False))
+    """True if an object has the key, whatever its value: a JSON null is a variant, not null."""
+    return F.try_variant_get(v, f"$.{key}", "variant").isNotNull()
 
 
 def _first(v: Column, keys: tuple[str, ...], kind: str) -> Column:
@@ -41,8 +41,7 @@ def _first(v: Column, keys: tuple[str, ...], kind: str) -> Column:
 def _object(text: Column) -> Column:
     """The object that the text is, else null. Spark's parser leaves what follows a value unread, so the text has to end
     as an object does."""
-    v = F.try_parse_json(text)
-    return F.when(_is_object(v) & strip(text).endswith("}"), v)
+    return _let(text, lambda said: _let(F.try_parse_json(said), lambda v: F.when(_is_object(v) & strip(said).endswith("}"), v)))
 
 
 def action(v: Column) -> Column:
@@ -51,7 +50,7 @@ def action(v: Column) -> Column:
 
     def unit(names: tuple[str, ...]) -> Column:
         def numbers(u: Column) -> Column:
-            value = lambda k, full: F.when(_has(u, k), clamp(F.try_variant_get(u, f"$.{k}", "double") / full)).otherwise(F.lit(0.0))
+            value = lambda k, full: F.when(_has(u, k), _let(F.try_variant_get(u, f"$.{k}", "double") / full, lambda x: clamp(x))).otherwise(F.lit(0.0))
             return F.when(_is_object(u), F.array(*[value(k, full) for k, full in FIELDS])).otherwise(F.array(*[F.lit(0.0)] * 3))
 
         return _let(_first(v, names, "variant"), numbers)
@@ -61,8 +60,10 @@ def action(v: Column) -> Column:
 
 def action_vector(six: Column, size: int = 640, width: int = 8) -> Column:
     """The full action: the first three numbers of each platform's eight are set for two platforms."""
-    at = lambda i: F.when((i < 2 * width) & (i % width < 3), F.get(six, (F.floor(i / width) * 3 + i % width).cast("int"))).otherwise(F.lit(0.0).cast("float"))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), at)
+    zero = F.lit(0.0).cast("float")
+    slots = min(size, 2 * width)
+    at = lambda six, i: F.get(six, F.lit(i // width * 3 + i % width)) if i % width < 3 else zero
+    return _let(six, lambda once: F.concat(F.array(*[at(once, i) for i in range(slots)]), F.array_repeat(zero, size - slots)))
 
 
 def decision_steps(text: Column, default_hold: float = HOLD, max_steps: int = MAX_STEPS, max_total: float = MAX_TOTAL) -> Column:
