@@ -9,11 +9,13 @@ not hold at all counts as seen once. Words are runs without (Unicode) white spac
 
 :func:`score_against` scores texts under the counts of other texts, :func:`score_left_out` each text of a table under the
 counts of all the others: all are counted, and what a text itself adds is taken off where it is scored, so what only it
-says backs off. Both explode the texts into a row for each distinct bigram, join these rows to a table of counts
-partitioned by a hash of the bigram, look up the count of the context (held bigrams) or of the word (others), and sum for
-each text. Two bounded tables keep rows, and every hot key, out of the shuffles without changing a result:
+says backs off. Both explode the texts into a row for each distinct bigram and join these rows to the table of counts by
+buckets of bigrams (a hash of the bigram), look up the count of the context (held bigrams) or of the word (others), and sum
+for each text. Spark shuffles the rows once, packed in lists by bucket; where texts are scored under the counts of the same
+table, these lists are what the table of counts is summed from. A bucket holds about a million words, however many there
+are, and is joined at a time. Two bounded tables keep rows, and every hot key, out of the shuffles without changing a result:
 
-* ``common``: the exact counts of so many words at most, the most frequent ones, are broadcast (24 bytes each); others
+* ``common``: the exact counts of so many words at most, the most frequent ones, are broadcast (32 bytes each); others
   are looked up in a second join, which only rows in need of one go through;
 * ``dense``: exact counts of all pairs of so many most frequent words, a square matrix, are broadcast too. A pair is no
   more frequent than its words, so of the pairs that are left none has more than its share in ``dense`` of all words.
@@ -21,8 +23,8 @@ each text. Two bounded tables keep rows, and every hot key, out of the shuffles
 A pair of two common words is named by their two ranks, which is exact; other n-grams are named by a 63-bit hash.
 
 Defined cases: null and empty texts have no words, log score 0 and a null mean; equal texts have equal scores; each input
-row gives one row, rows that repeat an id or have none too (a text left out is one row, so its copies still count); very
-long texts and words are scored whole; other columns are ignored; an empty table gives no rows, and under the counts of
+row gives one row, rows that repeat an id or have none too (a text left out is one row, so its copies still count; rows
+are told apart by ``monotonically_increasing_id``); very long texts and words are scored whole; other columns are ignored; an empty table gives no rows, and under the counts of
 none every word counts as seen once among one.
 """
 
@@ -33,6 +35,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +45,8 @@ from contrail.llm.common import slices, stored
 DISCOUNT = 0.4
 _MEMO = 250_000
 _ROWS = 200_000  # rows of exploded texts in a batch
+_BLOCK = 2_000_000  # exploded rows that are put into lists together
+_BUCKETS, _BUCKET_WORDS = 64, 1_000_000  # buckets of bigrams at least, and words to a bucket
 _RANK = np.int64(20)  # bits of a common word's rank
 _P, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -238,25 +243,72 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, n[at]
 
 
-def _column(x: np.ndarray, kind: pa.DataType, null: np.ndarray | bool, own: np.ndarray, own_null: bool = False) -> pa.Array:
-    """Values of bigrams and, behind them, of texts."""
-    return pa.array(np.append(x, own), kind, mask=np.append(np.broadcast_to(null, len(x)), np.full(len(own), own_null)))
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Whole numbers column by column, their bytes of like weight together, compressed."""
+    planes = [x.view(np.uint8)[i :: x.itemsize] for x in map(np.ascontiguousarray, columns) for i in range(x.itemsize)]
+    return pa.compress(pa.py_buffer(np.concatenate(planes)), codec="zstd", asbytes=True)
 
 
-_ROW = "k long, n int, m int, o int, a int, b int, v long, w long, part double, backed long, words long"
+def _unpack(data: bytes, kinds: list, n: int) -> list[np.ndarray]:
+    x, out, at = np.frombuffer(pa.decompress(data, n * sum(np.dtype(k).itemsize for k in kinds), codec="zstd"), np.uint8), [], 0
+    for kind in kinds:
+        out.append(np.empty(n, kind))
+        size = out[-1].itemsize
+        for i in range(size):
+            out[-1].view(np.uint8)[i::size] = x[at : at + n]
+            at += n
+    return out
+
+
+_LISTS = "bucket int, size int, rare int, base long, data binary, names binary, asked boolean, counted boolean, t long, part double, backed long, words long"
+_DATA, _NAMES = [np.int64, *[np.int32] * 4], [np.int32, np.int32, np.int64, np.int64]
+
+
+def _lists(k: np.ndarray, data: np.ndarray, names: list[np.ndarray], base: int, buckets: int, asked: bool, counted: bool) -> dict[str, list]:
+    """Exploded rows as a list for each bucket of bigrams, in the order of their keys: first those named by a hash, below zero."""
+    order = np.argsort(k)
+    rare = order[k[order] < 0]
+    bucket = (_mix(k.view(np.uint64)) % np.uint64(buckets)).astype(np.min_scalar_type(buckets))
+    place = np.zeros(len(k), np.int64)
+    place[np.flatnonzero(k < 0)] = np.arange(len(rare))
+    order = order[np.argsort(bucket[order], kind="stable")]
+    k, data, bucket = k[order], data[:, order], bucket[order]
+    names = [x[place[order[k < 0]]] for x in names]
+    out: dict[str, list] = {c.split()[0]: [] for c in _LISTS.split(", ")}
+    ends, at = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(k)), 0
+    for i, j in zip(np.append(0, ends[:-1]), ends, strict=True):
+        n = int(np.searchsorted(k[i:j], 0))
+        row = (bucket[i], j - i, n, base, _pack([np.diff(k[i:j], prepend=0), *data[:, i:j]]), _pack([x[at : at + n] for x in names]), asked, counted, None, None, None, None)
+        at += n
+        for column, value in zip(out.values(), row, strict=True):
+            column.append(value)
+    return out
 
 
-def _exploded(batches: Iterator[pa.RecordBatch], shared, left_out: bool) -> Iterator[pa.RecordBatch]:
-    """``id, r`` and a row for each distinct bigram of a text: its key ``k``, how often the text has it, its context and its
-    word (``n, m, o``), and, unless both words are common, the ranks of the two (``a, b``), or their hashes (``v, w``) where
-    they have none. And one row with n = 0 for the text: what its dense pairs add, how many words among these back off, and
-    its number of words."""
+def _exploded(batches: Iterator[pa.RecordBatch], shared, left_out: bool, buckets: int, asked: bool, counted: bool) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct bigram of a text: the text's number ``t``, the bigram's key ``k``, how often the text has it, its
+    context and its word (``n, m, o``) and, unless both words are common, the ranks of the two (``a, b``) and the hashes
+    (``v, w``) of those without one; they leave as lists, one for each bucket of bigrams. And one row for the text
+    (without a list): its id, what its dense pairs add, how many words among these back off, and its number of words."""
     ranks, dense, dense_f = shared.value
-    words = Ranked(ranks)
+    words, parts, size, first_number, kind = Ranked(ranks), [], 0, 0, None
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    schema = [pa.field(name, types[kind]) for name, kind in map(str.split, _LISTS.split(", "))]
+
+    def table(columns: dict[str, list], ids: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(v, f.type) for v, f in zip(columns.values(), schema, strict=True)), ids], [*columns, "id"])
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        k, data, *names = (np.concatenate(x, axis=-1) for x in zip(*parts, strict=True))
+        out = _lists(k, data, names, first_number, buckets, asked, counted)
+        for i in range(0, len(out["bucket"]), 64):
+            some = {k: v[i : i + 64] for k, v in out.items()}
+            yield table(some, pa.nulls(len(some["bucket"]), kind))
+
     for batch in slices(batches):
         if words.full():
             words = Ranked(ranks)
-        hashes = batch.column(1).to_numpy()
+        number, kind = batch.column(1).to_numpy(), batch.column(0).type
         for at, said in _chunks(words.read(batch.column(2).to_pylist())):
             n_words = np.fromiter((len(x) - 1 for x in said), np.int64, len(said))
             t = np.repeat(np.arange(len(said)), n_words)
@@ -272,23 +324,68 @@ def _exploded(batches: Iterator[pa.RecordBatch], shared, left_out: bool) -> Iter
             held = f > 0
             part = n[d] * np.log(np.where(held, f / np.maximum(ranks.c[a[d]] - m[d], 1), np.maximum(ranks.f[b[d]] - o[d], 1)))
             base, backed = (np.bincount(t[d], weights=x, minlength=len(said)) for x in (part, n[d] * ~held))
+            numbers = number[at : at + len(said)]
+            if asked:
+                none, bucket = [None] * len(said), (_mix(numbers.view(np.uint64)) % np.uint64(buckets)).view(np.int64)
+                own = (bucket, none, none, none, none, none, [asked] * len(said), [counted] * len(said), numbers, base, backed.astype(np.int64), n_words)
+                yield table(dict(zip([f.name for f in schema], own, strict=True)), batch.column(0).slice(at, len(said)))
             t, v, w, a, b, n, m, o = (x[~d] for x in (t, v, w, a, b, n, m, o))
+            if not len(t):
+                continue
             k = words.pairs(v, w)
-            named = k >= 0
-            texts, none = np.arange(at, at + len(said)), np.zeros(len(said), np.int64)
-            row = pa.array(np.append(t + at, texts))
-            spread = _mix(hashes[at : at + len(said)].view(np.uint64) + texts.astype(np.uint64)).view(np.int64)
-            columns = [_column(k, pa.int64(), False, spread), *(_column(x, pa.int32(), False, none) for x in (n, m, o))]
-            columns += [_column(x, pa.int32(), named, none, True) for x in (a, b)]
-            columns += [_column(words.h[x].view(np.int64), pa.int64(), named | (rank >= 0), none, True) for x, rank in ((v, a), (w, b))]
-            columns += [_column(np.zeros(len(k), x.dtype), kind, True, x) for x, kind in ((base, pa.float64()), (backed.astype(np.int64), pa.int64()), (n_words, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *columns], ["id", "r", "k", "n", "m", "o", "a", "b", "v", "w", "part", "backed", "words"])
-
-
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    """``id, r, t``: r tells apart different texts of one id. And the type of the id."""
-    t = _text_column(docs, text_col)
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.xxhash64(t), F.lit(0)).alias("r"), t), docs.schema[id_col].dataType.simpleString()
+            if not parts:
+                first_number = int(numbers[0])
+            u = k < 0
+            hv, hw = (np.where(rank[u] >= 0, 0, words.h[x[u]].view(np.int64)) for x, rank in ((v, a), (w, b)))
+            parts.append((k, np.stack([n, m, o, numbers[t] - first_number]).astype(np.int32), a[u].astype(np.int32), b[u].astype(np.int32), hv, hw))
+            size += len(t)
+            if size > _BLOCK or numbers[-1] - first_number > 1 << 30:
+                yield from flush()
+                parts, size = [], 0
+    if parts:
+        yield from flush()
+
+
+def _joined(bucket: pa.Table, shared, left_out: bool) -> pa.Table:
+    """The exploded rows of a bucket of bigrams joined to the table of their counts, and to the counts of the common words.
+
+    ``t, id, part, backed, words`` for each text; and for each row whose context (held bigrams) or word (others) is not
+    common, its hash ``h``, ``as_context``, how often the text has it (``less``) and how often it counts (``sign``)."""
+    ranks, _, _ = shared.value
+    lists = bucket.filter(pc.is_valid(bucket["data"])).select(["size", "rare", "base", "data", "names", "asked", "counted"]).to_pylist()
+    texts = bucket.filter(pc.is_null(bucket["data"])).select(["t", "id", "part", "backed", "words"])
+    rows, names = [np.zeros((7, 0), np.int64)], [np.zeros((4, 0), np.int64)]
+    for x in lists:
+        k, n, m, o, t = _unpack(x["data"], _DATA, x["size"])
+        rows.append(np.stack([np.cumsum(k), n, m, o, t + np.int64(x["base"]), np.full(len(k), x["asked"]), np.full(len(k), x["counted"])]))
+        names.append(np.stack(_unpack(x["names"], _NAMES, x["rare"])))
+    k, n, m, o, t, asked, counted = np.concatenate(rows, axis=1)
+    a, b = k >> _RANK, k & ((1 << _RANK) - 1)
+    v, w = np.zeros((2, len(k)), np.int64)
+    rare = k < 0
+    a[rare], b[rare], v[rare], w[rare] = np.concatenate(names, axis=1)
+
+    pairs, at = np.unique(k, return_inverse=True)
+    f = np.bincount(at, weights=n * counted, minlength=len(pairs)).astype(np.int64)[at] - n * left_out
+    held = f > 0
+    rank, less, sign = np.where(held, a, b), np.where(held, m, o), np.where(held, -n, n)
+    known = rank >= 0
+    lower = np.ones(len(k), np.int64)
+    for of, counts in ((held & known, ranks.c), (~held & known, ranks.f)):
+        lower[of] = counts[rank[of]] - less[of]
+    part = n * held * np.log(np.maximum(f, 1)) + sign * np.log(np.maximum(lower, 1))
+    some = asked > 0
+    number, at = np.unique(t[some], return_inverse=True)
+    part, backed = (np.bincount(at, weights=x[some], minlength=len(number)) for x in (part, n * ~held))
+    need = some & ~known
+    none = len(number) + len(texts)
+    each = {"t": (number, t[need]), "part": (part.astype(float), np.zeros(need.sum())), "backed": (backed.astype(np.int64), np.zeros(need.sum(), np.int64))}
+    out = {c: pa.concat_arrays([*texts[c].chunks, *map(pa.array, x)]) for c, x in each.items()}
+    out["id"], out["words"] = (pa.concat_arrays([*texts[c].chunks, pa.nulls(len(number) + need.sum(), texts[c].type)]) for c in ("id", "words"))
+    for c, x in (("h", np.where(held, v, w)), ("as_context", held), ("less", less), ("sign", sign)):
+        x = pa.array(x[need])
+        out[c] = pa.concat_arrays([pa.nulls(none, x.type), x])
+    return pa.table({c: out[c] for c in ("t", "id", "part", "backed", "words", "h", "as_context", "less", "sign")})
 
 
 def _score(docs: DataFrame, corpus: DataFrame, left_out: bool, id_col: str, text_col: str, common: int, dense: int, discount: float) -> DataFrame:
@@ -299,43 +396,36 @@ def _score(docs: DataFrame, corpus: DataFrame, left_out: bool, id_col: str, text
     total = counts.agg(F.sum("f")).first()[0] or 0
     ranks = common_words(counts, common)
     dense = min(dense, len(ranks))
-    at = spark.sparkContext.broadcast(ranks)
-    dense_f = dense_pairs(corpus, at, dense, text_col) if dense else np.zeros(0, np.int64)
-    rows, kind = _rows(docs, id_col, text_col)
-    x = rows.mapInArrow(partial(_exploded, shared=spark.sparkContext.broadcast((ranks, dense, dense_f)), left_out=left_out), f"id {kind}, r long, {_ROW}")
-
-    # bigrams: held ones need the count of their context next, others that of their word
-    x = x.join(pair_counts(corpus, at, dense, text_col), "k", "left")
-    f = F.coalesce("f", F.lit(0)) - (F.col("n") if left_out else F.lit(0))
-    x = x.withColumn("own", F.col("n") == 0).withColumn("f", f).withColumn("held", ~F.col("own") & (F.col("f") > 0))
-    named, ranked = F.col("k") >= 0, F.shiftright("k", int(_RANK)).cast("int")
-    x = x.withColumn("rank", F.when(~F.col("own"), F.when(F.col("held"), F.when(named, ranked).otherwise(F.col("a"))).otherwise(F.when(named, F.col("k").bitwiseAND((1 << int(_RANK)) - 1).cast("int")).otherwise(F.col("b")))))
-    lookup = stored(spark.createDataFrame(pa.table({"rank": pa.array(np.arange(len(ranks)), pa.int32()), "common_c": ranks.c, "common_f": ranks.f})))
-    x = x.join(F.broadcast(lookup), "rank", "left")
-    less = F.when(F.col("held"), F.col("m")).otherwise(F.col("o"))
-    known = F.when(F.col("held"), F.col("common_c")).otherwise(F.col("common_f"))
-    lower = lambda c: F.log(F.greatest(c, F.lit(1)))
-    sign = F.when(F.col("held"), -F.col("n")).otherwise(F.col("n"))
-    part = F.when(F.col("own"), F.col("part")).otherwise(F.when(F.col("held"), F.col("n") * F.log("f")).otherwise(0.0) + F.coalesce(sign * lower(known - less), F.lit(0.0)))
-    need = F.when(F.col("rank") == -1, F.when(F.col("held"), F.col("v")).otherwise(F.col("w")))
-    x = x.select("id", "r", need.alias("h"), F.col("held").alias("as_context"), less.alias("less"), part.alias("part"), F.when(need.isNotNull(), sign).otherwise(0).alias("sign"), F.when(F.col("own"), F.col("backed")).when(~F.col("held"), F.col("n")).otherwise(0).alias("backed"), "own", F.coalesce("words", F.lit(0)).alias("words"))
-    rare = F.col("h").isNotNull()
-    sums = [F.sum(c).alias(c) for c in ("part", "sign", "backed", "words")]
-    x = x.groupBy("id", "r", "h", F.when(rare, F.col("as_context")).alias("as_context")).agg(*sums, F.max("less").alias("less"), F.sum(F.col("own").cast("int")).alias("own"))
+    dense_f = dense_pairs(corpus, spark.sparkContext.broadcast(ranks), dense, text_col) if dense else np.zeros(0, np.int64)
+    shared, kind = spark.sparkContext.broadcast((ranks, dense, dense_f)), docs.schema[id_col].dataType.simpleString()
+
+    def lists(of: DataFrame, asked: bool, counted: bool, buckets: int) -> DataFrame:
+        rows = of.select(F.col(id_col).alias("id") if asked else F.lit(None).cast(kind).alias("id"), F.monotonically_increasing_id().alias("number"), _text_column(of, text_col))
+        return rows.mapInArrow(partial(_exploded, shared=shared, left_out=left_out, buckets=buckets, asked=asked, counted=counted), f"{_LISTS}, id {kind}")
+
+    # bigrams are joined to their counts; held ones need the count of their context next, others that of their word
+    buckets = max(_BUCKETS, total // _BUCKET_WORDS)
+    x = lists(docs, True, left_out, buckets)
+    if not left_out:
+        x = x.unionByName(lists(corpus, False, True, buckets))
+    x = x.groupBy("bucket").applyInArrow(lambda t: _joined(t, shared, left_out), f"t long, id {kind}, part double, backed long, words long, h long, as_context boolean, less long, sign long")
+    sums = [F.sum(c).alias(c) for c in ("part", "backed", "words", "sign")]
+    x = x.groupBy("t", "id", "h", "as_context").agg(*sums, F.max("less").alias("less"))
 
     # words that are not common: only what needs their counts is joined
     x = stored(x)
+    rare = F.col("h").isNotNull()
+    lower = lambda c: F.log(F.greatest(c, F.lit(1)))
     y = x.where(rare).join(counts, "h", "left")
     c = F.coalesce(F.when(F.col("as_context"), F.col("c")).otherwise(F.col("f")), F.lit(0))
     y = y.withColumn("part", F.col("part") + F.col("sign") * lower(c - F.col("less")))
-    columns = ["id", "r", "part", "backed", "words", "own"]
+    columns = ["t", "id", "part", "backed", "words"]
     x = x.where(~rare).select(columns).unionByName(y.select(columns))
 
-    # rows equal in id and text are summed together and then dealt apart
-    x = x.groupBy("id", "r").agg(*(F.sum(c).alias(c) for c in columns[2:]))
-    n, backed = ((F.col(c) / F.col("own")).cast("long") for c in ("words", "backed"))
+    x = x.groupBy("t").agg(F.first("id", ignorenulls=True).alias("id"), *sums[:3])
+    n = F.col("words")
     unit = F.log(F.lit(discount)) - lower(F.lit(total) - (n if left_out else F.lit(0)))
-    x = x.select("id", n.alias("n"), backed.alias("backed"), F.round(F.col("part") / F.col("own") + backed * unit, 6).alias("s"), F.explode(F.sequence(F.lit(1), F.col("own").cast("int"))))
+    x = x.select("id", n.alias("n"), "backed", F.round(F.col("part") + F.col("backed") * unit, 6).alias("s"))
     return x.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), F.col("n").alias("n_grams"), F.col("backed").alias("n_backed_off"), F.col("s").alias("log_score"), F.when(F.col("n") > 0, F.round(F.col("s") / F.col("n"), 9)).alias("mean_log_score"))
 
 

@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from contrail.llm import lm_score
@@ -90,6 +91,49 @@ def test_no_pair_of_frequent_words_is_shuffled(spark):
     assert lm_score.pair_counts(df, spark.sparkContext.broadcast(lm_score.common_words(lm_score.word_counts(df), 100)), 3).count() == 0
 
 
+def shuffled_bytes(spark):
+    none, details = spark._jvm.java.util.ArrayList(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, details, none)
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+def test_bytes_shuffled_for_a_bigram(spark):
+    """Bigrams with their counts, and all else that is shuffled for them, take a few bytes each."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in (rng.random(3000) ** 3 * 20_000).astype(int)) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    before = shuffled_bytes(spark)
+    assert lm_score.score_left_out(df, dense=0).agg({"n_words": "sum"}).first()[0] == 450_000
+    used = sum(v for k, v in shuffled_bytes(spark).items() if k not in before)
+    rows = sum(len(set(zip(t.split(), t.split()[1:]))) + 1 for t in texts)
+    assert 0 < used < 14 * rows
+
+
+def test_lists_give_back_what_they_hold():
+    kinds = [np.int64, np.int32, np.int32]
+    columns = [np.array([-(2**63), 2**63 - 1, 0, -1]), np.array([-1, 2**31 - 1, -(2**31), 7], np.int32), np.arange(4, dtype=np.int32)]
+    for n in (0, 1, 4):
+        got = lm_score._unpack(lm_score._pack([x[:n] for x in columns]), kinds, n)
+        assert all(np.array_equal(x[:n], y) and x.dtype == y.dtype for x, y in zip(columns, got, strict=True))
+
+
+def test_keys_of_either_sign_in_lists():
+    """Keys from one end of the numbers to the other come back through their differences, each in one list."""
+    k = np.array([5, -(2**63), 2**40 - 1, -1, 0, -7, 5])
+    data = np.arange(28, dtype=np.int32).reshape(4, 7)
+    names = [x[k < 0] for x in (np.arange(7, dtype=np.int32), -np.arange(7, dtype=np.int32), k, k + 1)]
+    out = lm_score._lists(k, data, names, 0, 3, True, True)
+    got = []
+    for size, n, packed, named in zip(out["size"], out["rare"], out["data"], out["names"], strict=True):
+        d, *rest = lm_score._unpack(packed, lm_score._DATA, size)
+        key = np.cumsum(d)
+        assert (key < 0).sum() == n
+        names_of = [x.tolist() for x in lm_score._unpack(named, lm_score._NAMES, n)]
+        got += [(int(key[i]), *(int(x[i]) for x in rest), *((x[i] for x in names_of) if i < n else ())) for i in range(size)]
+    want = [(int(k[i]), *map(int, data[:, i]), *((i, -i, int(k[i]), int(k[i]) + 1) if k[i] < 0 else ())) for i in range(7)]
+    assert sorted(got) == sorted(want)
+
+
 def test_query_scores_the_order_of_words(spark, tmp_path):
     rows = [(1, "the cat sat on the mat"), (2, "mat the on sat cat the"), (3, "the cat sat on the mat again"), (4, "the cat sat")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
