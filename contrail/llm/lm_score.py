@@ -45,7 +45,7 @@ from contrail.llm.common import slices, stored
 DISCOUNT = 0.4
 _MEMO = 250_000
 _ROWS = 200_000  # rows of exploded texts in a batch
-_BLOCK = 2_000_000  # exploded rows that are put into lists together
+_BLOCK = 1_000_000  # exploded rows that are put into lists together
 _BUCKETS, _BUCKET_WORDS = 64, 1_000_000  # buckets of bigrams at least, and words to a bucket
 _RANK = np.int64(20)  # bits of a common word's rank
 _P, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -354,16 +354,17 @@ def _joined(bucket: pa.Table, shared, left_out: bool) -> pa.Table:
     ranks, _, _ = shared.value
     lists = bucket.filter(pc.is_valid(bucket["data"])).select(["size", "rare", "base", "data", "names", "asked", "counted"]).to_pylist()
     texts = bucket.filter(pc.is_null(bucket["data"])).select(["t", "id", "part", "backed", "words"])
-    rows, names = [np.zeros((7, 0), np.int64)], [np.zeros((4, 0), np.int64)]
+    rows, names = [[np.zeros(0, x) for x in (*_DATA[:4], np.int64, bool, bool)]], [[np.zeros(0, x) for x in _NAMES]]
     for x in lists:
         k, n, m, o, t = _unpack(x["data"], _DATA, x["size"])
-        rows.append(np.stack([np.cumsum(k), n, m, o, t + np.int64(x["base"]), np.full(len(k), x["asked"]), np.full(len(k), x["counted"])]))
-        names.append(np.stack(_unpack(x["names"], _NAMES, x["rare"])))
-    k, n, m, o, t, asked, counted = np.concatenate(rows, axis=1)
-    a, b = k >> _RANK, k & ((1 << _RANK) - 1)
-    v, w = np.zeros((2, len(k)), np.int64)
+        rows.append([np.cumsum(k), n, m, o, t + np.int64(x["base"]), np.full(len(k), x["asked"]), np.full(len(k), x["counted"])])
+        names.append(_unpack(x["names"], _NAMES, x["rare"]))
+    k, n, m, o, t, asked, counted = map(np.concatenate, zip(*rows, strict=True))
+    ra, rb, v, w = map(np.concatenate, zip(*names, strict=True))
+    del lists, rows, names
     rare = k < 0
-    a[rare], b[rare], v[rare], w[rare] = np.concatenate(names, axis=1)
+    a, b = (k >> _RANK).astype(np.int32), (k & ((1 << _RANK) - 1)).astype(np.int32)
+    a[rare], b[rare] = ra, rb
 
     pairs, at = np.unique(k, return_inverse=True)
     f = np.bincount(at, weights=n * counted, minlength=len(pairs)).astype(np.int64)[at] - n * left_out
@@ -374,16 +375,16 @@ def _joined(bucket: pa.Table, shared, left_out: bool) -> pa.Table:
     for of, counts in ((held & known, ranks.c), (~held & known, ranks.f)):
         lower[of] = counts[rank[of]] - less[of]
     part = n * held * np.log(np.maximum(f, 1)) + sign * np.log(np.maximum(lower, 1))
-    some = asked > 0
-    number, at = np.unique(t[some], return_inverse=True)
-    part, backed = (np.bincount(at, weights=x[some], minlength=len(number)) for x in (part, n * ~held))
-    need = some & ~known
+    number, at = np.unique(t[asked], return_inverse=True)
+    part, backed = (np.bincount(at, weights=x[asked], minlength=len(number)) for x in (part, n * ~held))
+    need = asked & ~known  # only rows named by a hash
+    named = need[rare]
     none = len(number) + len(texts)
     each = {"t": (number, t[need]), "part": (part.astype(float), np.zeros(need.sum())), "backed": (backed.astype(np.int64), np.zeros(need.sum(), np.int64))}
     out = {c: pa.concat_arrays([*texts[c].chunks, *map(pa.array, x)]) for c, x in each.items()}
     out["id"], out["words"] = (pa.concat_arrays([*texts[c].chunks, pa.nulls(len(number) + need.sum(), texts[c].type)]) for c in ("id", "words"))
-    for c, x in (("h", np.where(held, v, w)), ("as_context", held), ("less", less), ("sign", sign)):
-        x = pa.array(x[need])
+    for c, x in (("h", np.where(held[need], v[named], w[named])), ("as_context", held[need]), ("less", less[need].astype(np.int64)), ("sign", sign[need].astype(np.int64))):
+        x = pa.array(x)
         out[c] = pa.concat_arrays([pa.nulls(none, x.type), x])
     return pa.table({c: out[c] for c in ("t", "id", "part", "backed", "words", "h", "as_context", "less", "sign")})
 
