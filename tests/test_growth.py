@@ -130,3 +130,49 @@ def test_pairs_are_not_shuffled(spark):
     plan = tracks.snapshots(df, 300.0, 150.0).where("enemy_id is not null")._jdf.queryExecution().optimizedPlan().toString().split("\n")
     top = next(i for i, line in enumerate(plan) if "Join" in line)
     assert not any(word in line for line in plan[:top] for word in ("Aggregate", "Window", "Sort", "Repartition"))
+
+
+def test_pairs_are_generated_code(spark):
+    """Objects of one or two positions about a time: each pair is measured in a method small enough to be compiled, once for
+    all launches that share the own position, and no list is searched for it."""
+    df = spark.createDataFrame(flight(50, 5), SCHEMA)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stages = tracks.snapshots(df, 300.0, 150.0).where("enemy_id is not null").select("launch_seq", "t", "enemy_id", "dist", "brg")._jdf.queryExecution().debug().codegenToSeq()
+        made = [(s._1(), s._3().maxMethodCodeSize()) for s in (stages.apply(i) for i in range(stages.size()))]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    above = [(p[: p.index("Join")], n) for p, n in made if "Join" in p]
+    measured = [(p, n) for p, n in above if "ATAN2" in p and "ASIN" in p and "lambda" not in p]
+    assert len(measured) == 2
+    assert all("Generate explode" in p[: p.index("ATAN2")] and 0 < n < 8000 for p, n in measured)
+
+
+@pytest.mark.parametrize("copies", [1, 2, 5])
+def test_unknown_places_in_pairs(spark, copies):
+    """One, two or more positions of an object: an unknown altitude is farther than any other, one that is no number is none."""
+    nan, near = float("nan"), (2.0, 5.1, 40.0, 9.0, "b", False)
+    own = (0, 1, "Aircraft", 1.0, 5.0, 40.0, 9.0, "a", True)
+    for other, want in ((None, (2.0, 5.0)), (nan, (2.5, None))):
+        rest = [(1 + i, 2, "Aircraft", 2.0 + 0.001 * i, 5.0, 40.0, other, "b", False) for i in range(copies)]
+        alone = tracks.snapshots(spark.createDataFrame([own, *rest], SCHEMA), 5.0, 2.0).collect()
+        assert [(r["enemy_id"], r["dist"], r["enemy_lon"], r["met_t"]) for r in alone] == [(2, None, *((5.0, 2.0) if other is None else (None, None)))]
+        both = tracks.snapshots(spark.createDataFrame([own, *rest, (90, 2, "Aircraft", 2.5, *near[1:])], SCHEMA), 5.0, 2.0).collect()
+        assert [(r["enemy_id"], r["enemy_lon"], r["met_t"], r["dist"] > 8) for r in both] == [(2, 5.1, want[0], True)]
+
+
+def test_rounded_as_sql_rounds(spark):
+    """Halves go away from zero, and what is no number stays."""
+    import duckdb
+    from contrail.functions import geo
+
+    r = random.Random(2)
+    numbers = [0.0, -0.0, 0.5, 2.5e-6, -2.5e-6, 1e300, -1e12, 359.9999995, *[r.uniform(-m, m) for m in (1e-5, 400.0, 3e6) for _ in range(2000)], *[r.randrange(-(10**9), 10**9) / 1e6 + 5e-7 for _ in range(2000)]]
+    got = [x[0] for x in spark.createDataFrame([(x,) for x in numbers], "x double").select(geo.rounded(F.col("x"), 6)).collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE n (i INT, x DOUBLE)")
+    con.executemany("INSERT INTO n VALUES (?, ?)", list(enumerate(numbers)))
+    assert got == [x[0] for x in con.execute("SELECT round(x, 6) FROM n ORDER BY i").fetchall()]
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,)], "x double").select(geo.rounded(F.col("x"), 6)).collect()
+    assert math.isnan(odd[0][0]) and odd[1][0] == math.inf and odd[2][0] is None
